@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from minuteflow.llm import op5_quality
+from minuteflow.llm import op2_simhash, op5_quality, op9_decontaminate, op10_mix
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash.op2_simhash_near_dedup,
     "op5_quality_rules": op5_quality.op5_quality_rules,
+    "op9_benchmark_decontamination": op9_decontaminate.op9_benchmark_decontamination,
+    "op10_mix_sources": op10_mix.op10_mix_sources,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op5_quality_rules": op5_quality.ORACLE_SQL,
+    "op9_benchmark_decontamination": op9_decontaminate.ORACLE_SQL,
+    "op10_mix_sources": op10_mix.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
