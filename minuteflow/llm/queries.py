@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from minuteflow.llm import op1_html, op2_simhash, op3_pii, op5_quality, op8_chat, op9_decontaminate, op10_mix
+from minuteflow.llm import op1_html, op2_simhash, op3_pii, op5_quality, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix
 
 QUERIES = {
     "op1_html_main_text": op1_html.op1_html_main_text,
     "op2_simhash_near_dedup": op2_simhash.op2_simhash_near_dedup,
     "op3_pii_spans": op3_pii.op3_pii_spans,
     "op5_quality_rules": op5_quality.op5_quality_rules,
+    "op7_suffix_array_dedup": op7_suffix_dedup.op7_suffix_array_dedup,
     "op8_chat_format": op8_chat.op8_chat_format,
     "op9_benchmark_decontamination": op9_decontaminate.op9_benchmark_decontamination,
     "op10_mix_sources": op10_mix.op10_mix_sources,
