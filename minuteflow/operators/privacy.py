@@ -70,7 +70,7 @@ def mapping(values: DataFrame, salt: str) -> DataFrame:
     """(kind, original, anonymized), sorted, one row for each value."""
     chain = None
     for kind in PREFIXES:
-        chain = (chain or F).when(F.col("kind") == kind, pseudonym(kind, F.col("original"), salt))
+        chain = (F if chain is None else chain).when(F.col("kind") == kind, pseudonym(kind, F.col("original"), salt))
     return values.select("kind", "original").distinct().withColumn("anonymized", chain).orderBy("kind", "original")
 
 
