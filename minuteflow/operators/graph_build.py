@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from minuteflow.functions.extract import has_decision, has_risk, issue_of, people_from_text, risk_severity
 from minuteflow.functions.status import with_status
 from minuteflow.functions.text import has_owner, is_meaningful, squash, strip, truncate
+from minuteflow.session import materialize
 
 ACTION_TITLE = 96
 
@@ -65,8 +66,11 @@ def follow_ups(issue_items: DataFrame) -> DataFrame:
 
 
 def build_edges(meetings: DataFrame, items: DataFrame, mentions: DataFrame) -> DataFrame:
-    """All edges: (src_type, src_id, relation, dst_type, dst_id)."""
-    sem = semantics(items, mentions)
+    """All edges: (src_type, src_id, relation, dst_type, dst_id).
+
+    The item semantics feed twelve kinds of edges, so they are written once.
+    """
+    sem = materialize(semantics(items, mentions).select("item_id", "people", "products", "regulations", "issue", "decided", "risky"))
     act, dec, risk = (F.concat(F.lit(p), "item_id") for p in ("action_", "decision_", "risk_"))
     sem = sem.withColumns({"action_id": act, "decision_id": F.when(F.col("decided"), dec), "risk_id": F.when(F.col("risky"), risk), "issue_id": F.col("issue.issue_id")})
     people = sem.select("item_id", "action_id", F.explode_outer("people").alias("person"))
