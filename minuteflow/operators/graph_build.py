@@ -65,12 +65,18 @@ def follow_ups(issue_items: DataFrame) -> DataFrame:
     return issue_items.withColumn("previous_item_id", previous).where("previous_item_id is not null and previous_item_id <> item_id").select("item_id", "previous_item_id", "issue_id")
 
 
-def build_edges(meetings: DataFrame, items: DataFrame, mentions: DataFrame) -> DataFrame:
-    """All edges: (src_type, src_id, relation, dst_type, dst_id).
+FROM_SEMANTICS = ("RESPONSIBLE_BY", "HAS_ACTION", "ASSIGNED_TO", "TARGETS_PRODUCT", "CONSTRAINED_BY", "HAS_DECISION", "HAS_RISK", "TRACKS_ISSUE", "DECIDES_ON", "RISK_OF", "FOLLOW_UP_OF")
 
-    The item semantics feed twelve kinds of edges, so they are written once.
+
+def build_edges(meetings: DataFrame, items: DataFrame, mentions: DataFrame, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """Edges (src_type, src_id, relation, dst_type, dst_id) of the asked relations, or of all.
+
+    The item semantics feed several kinds of edges, so they are written once where more than one is asked for.
     """
-    sem = materialize(semantics(items, mentions).select("item_id", "people", "products", "regulations", "issue", "decided", "risky"))
+    needed = [r for r in FROM_SEMANTICS if relations is None or r in relations]
+    sem = semantics(items, mentions).select("item_id", "people", "products", "regulations", "issue", "decided", "risky")
+    if len(needed) > 1:
+        sem = materialize(sem)
     act, dec, risk = (F.concat(F.lit(p), "item_id") for p in ("action_", "decision_", "risk_"))
     sem = sem.withColumns({"action_id": act, "decision_id": F.when(F.col("decided"), dec), "risk_id": F.when(F.col("risky"), risk), "issue_id": F.col("issue.issue_id")})
     people = sem.select("item_id", "action_id", F.explode_outer("people").alias("person"))
@@ -80,34 +86,33 @@ def build_edges(meetings: DataFrame, items: DataFrame, mentions: DataFrame) -> D
     dated = items.join(meetings.select("meeting_id", "meeting_date"), "meeting_id", "left").select("item_id", "meeting_id", "item_no", "meeting_date")
     chained = follow_ups(sem.select("item_id", "issue_id").where("issue_id is not null").join(dated, "item_id"))
     own = mentions.where("owner_type = 'MeetingItem'")
-    co = cooccurrence(mentions)
-    edges = [
-        edge(meetings, "Document", "document_id", "HAS_MEETING", "Meeting", "meeting_id"),
-        edge(items, "Meeting", "meeting_id", "HAS_ITEM", "MeetingItem", "item_id"),
-        edge(meetings, "Meeting", "meeting_id", "BELONGS_TO_UNIT", "Unit", "responsible_unit"),
-        edge(meetings, "Meeting", "meeting_id", "CHAIRED_BY", "Person", "chairperson"),
-        edge(meetings, "Meeting", "meeting_id", "RECORDED_BY", "Person", "recorder"),
-        edge(attended, "Meeting", "meeting_id", "ATTENDED_BY", "Person", "person"),
-        edge(items.where(is_meaningful(F.col("planned_date"))), "MeetingItem", "item_id", "HAS_PLANNED_DATE", "Date", "planned_date"),
-        edge(items.where(is_meaningful(F.col("actual_completed_date"))), "MeetingItem", "item_id", "HAS_COMPLETED_DATE", "Date", "actual_completed_date"),
-        edge(people, "MeetingItem", "item_id", "RESPONSIBLE_BY", "Person", "person"),
-        edge(own, "MeetingItem", "owner_id", "MENTIONS", "Keyword", "name"),
-        edge(mentions.where("owner_type = 'Meeting'"), "Meeting", "owner_id", "MENTIONS", "Keyword", "name"),
-        edge(own.where("type = 'product' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_PRODUCT", "Product", "name"),
-        edge(own.where("type = 'regulation' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_REGULATION", "Regulation", "name"),
-        edge(sem, "MeetingItem", "item_id", "HAS_ACTION", "ActionItem", "action_id"),
-        edge(people, "ActionItem", "action_id", "ASSIGNED_TO", "Person", "person"),
-        edge(products, "ActionItem", "action_id", "TARGETS_PRODUCT", "Product", "name"),
-        edge(regulations, "ActionItem", "action_id", "CONSTRAINED_BY", "Regulation", "name"),
-        edge(sem, "MeetingItem", "item_id", "HAS_DECISION", "Decision", "decision_id"),
-        edge(sem, "MeetingItem", "item_id", "HAS_RISK", "Risk", "risk_id"),
-        edge(sem, "MeetingItem", "item_id", "TRACKS_ISSUE", "Issue", "issue_id"),
-        edge(sem, "Decision", "decision_id", "DECIDES_ON", "Issue", "issue_id"),
-        edge(sem, "Risk", "risk_id", "RISK_OF", "Issue", "issue_id"),
-        edge(chained, "MeetingItem", "item_id", "FOLLOW_UP_OF", "MeetingItem", "previous_item_id"),
-        edge(co, "Keyword", "left", "CO_OCCURS_WITH", "Keyword", "right"),
+    builders = [
+        ("HAS_MEETING", lambda: edge(meetings, "Document", "document_id", "HAS_MEETING", "Meeting", "meeting_id")),
+        ("HAS_ITEM", lambda: edge(items, "Meeting", "meeting_id", "HAS_ITEM", "MeetingItem", "item_id")),
+        ("BELONGS_TO_UNIT", lambda: edge(meetings, "Meeting", "meeting_id", "BELONGS_TO_UNIT", "Unit", "responsible_unit")),
+        ("CHAIRED_BY", lambda: edge(meetings, "Meeting", "meeting_id", "CHAIRED_BY", "Person", "chairperson")),
+        ("RECORDED_BY", lambda: edge(meetings, "Meeting", "meeting_id", "RECORDED_BY", "Person", "recorder")),
+        ("ATTENDED_BY", lambda: edge(attended, "Meeting", "meeting_id", "ATTENDED_BY", "Person", "person")),
+        ("HAS_PLANNED_DATE", lambda: edge(items.where(is_meaningful(F.col("planned_date"))), "MeetingItem", "item_id", "HAS_PLANNED_DATE", "Date", "planned_date")),
+        ("HAS_COMPLETED_DATE", lambda: edge(items.where(is_meaningful(F.col("actual_completed_date"))), "MeetingItem", "item_id", "HAS_COMPLETED_DATE", "Date", "actual_completed_date")),
+        ("RESPONSIBLE_BY", lambda: edge(people, "MeetingItem", "item_id", "RESPONSIBLE_BY", "Person", "person")),
+        ("MENTIONS", lambda: edge(own, "MeetingItem", "owner_id", "MENTIONS", "Keyword", "name")),
+        ("MENTIONS", lambda: edge(mentions.where("owner_type = 'Meeting'"), "Meeting", "owner_id", "MENTIONS", "Keyword", "name")),
+        ("MENTIONS_PRODUCT", lambda: edge(own.where("type = 'product' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_PRODUCT", "Product", "name")),
+        ("MENTIONS_REGULATION", lambda: edge(own.where("type = 'regulation' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_REGULATION", "Regulation", "name")),
+        ("HAS_ACTION", lambda: edge(sem, "MeetingItem", "item_id", "HAS_ACTION", "ActionItem", "action_id")),
+        ("ASSIGNED_TO", lambda: edge(people, "ActionItem", "action_id", "ASSIGNED_TO", "Person", "person")),
+        ("TARGETS_PRODUCT", lambda: edge(products, "ActionItem", "action_id", "TARGETS_PRODUCT", "Product", "name")),
+        ("CONSTRAINED_BY", lambda: edge(regulations, "ActionItem", "action_id", "CONSTRAINED_BY", "Regulation", "name")),
+        ("HAS_DECISION", lambda: edge(sem, "MeetingItem", "item_id", "HAS_DECISION", "Decision", "decision_id")),
+        ("HAS_RISK", lambda: edge(sem, "MeetingItem", "item_id", "HAS_RISK", "Risk", "risk_id")),
+        ("TRACKS_ISSUE", lambda: edge(sem, "MeetingItem", "item_id", "TRACKS_ISSUE", "Issue", "issue_id")),
+        ("DECIDES_ON", lambda: edge(sem, "Decision", "decision_id", "DECIDES_ON", "Issue", "issue_id")),
+        ("RISK_OF", lambda: edge(sem, "Risk", "risk_id", "RISK_OF", "Issue", "issue_id")),
+        ("FOLLOW_UP_OF", lambda: edge(chained, "MeetingItem", "item_id", "FOLLOW_UP_OF", "MeetingItem", "previous_item_id")),
+        ("CO_OCCURS_WITH", lambda: edge(cooccurrence(mentions), "Keyword", "left", "CO_OCCURS_WITH", "Keyword", "right")),
     ]
-    return reduce(DataFrame.union, edges)
+    return reduce(DataFrame.union, [build() for relation, build in builders if relations is None or relation in relations])
 
 
 def build_nodes(edges: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return own.union(of_meetings)
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph_build.build_edges(M(spark, d), I(spark, d), mentions(spark, d))
+def edges(spark: SparkSession, d: str, *relations: str) -> DataFrame:
+    return graph_build.build_edges(M(spark, d), I(spark, d), mentions(spark, d), relations or None)
 
 
 def semantics(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def ranked_search_keyword_order(spark, d):
 
 def ranked_search_filtered(spark, d):
     f = search.Filters(date_from="1999-01-01", date_to="2000-06-30", responsible_unit="NATION_3", has_owner=True, is_completed=False)
-    return search.search_meetings(M(spark, d), I(spark, d), "overdue blue bolt", AS_OF, f).select("meeting_id", "keyword_score", "task_score", "final_score", F.size("matched_items").cast("bigint").alias("n_items"))
+    return search.search_meetings(M(spark, d), I(spark, d), "逾期 blue bolt", AS_OF, f).select("meeting_id", "keyword_score", "task_score", "final_score", F.size("matched_items").cast("bigint").alias("n_items"))
 
 
 def task_scores(spark, d):
@@ -138,7 +138,7 @@ def issues(spark, d):
 
 
 def follow_up_chain(spark, d):
-    return graph_query.of(edges(spark, d), "FOLLOW_UP_OF", "item_id", "previous_item_id")
+    return graph_query.of(edges(spark, d, "FOLLOW_UP_OF"), "FOLLOW_UP_OF", "item_id", "previous_item_id")
 
 
 def related_keywords(spark, d):
@@ -146,31 +146,31 @@ def related_keywords(spark, d):
 
 
 def keyword_hits(spark, d):
-    return graph_query.keyword_hits(edges(spark, d), M(spark, d), I(spark, d), ["red ring", "machinery"]).select("meeting_id", "item_id", "matched_keyword")
+    return graph_query.keyword_hits(edges(spark, d, "MENTIONS"), M(spark, d), I(spark, d), ["red ring", "machinery"]).select("meeting_id", "item_id", "matched_keyword")
 
 
 def responsible_items(spark, d):
-    return graph_query.relation_items(edges(spark, d), M(spark, d), I(spark, d), "RESPONSIBLE_BY", "000000007").select("meeting_id", "item_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "RESPONSIBLE_BY"), M(spark, d), I(spark, d), "RESPONSIBLE_BY", "000000007").select("meeting_id", "item_id", "matched_entity")
 
 
 def date_items(spark, d):
-    return graph_query.relation_items(edges(spark, d), M(spark, d), I(spark, d), "HAS_COMPLETED_DATE", "2000-04").select("meeting_id", "item_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "HAS_COMPLETED_DATE"), M(spark, d), I(spark, d), "HAS_COMPLETED_DATE", "2000-04").select("meeting_id", "item_id", "matched_entity")
 
 
 def product_items(spark, d):
-    return graph_query.relation_items(edges(spark, d), M(spark, d), I(spark, d), "MENTIONS_PRODUCT", "red ring").select("meeting_id", "item_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "MENTIONS_PRODUCT"), M(spark, d), I(spark, d), "MENTIONS_PRODUCT", "red ring").select("meeting_id", "item_id", "matched_entity")
 
 
 def regulation_items(spark, d):
-    return graph_query.relation_items(edges(spark, d), M(spark, d), I(spark, d), "MENTIONS_REGULATION", "brand#21").select("meeting_id", "item_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "MENTIONS_REGULATION"), M(spark, d), I(spark, d), "MENTIONS_REGULATION", "brand#21").select("meeting_id", "item_id", "matched_entity")
 
 
 def meeting_people(spark, d):
-    return graph_query.relation_meetings(edges(spark, d), M(spark, d), "ATTENDED_BY", "guest#3").select("meeting_id", "matched_entity")
+    return graph_query.relation_meetings(edges(spark, d, "ATTENDED_BY"), M(spark, d), "ATTENDED_BY", "guest#3").select("meeting_id", "matched_entity")
 
 
 def unit_meetings(spark, d):
-    return graph_query.relation_meetings(edges(spark, d), M(spark, d), "BELONGS_TO_UNIT", "nation_3").select("meeting_id", "matched_entity")
+    return graph_query.relation_meetings(edges(spark, d, "BELONGS_TO_UNIT"), M(spark, d), "BELONGS_TO_UNIT", "nation_3").select("meeting_id", "matched_entity")
 
 
 def meeting_items_by_question(spark, d):
@@ -178,45 +178,45 @@ def meeting_items_by_question(spark, d):
 
 
 def composite_search(spark, d):
-    rows = graph_query.composite(edges(spark, d), M(spark, d), semantics(spark, d), "action_items", {"product": "red ring", "status": "not_completed", "unit": "nation_1"}, 100000)
+    rows = graph_query.composite(edges(spark, d, "HAS_ACTION", "MENTIONS_PRODUCT"), M(spark, d), semantics(spark, d), "action_items", {"product": "red ring", "status": "not_completed", "unit": "nation_1"}, 100000)
     return rows.select("meeting_id", "item_id", "matched_node_id", "status", "graph_score")
 
 
 def issue_timeline(spark, d):
-    return graph_query.issue_timeline(edges(spark, d), M(spark, d), I(spark, d), "red ring").select("issue_id", "item_id", "previous_item_id", "next_item_id", F.col("sequence_no").cast("bigint").alias("sequence_no"))
+    return graph_query.issue_timeline(edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF"), M(spark, d), I(spark, d), "red ring").select("issue_id", "item_id", "previous_item_id", "next_item_id", F.col("sequence_no").cast("bigint").alias("sequence_no"))
 
 
 def graph_search(spark, d):
-    rows = graph_query.search_graph(edges(spark, d), M(spark, d), I(spark, d), cooccurrence(spark, d), "red ring", ("relation", "keyword"), ("RESPONSIBLE_BY", "000000007"), 100)
+    rows = graph_query.search_graph(edges(spark, d, "RESPONSIBLE_BY", "MENTIONS"), M(spark, d), I(spark, d), cooccurrence(spark, d), "red ring", ("relation", "keyword"), ("RESPONSIBLE_BY", "000000007"), 100)
     return rows.select("meeting_id", "item_id", "graph_score", "matched_keyword", "matched_entity")
 
 
 def product_meeting_counts(spark, d):
-    return graph_query.product_meeting_counts(edges(spark, d))
+    return graph_query.product_meeting_counts(edges(spark, d, "MENTIONS_PRODUCT", "HAS_ITEM"))
 
 
 def person_item_counts(spark, d):
-    return graph_query.person_item_counts(edges(spark, d))
+    return graph_query.person_item_counts(edges(spark, d, "RESPONSIBLE_BY"))
 
 
 def meetings_with_both(spark, d):
-    return graph_query.meetings_with_both(edges(spark, d), "Brand#2", "brand#3")
+    return graph_query.meetings_with_both(edges(spark, d, "MENTIONS_REGULATION", "HAS_ITEM"), "Brand#2", "brand#3")
 
 
 def product_regulation_counts(spark, d):
-    return graph_query.product_regulation_counts(edges(spark, d))
+    return graph_query.product_regulation_counts(edges(spark, d, "MENTIONS_PRODUCT", "MENTIONS_REGULATION"))
 
 
 def issues_without_follow_up(spark, d):
-    return graph_query.issues_without_follow_up(edges(spark, d))
+    return graph_query.issues_without_follow_up(edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF"))
 
 
 def product_people(spark, d):
-    return graph_query.product_people(edges(spark, d), "red ring")
+    return graph_query.product_people(edges(spark, d, "MENTIONS_PRODUCT", "RESPONSIBLE_BY"), "red ring")
 
 
 def node_expansion(spark, d):
-    return graph_query.expand_node(edges(spark, d), "Product", "red ring", ("MENTIONS_PRODUCT",), 50)
+    return graph_query.expand_node(edges(spark, d, "MENTIONS_PRODUCT"), "Product", "red ring", ("MENTIONS_PRODUCT",), 50)
 
 
 def vector_search(spark, d):
@@ -235,7 +235,7 @@ def point_ids(spark, d):
 
 
 def _evidence(spark, d):
-    e, i = edges(spark, d), I(spark, d)
+    e, i = edges(spark, d, "RESPONSIBLE_BY"), I(spark, d)
     graph = graph_query.relation_items(e, M(spark, d), i, "RESPONSIBLE_BY", "000000007").withColumn("graph_score", F.lit(4.0))
     structured = i.where("product = 'red ring' and owner like '%7'").select("meeting_id", "item_id", "content")
     semantic = i.where("regulation = 'Brand#21' and item_no = '01'").select("meeting_id", "item_id", "content", F.lit(0.75).alias("score"))
