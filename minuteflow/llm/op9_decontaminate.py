@@ -39,7 +39,7 @@ def _canonical(word: str, before: str) -> str:
     return (
         f"case when ascii({word}) < 58 and trim(both '{outer}' from {word}) rlike '^[$+-]?[0-9][0-9.,:/]*%?$' then '<num>' "
         f"when ascii({before}) between 48 and 57 and {bare} in ({units}) then '<unit>' "
-        f"when {word} <> lower({word}) and right({before}, 1) not in ('.', '!', '?', '') and substring({word}, 2) = lower(substring({word}, 2)) then '<name>' "
+        f"when not ascii({word}) between 97 and 122 and {word} <> lower({word}) and right({before}, 1) not in ('.', '!', '?', '') and substring({word}, 2) = lower(substring({word}, 2)) then '<name>' "
         f"else {bare} end"
     )
 
@@ -58,7 +58,8 @@ def windows(rows: DataFrame, key: str) -> DataFrame:
         .withColumn("_v", F.expr(f"slice(zip_with(_t, _w, (t, x) -> case when t in ('<num>', '<name>', '<unit>') then lower(x) else '' end), 1, size(_a) - {WINDOW - 1})"))
         .select(key, F.expr("zip_with(_h, _v, (h, v) -> struct(h as h, v as v))").alias("_z"))
     )
-    return arrays.select(key, F.posexplode("_z").alias("pos", "_z")).select(key, "pos", F.col("_z.h").alias("h"), F.col("_z.v").alias("value"))
+    # The outer form keeps Spark from inferring a filter on the array and so computing it twice.
+    return arrays.select(key, F.posexplode_outer("_z").alias("pos", "_z")).select(key, "pos", F.col("_z.h").alias("h"), F.col("_z.v").alias("value")).where("h is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
