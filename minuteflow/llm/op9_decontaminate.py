@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minuteflow.llm.op5_quality import words_sql
+from minuteflow.session import materialize
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -69,7 +70,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.join(sizes, "item_id").withColumn("n_windows", (F.col("last") + 1).cast("bigint")).drop("last")
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
-    hits = windows(docs.select("doc_id", "text"), "doc_id").join(items, "h")
+    # The few hits are written, so that the scan of the texts keeps no aggregation state.
+    hits = materialize(windows(docs.select("doc_id", "text"), "doc_id").join(items, "h").select("doc_id", "item_id", "n_windows", "pos", "item_pos", "item_value", "value"))
     aligned = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("found"),
         F.collect_set(F.when(F.col("item_value") != "", F.struct("item_value", "value"))).alias("pairs"),
