@@ -36,10 +36,10 @@ ANCHOR = 40
 #: A symbol of the transforms is so many bytes; LENGTH is a whole number of symbols.
 SYMBOL = 40
 #: Bytes of contexts in a bucket, and its shards.
-BUCKET_BYTES = 600_000
+BUCKET_BYTES = 400_000
 SHARDS = 4
 #: Bytes of text that a task hashes at once.
-CHUNK = 2_000_000
+CHUNK = 400_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -89,24 +89,24 @@ def context_runs(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, anch
 
 
 def _batched(keys, texts):
-    """Texts joined to pieces of about CHUNK bytes: (keys, first bytes, lengths, bytes)."""
+    """(keys, texts) of at most CHUNK bytes together; a longer text comes alone."""
     ids, parts, size = [], [], 0
     for key, text in zip(keys, texts):
         raw = (text or "").encode("utf-8", "replace")
         if len(raw) < LENGTH:
             continue
+        if ids and size + len(raw) > CHUNK:
+            yield ids, parts
+            ids, parts, size = [], [], 0
         ids.append(key)
         parts.append(raw)
         size += len(raw)
-        if size >= CHUNK:
-            yield ids, parts
-            ids, parts, size = [], [], 0
     if ids:
         yield ids, parts
 
 
 #: A longer text is read in overlapping pieces of this many bytes.
-PIECE = 8_000_000
+PIECE = 1_000_000
 
 
 def _anchor_rows(frames):
