@@ -124,7 +124,8 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's form: rejected documents go, columns stay."""
     mine = docs.withColumn("_text", F.col("text")).select("_text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return quality(mine, "_text").where("kept").select("_row.*")
+    # The filter stands on an exploded column: on the projection itself it would be pushed down with every measure inlined, and computed many times over.
+    return quality(mine, "_text").select("_row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("_row.*")
 
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
