@@ -11,7 +11,8 @@ buckets of anchors, and nothing is lost:
 3. In a bucket of anchors each shard of contexts gets its own transform over 40-byte symbols (a
    context is read at 40 phases, so every byte starts a string), the transforms are merged by
    interleave refinement, and an interval of suffixes that share 5 symbols, 200 bytes, is a
-   repeat if its contexts were seen twice or more.
+   repeat if its contexts were seen twice or more. The contexts of an anchor with more than
+   TOGETHER of them never meet in one task: their strings are dealt out by hash and counted.
 4. Repeats become byte ranges of each document, joined back by doc_id, and are cut out there.
 
 Defined cases: null and empty texts and texts under LENGTH bytes lose nothing; a repeated row
@@ -25,7 +26,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt
@@ -38,6 +40,8 @@ SYMBOL = 40
 #: Bytes of contexts in a bucket, and its shards.
 BUCKET_BYTES = 400_000
 SHARDS = 4
+#: Different contexts of one anchor that meet in a bucket; an anchor with more is dealt out by string.
+TOGETHER = 4096
 #: Bytes of text that a task hashes at once.
 CHUNK = 400_000
 
@@ -146,6 +150,17 @@ def _context_bytes(frames):
         yield pd.DataFrame(rows, columns=["anchor", "context", "weight", "n", "bytes"])
 
 
+def _context_strings(frames):
+    """(text, wanted) -> the hash of each LENGTH-byte string of each wanted context."""
+    for frame in frames:
+        for text, wanted in zip(frame["text"], frame["wanted"]):
+            raw = text.encode("utf-8", "replace")
+            rows = [(x["anchor"], x["context"], x["weight"], k, xxhash.xxh3_64_intdigest(raw[x["first"] + k : x["first"] + k + LENGTH])) for x in wanted for k in range(x["n"])]
+            out = pd.DataFrame(rows, columns=["anchor", "context", "weight", "at", "string"])
+            out["string"] = out["string"].astype("uint64").to_numpy().view("int64")
+            yield out
+
+
 def _dense(key: np.ndarray) -> np.ndarray:
     """Equal keys get equal numbers from 0."""
     order = np.argsort(key, kind="stable")
@@ -231,21 +246,39 @@ def _merge_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["anchor", "context", "low", "high"])
 
 
-def repeated_ranges(keyed: DataFrame) -> DataFrame:
+def _wanted(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(text, wanted): the texts that hold the first occurrence of contexts, with those contexts."""
+    wanted = contexts.select("at._k", F.struct("anchor", "context", "weight", "n", "at.first").alias("x")).groupBy("_k").agg(F.collect_list("x").alias("wanted"))
+    return keyed.select("_k", "text").join(wanted, "_k").dropDuplicates(["_k"]).select("text", "wanted")
+
+
+def _large_anchors(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(anchor, context, low, high) of the strings that repeat under anchors of many contexts, dealt by string."""
+    strings = materialize(_wanted(keyed, contexts).mapInPandas(_context_strings, "anchor bigint, context bigint, weight bigint, at int, string bigint"))
+    often = materialize(strings.groupBy("anchor", "string").agg(F.sum("weight").alias("seen")).where("seen >= 2").select("anchor", "string"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "context").orderBy("at"))
+    hits = strings.join(often, ["anchor", "string"], "left_semi").select("anchor", "context", "at", run.alias("run"))
+    return hits.groupBy("anchor", "context", "run").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high")).drop("run")
+
+
+def repeated_ranges(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(_k, ranges): the byte ranges [low, high) of each document to remove, unmerged; documents without any are left out."""
     found = anchors(keyed)
-    often = found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor")
+    # Written tables: a join whose sides are plain shuffles can be split where an anchor is frequent.
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor"))
     repeated = materialize(found.join(often, "anchor", "left_semi"))
     distinct = materialize(repeated.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.min(F.struct("_k", "first")).alias("at")))
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts >= 2")
+    several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts >= 2"))
     alone = distinct.join(several, "anchor", "left_anti").where("weight >= 2").select("anchor", "context", F.lit(0).alias("low"), F.col("n").alias("high"))
-    wanted = distinct.join(several, "anchor", "left_semi").select("at._k", F.struct("anchor", "context", "weight", "n", "at.first").alias("x")).groupBy("_k").agg(F.collect_list("x").alias("wanted"))
-    texts = keyed.select("_k", "text").join(wanted, "_k").dropDuplicates(["_k"]).select("text", "wanted")
-    contexts = materialize(texts.mapInPandas(_context_bytes, "anchor bigint, context bigint, weight bigint, n int, bytes binary"))
+    few, many = several.where(F.col("contexts") <= together), several.where(F.col("contexts") > together)
+    contexts = materialize(_wanted(keyed, distinct.join(few, "anchor", "left_semi")).mapInPandas(_context_bytes, "anchor bigint, context bigint, weight bigint, n int, bytes binary"))
     size = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     merged = contexts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(_merge_bucket, "anchor bigint, context bigint, low int, high int")
-    ranges = repeated.join(merged.unionByName(alone), ["anchor", "context"])
+    parts = merged.unionByName(alone)
+    if not many.isEmpty():
+        parts = parts.unionByName(_large_anchors(keyed, distinct.join(many, "anchor", "left_semi")))
+    ranges = repeated.join(parts, ["anchor", "context"])
     return ranges.select("_k", F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + (LENGTH - 1)).alias("high")).alias("r")).groupBy("_k").agg(F.collect_list("r").alias("ranges"))
 
 
@@ -279,4 +312,4 @@ def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed = docs.withColumn("_k", F.coalesce("doc_id", F.xxhash64("text")))
-    return keyed.join(repeated_ranges(keyed), "_k", "left").select("doc_id", "text", "ranges").mapInPandas(_cut_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return keyed.join(repeated_ranges(keyed, TOGETHER), "_k", "left").select("doc_id", "text", "ranges").mapInPandas(_cut_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -282,7 +282,9 @@ def test_repeated_starts_against_brute_force():
         assert [g.tolist() for g in got] == [[count[c[p : p + 40]] >= 2 for p in range(n)] for c, n in zip(contexts, starts)]
 
 
-def test_suffix_dedup_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("together", [op7_suffix_dedup.TOGETHER, 1])
+def test_suffix_dedup_against_brute_force(spark, tmp_path, monkeypatch, together):
+    monkeypatch.setattr(op7_suffix_dedup, "TOGETHER", together)
     passage, other = prose(9, 80), prose(10, 70)
     texts = [None, "", "short", passage, prose(1) + passage + prose(2), passage, "é" * 300, prose(3) + other + prose(4) + other, prose(5, 400), "ab" * 400, prose(6) + passage[:210] + "é" + passage[210:]]
     got = {r["doc_id"]: r for r in op7_suffix_dedup.op7_suffix_array_dedup(spark, saved(spark, tmp_path, docs(spark, texts))).collect()}
