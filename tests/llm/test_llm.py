@@ -357,6 +357,42 @@ def test_mix_stays_within_a_block(spark):
     assert blocks["slot"].is_unique
 
 
+@pytest.mark.parametrize("sources", [7, 300])
+def test_mix_of_many_sources_and_odd_ids(spark, sources):
+    """More sources than MAX_SOURCES, far outlying and null ids."""
+    rnd = random.Random(6)
+    ids = [None] * 40 + [rnd.choice([k, -k, k << 40, 2**63 - 1 - k, k - 2**63]) for k in range(1, 4000)]
+    given = [(i, f"s{rnd.randrange(sources) * rnd.randrange(2)}") for i in ids]
+    out = sorted(op10_mix.mix(spark.createDataFrame(given, "doc_id bigint, source string")).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in out] == list(range(len(given)))
+    for source in {s for _, s in given}:
+        assert [r["doc_id"] for r in out if r["source"] == source] == sorted((i for i, s in given if s == source), key=lambda i: (i is not None, i or 0))
+    blocks = {(r["source"], r["block"]): r for r in out}.values()
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in blocks) and len({r["slot"] for r in blocks}) == len(blocks)
+
+
+def test_mix_ranks_any_ids(spark):
+    rnd = random.Random(7)
+    given = sorted({rnd.choice([1, 1 << 20, 1 << 45, 1 << 62]) * rnd.choice([-1, 1]) + rnd.randrange(9000) for _ in range(3000)})
+    got = op10_mix.ranked(spark.createDataFrame([(i, "a") for i in given], "doc_id bigint, source string")).collect()
+    assert {r["doc_id"]: r["_rank"] for r in got} == {i: k for k, i in enumerate(given)}
+
+
+def test_long_schedule_equals_period_schedule(spark):
+    counts = spark.createDataFrame([(f"s{k}", 1 + k * k * 7) for k in range(23)], "_source string, n bigint")
+    units = op10_mix.tempered_units(counts)
+    both = [f.select("slot_in_period", "s", "k").orderBy("slot_in_period").collect() for f in (op10_mix.long_schedule(units, 240), op10_mix.period_schedule(units, 240))]
+    assert len(both[0]) == 240 and [tuple(map(int, r)) for r in both[0]] == [tuple(map(int, r)) for r in both[1]]
+
+
+def test_mix_to_target_weights(spark):
+    frame = docs(spark, [None] * 900, ["a", "b", "c"]).select("doc_id", "source")
+    targets = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
+    first = op10_mix.mix(frame, 240, 1, targets).where("position < 200").groupBy("source").count().collect()
+    got = {r["source"]: r["count"] for r in first}
+    assert abs(got["a"] - 149) < 3 and abs(got["b"] - 50) < 3 and got.get("c", 0) <= 1
+
+
 # The pipeline
 
 
