@@ -63,21 +63,24 @@ _WORD = rf"\b(?:{'|'.join(DIGIT_WORDS)})\b"
 _PLUS = rf"\bplus\s+(?=[0-9]|(?:{'|'.join(DIGIT_WORDS)})\b)"
 _REWRITE = re.compile(rf"(?P<odd>{_ODD})|(?P<at>{_AT}|{_BARE_AT})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<word>{_WORD})|(?P<plus>{_PLUS})", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|punkt|punto|point)\s*[\])}>]", re.I)
-#: Spelled digits that short syllables seldom hold; a disguised number has three of them at least.
-_TELLING = frozenset(DIGIT_WORDS) - {"one", "oh"}
 _LOOKS_ODD = frozenset(_TABLE)
+#: Each spelled rewriting but a bracketed one has one of these; a bare at needs a dot.
+_SPELLED = (*DIGIT_WORDS, "plus", "dot")
+
+
+def _folded(text: str) -> str:
+    """Lower case, with the three letters that patterns without case also take for s and i."""
+    return (text if text.isascii() else text.replace("\u017f", "s").replace("\u0131", "i").replace("\u0130", "i")).lower()
 
 
 def disguised(text: str) -> bool:
-    """False if nothing in the text can be rewritten into an identifier; quick on plain texts."""
+    """False only if no alternative of _REWRITE occurs in the text; quick on plain texts."""
     if not text.isascii() and not _LOOKS_ODD.isdisjoint(text):
         return True
-    low = text.lower()
-    if " dot " in low or _BRACKETED.search(text):
-        return True
-    if sum(map(low.count, _TELLING)) < 3:
+    low = _folded(text)
+    if not any(map(low.__contains__, _SPELLED)) and not _BRACKETED.search(text):
         return False
-    return sum(map(_TELLING.__contains__, low.replace("-", " ").replace(",", " ").replace(".", " ").split())) >= 3
+    return _REWRITE.search(text) is not None
 
 
 def luhn(digits: str) -> bool:
@@ -129,7 +132,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
         copy(last, m.start())
         last = m.end()
         kind, value = m.lastgroup, m.group()
-        new = {"at": "@", "dot": ".", "plus": "+"}.get(kind) if kind in ("at", "dot", "plus") else DIGIT_WORDS[value.lower()] if kind == "word" else _TABLE.get(value, value)
+        new = {"at": "@", "dot": ".", "plus": "+"}.get(kind) if kind in ("at", "dot", "plus") else DIGIT_WORDS[_folded(value)] if kind == "word" else _TABLE.get(value, value)
         if new:
             out.append(new)
             starts.append(m.start())

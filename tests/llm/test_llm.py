@@ -198,6 +198,30 @@ def test_pii_disguises(text, spans):
     assert op3_pii.named(sorted({*base, *op3_pii.added(text, base)})) == spans
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("call plus 44 20 7946 0958", "phone:5:25"),
+        ("4111 1111 1111 one one one one", "card:0:30"),
+        ("+44 20 7946 zero nine 58", "phone:0:24"),
+        ("bob (at) host\tdot\norg", "email:0:21"),
+        ("+44 20 7946 \u017f\u0131x n\u0130ne 58", "phone:0:23"),
+    ],
+)
+def test_pii_disguises_without_other_signs(text, spans):
+    base = op3_pii.detect(text)
+    assert op3_pii.named(sorted({*base, *op3_pii.added(text, base)})) == spans
+
+
+def test_pii_gate_loses_nothing(monkeypatch):
+    rnd = random.Random(8)
+    parts = [*op3_pii.DIGIT_WORDS, "plus", " at ", " dot ", "\tDOT\n", "(at)", "[ Punkt ]", "a", "com", "44", "7", "+", "-", " ", " ", "\u0430", "\u017fix", "n\u0131ne", "\u00e9"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14))) for _ in range(20_000)]
+    gated = [op3_pii.added(t, op3_pii.detect(t)) for t in texts]
+    monkeypatch.setattr(op3_pii, "disguised", lambda text: True)
+    assert gated == [op3_pii.added(t, op3_pii.detect(t)) for t in texts]
+
+
 def test_pii_query_and_mask(spark, tmp_path):
     frame = docs(spark, [None, "", "a@b.co", "x" * 200_000 + " 1.2.3.4"])
     got = {r["doc_id"]: r for r in op3_pii.op3_pii_spans(spark, saved(spark, tmp_path, frame)).collect()}
