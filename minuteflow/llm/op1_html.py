@@ -2,10 +2,9 @@
 
 Markup is stripped into lines, one for each block element, in page order. A line counts its
 text's length, or zero inside menus, headers, footers, sidebars, notices, adverts, forms, hidden
-parts and reader comments. Lengths are summed over a sliding window of WINDOW lines: where the sum
-rises over the threshold text surges, where it falls to zero text dives, and the lines between
-are the main text. On pages that mark an article or main element only lines inside it count, and
-any text is a surge; elsewhere the sum must exceed SURGE characters.
+parts and reader comments. On pages that mark an article or main element only lines inside it
+count. Any line with a length surges and the next without one dives: only structure decides, since
+a threshold on the density of lines loses headings and short paragraphs.
 
 Parsing is linear in the page's length. Defined cases: null and empty pages, and pages without
 text, give an empty text; broken and unclosed markup is read as far as it goes; repeated rows give
@@ -23,9 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW = 3
-SURGE = 80
-
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -166,18 +162,10 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(html: str | None) -> str:
-    """The lines between surge and dive points, joined by newlines."""
+    """The lines that count, joined by newlines."""
     lines = lines_of(html or "")
     marked = any(inside and not out for _, out, inside in lines)
-    lengths = [0 if out or (marked and not inside) else len(text) for text, out, inside in lines]
-    surge = 0 if marked else SURGE
-    kept, running, inside = [], sum(lengths[:WINDOW]), False
-    for k, (text, _, _) in enumerate(lines):
-        inside = running > (0 if inside else surge)
-        if inside and lengths[k]:
-            kept.append(text)
-        running += (lengths[k + WINDOW] if k + WINDOW < len(lengths) else 0) - lengths[k]
-    return "\n".join(kept)
+    return "\n".join(text for text, out, inside in lines if not out and (inside or not marked))
 
 
 @F.pandas_udf(T.StringType())

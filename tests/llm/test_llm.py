@@ -89,6 +89,13 @@ def test_html_cases(page, text):
     assert op1_html.main_text(page) == text
 
 
+def test_html_without_marks_keeps_short_text():
+    assert op1_html.main_text("<h1>Road closed</h1><p>Main Street is closed on Monday.</p>") == "Road closed\nMain Street is closed on Monday."
+    long, advert = "long text here " * 10, '<ul class="ad"><li>Buy</li><li>this</li><li>now</li></ul>'
+    page = f"<h2>Heading</h2><p>one</p><p>two</p><p>{long}</p>{advert}<p>Short end.</p>"
+    assert op1_html.main_text(page) == "\n".join(["Heading", "one", "two", long.strip(), "Short end."])
+
+
 # 2. SimHash
 
 
