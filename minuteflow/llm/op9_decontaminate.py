@@ -12,7 +12,7 @@ beyond that the join shuffles.
 
 Defined cases: null, empty and short texts (under five words) have no windows and neither leak
 nor are leaked; repeated items are reported each; repeated rows of a doc_id count as one
-document; extra columns don't matter.
+document; rows without doc_id are one document for each different text; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -63,28 +63,37 @@ def windows(rows: DataFrame, key: str) -> DataFrame:
     return arrays.select(key, F.posexplode_outer("_z").alias("pos", "_z")).select(key, "pos", F.col("_z.h").alias("h"), F.col("_z.v").alias("value")).where("h is not null")
 
 
+#: What tells documents apart: a struct is never null, so it also joins.
+DOCUMENT = "named_struct('doc_id', doc_id, 'text', case when doc_id is null then sha2(coalesce(text, ''), 256) end)"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, containment): the items that each document leaks."""
+    return document_leaks(docs, benchmark).select("_doc.doc_id", "item_id", "matched", "n_windows", "containment")
+
+
+def document_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The same with _doc, by DOCUMENT, in place of doc_id."""
     items = windows(benchmark.select("item_id", "text"), "item_id").select("item_id", "h", F.col("pos").alias("item_pos"), F.col("value").alias("item_value"))
     sizes = items.groupBy("item_id").agg(F.max("item_pos").alias("last"))
     items = items.join(sizes, "item_id").withColumn("n_windows", (F.col("last") + 1).cast("bigint")).drop("last")
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     # The few hits are written, so that the scan of the texts keeps no aggregation state.
-    hits = materialize(windows(docs.select("doc_id", "text"), "doc_id").join(items, "h").select("doc_id", "item_id", "n_windows", "pos", "item_pos", "item_value", "value"))
-    aligned = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    hits = materialize(windows(docs.select(F.expr(DOCUMENT).alias("_doc"), "text"), "_doc").join(items, "h").select("_doc", "item_id", "n_windows", "pos", "item_pos", "item_value", "value"))
+    aligned = hits.groupBy("_doc", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("found"),
         F.collect_set(F.when(F.col("item_value") != "", F.struct("item_value", "value"))).alias("pairs"),
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.expr("transform(pairs, x -> x.item_value)")))
-    each = aligned.groupBy("doc_id", "item_id", "n_windows").agg(
+    each = aligned.groupBy("_doc", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("bigint").alias("matched"),
         F.max(F.struct(F.size("found").alias("n"), consistent.alias("ok"))).alias("best"),
     )
     return (
         each.where((F.col("matched") >= CONTAINMENT * F.col("n_windows")) & F.col("best.ok"))
         .withColumn("containment", F.col("matched") / F.col("n_windows"))
-        .select("doc_id", "item_id", "matched", "n_windows", "containment")
+        .select("_doc", "item_id", "matched", "n_windows", "containment")
     )
 
 
@@ -95,8 +104,8 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's form: documents that leak an item go."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = document_leaks(docs, benchmark).select("_doc").distinct()
+    return docs.withColumn("_doc", F.expr(DOCUMENT)).join(found, "_doc", "left_anti").select(docs.columns)
 
 
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)

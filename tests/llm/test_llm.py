@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt, op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix
 from minuteflow.llm.components import connected_components
@@ -376,6 +377,18 @@ def test_reparameterised_questions(spark):
     assert {r["doc_id"] for r in left.collect()} == {2, 3, 4, 5}
 
 
+def test_leaks_without_doc_id(spark):
+    item = prose(70, 30)
+    half = item.split()
+    texts = [item, " ".join(half[:17]), " ".join(half[13:]), None, prose(71, 30)]
+    frame = spark.createDataFrame([(None, t, "en", "a", 0) for t in texts], DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [(r["doc_id"], r["matched"]) for r in op9_decontaminate.leaks(frame, bench).collect()] == [(None, 26)]
+    assert op9_decontaminate.leaks(frame.where(~F.col("text").eqNullSafe(item)), bench).count() == 0
+    left = op9_decontaminate.without_leaks(frame, bench)
+    assert left.columns == frame.columns and collections.Counter(r["text"] for r in left.collect()) == collections.Counter(texts[1:])
+
+
 # 10. Mixing
 
 
