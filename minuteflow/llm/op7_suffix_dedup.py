@@ -5,7 +5,8 @@ buckets of anchors, and nothing is lost:
 
 1. anchors(): the LENGTH-byte strings that start in a row at neighbouring bytes and share their
    smallest ANCHOR-byte hash form one context. Equal strings have equal anchors at equal places,
-   so strings need comparing only under one anchor, and an anchor seen once holds no repeat.
+   so strings need comparing only under one anchor, and an anchor seen once holds no repeat: a
+   first scan counts anchors, a second one keeps the contexts of those in a bitmap of bounded size.
 2. Contexts that are equal as a whole are counted, not compared: seen twice, all their strings
    repeat. Only anchors with two or more different contexts go on.
 3. In a bucket of anchors each shard of contexts gets its own transform over 40-byte symbols (a
@@ -13,11 +14,13 @@ buckets of anchors, and nothing is lost:
    interleave refinement, and an interval of suffixes that share 5 symbols, 200 bytes, is a
    repeat if its contexts were seen twice or more. The contexts of an anchor with more than
    TOGETHER of them never meet in one task: their strings are dealt out by hash and counted.
-4. Repeats become byte ranges of each document, joined back by doc_id, and are cut out there.
+4. Repeats become byte ranges of each document and are cut out of the texts in a bitmap of those
+   that have any; the other texts never move.
 
 Defined cases: null and empty texts and texts under LENGTH bytes lose nothing; a repeated row
-repeats its whole text if that has LENGTH bytes; rows of one doc_id must hold one text; a null
-doc_id stands for a document named by its text; an empty table gives an empty result.
+repeats its whole text if that has LENGTH bytes; rows are told apart by doc_id and text, so one
+doc_id may have several texts, and a null doc_id is as good as any; an empty table gives an empty
+result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt
-from minuteflow.session import materialize
+from minuteflow.session import discard, materialize
 
 LENGTH = 200
 ANCHOR = 40
@@ -44,6 +47,8 @@ SHARDS = 4
 TOGETHER = 4096
 #: Bytes of text that a task hashes at once.
 CHUNK = 400_000
+#: Bits of a bitmap for each value, and the most it may have: 32 MB.
+BITS_A_VALUE, MAX_BITS = 16, 1 << 28
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -113,9 +118,10 @@ def _batched(keys, texts):
 PIECE = 1_000_000
 
 
-def _anchor_rows(frames):
+def _anchor_rows(frames, keep=None):
+    """Rows of anchors(); keep, a bitmap, drops contexts whose anchor it doesn't hold."""
     for frame in frames:
-        for ids, parts in _batched(frame["_k"], frame["text"]):
+        for ids, parts in _batched(zip(frame["_k"], frame["_v"]), frame["text"]):
             if len(parts) == 1 and len(parts[0]) > PIECE:
                 spans = [(ids, [parts[0][at : at + PIECE + LENGTH - 1]], at) for at in range(0, len(parts[0]) - LENGTH + 1, PIECE)]
             else:
@@ -128,15 +134,51 @@ def _anchor_rows(frames):
                 for end in (first + sizes).tolist():
                     valid[max(0, end - LENGTH + 1) : end] = False
                 starts, count, anchor, context = context_runs(data, valid)
+                if keep is not None:
+                    held = holds(keep, anchor)
+                    starts, count, anchor, context = starts[held], count[held], anchor[held], context[held]
                 doc = np.searchsorted(first, starts, side="right") - 1
+                keys = np.array(own, dtype=np.int64)[doc]
                 yield pd.DataFrame(
-                    {"_k": np.array(own, dtype=np.int64)[doc], "first": (starts - first[doc] + offset).astype(np.int64), "n": count.astype(np.int32), "anchor": anchor.view(np.int64), "context": context.view(np.int64)}
+                    {
+                        "_k": keys[:, 0],
+                        "_v": keys[:, 1],
+                        "first": (starts - first[doc] + offset).astype(np.int64),
+                        "n": count.astype(np.int32),
+                        "anchor": anchor.view(np.int64),
+                        "context": context.view(np.int64),
+                    }
                 )
 
 
-def anchors(keyed: DataFrame) -> DataFrame:
-    """(_k, first, n, anchor, context) for the contexts of every text."""
-    return keyed.select("_k", "text").mapInPandas(_anchor_rows, "_k bigint, first bigint, n int, anchor bigint, context bigint")
+def _anchor_hashes(frames):
+    for rows in _anchor_rows(frames):
+        anchor, seen = np.unique(rows["anchor"].to_numpy(), return_counts=True)
+        yield pd.DataFrame({"anchor": anchor, "seen": seen})
+
+
+def anchors(keyed: DataFrame, keep=None) -> DataFrame:
+    """(_k, _v, first, n, anchor, context) for the contexts of every text; keep, a broadcast bitmap, holds the anchors wanted."""
+    return keyed.select("_k", "_v", "text").mapInPandas(lambda frames: _anchor_rows(frames, keep and keep.value), "_k bigint, _v bigint, first bigint, n int, anchor bigint, context bigint")
+
+
+def bitmap(values: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the low bits of values (v), hashes: it holds every value, and others by chance.
+
+    It has BITS_A_VALUE bits for each of n values, but never more than MAX_BITS: what it holds by chance costs time only.
+    """
+    bits = min(MAX_BITS, max(64, 1 << (BITS_A_VALUE * n - 1).bit_length()))
+    word = F.shiftright("v", 6).bitwiseAND(F.lit(bits // 64 - 1))
+    words = values.select(word.cast("int").alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def holds(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of values (unsigned) whether the bitmap may hold it."""
+    word = (values >> np.uint64(6)) & np.uint64(len(words) - 1)
+    return (words[word.astype(np.int64)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _context_bytes(frames):
@@ -248,8 +290,8 @@ def _merge_bucket(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _wanted(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     """(text, wanted): the texts that hold the first occurrence of contexts, with those contexts."""
-    wanted = contexts.select("at._k", F.struct("anchor", "context", "weight", "n", "at.first").alias("x")).groupBy("_k").agg(F.collect_list("x").alias("wanted"))
-    return keyed.select("_k", "text").join(wanted, "_k").dropDuplicates(["_k"]).select("text", "wanted")
+    wanted = contexts.select("at._k", "at._v", F.struct("anchor", "context", "weight", "n", "at.first").alias("x")).groupBy("_k", "_v").agg(F.collect_list("x").alias("wanted"))
+    return keyed.select("_k", "_v", "text").join(wanted, ["_k", "_v"]).dropDuplicates(["_k", "_v"]).select("text", "wanted")
 
 
 def _large_anchors(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -258,18 +300,26 @@ def _large_anchors(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     often = materialize(strings.groupBy("anchor", "string").agg(F.sum("weight").alias("seen")).where("seen >= 2").select("anchor", "string"))
     run = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "context").orderBy("at"))
     hits = strings.join(often, ["anchor", "string"], "left_semi").select("anchor", "context", "at", run.alias("run"))
-    return hits.groupBy("anchor", "context", "run").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high")).drop("run")
+    out = materialize(hits.groupBy("anchor", "context", "run").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high")).drop("run"))
+    discard(strings)
+    discard(often)
+    return out
 
 
 def repeated_ranges(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """(_k, ranges): the byte ranges [low, high) of each document to remove, unmerged; documents without any are left out."""
-    found = anchors(keyed)
-    # Written tables: a join whose sides are plain shuffles can be split where an anchor is frequent.
-    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor"))
-    repeated = materialize(found.join(often, "anchor", "left_semi"))
-    distinct = materialize(repeated.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.min(F.struct("_k", "first")).alias("at")))
+    """(_k, _v, ranges): the byte ranges [low, high) of each document to remove, unmerged; documents without any are left out.
+
+    Only tables that a later step reads stay on disk.
+    """
+    seen = keyed.select("_k", "_v", "text").mapInPandas(_anchor_hashes, "anchor bigint, seen bigint").groupBy("anchor").agg(F.sum("seen").alias("seen"))
+    often = materialize(seen.where("seen >= 2").select(F.col("anchor").alias("v")))
+    keep = keyed.sparkSession.sparkContext.broadcast(bitmap(often, often.count()))
+    discard(often)
+    # An anchor held by chance has one context of weight 1, which no later step takes up.
+    found = materialize(anchors(keyed, keep))
+    distinct = materialize(found.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.min(F.struct("_k", "_v", "first")).alias("at")))
     several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts >= 2"))
-    alone = distinct.join(several, "anchor", "left_anti").where("weight >= 2").select("anchor", "context", F.lit(0).alias("low"), F.col("n").alias("high"))
+    alone = distinct.where("weight >= 2").join(several, "anchor", "left_anti").select("anchor", "context", F.lit(0).alias("low"), F.col("n").alias("high"))
     few, many = several.where(F.col("contexts") <= together), several.where(F.col("contexts") > together)
     contexts = materialize(_wanted(keyed, distinct.join(few, "anchor", "left_semi")).mapInPandas(_context_bytes, "anchor bigint, context bigint, weight bigint, n int, bytes binary"))
     size = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -278,8 +328,16 @@ def repeated_ranges(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
     parts = merged.unionByName(alone)
     if not many.isEmpty():
         parts = parts.unionByName(_large_anchors(keyed, distinct.join(many, "anchor", "left_semi")))
-    ranges = repeated.join(parts, ["anchor", "context"])
-    return ranges.select("_k", F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + (LENGTH - 1)).alias("high")).alias("r")).groupBy("_k").agg(F.collect_list("r").alias("ranges"))
+    parts = materialize(parts)
+    for table in (contexts, several, distinct):
+        discard(table)
+    # Merged at every size: the tables grow with the corpus.
+    ranges = found.join(parts.hint("merge"), ["anchor", "context"])
+    span = F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + (LENGTH - 1)).alias("high"))
+    out = materialize(ranges.select("_k", "_v", span.alias("r")).groupBy("_k", "_v").agg(F.collect_list("r").alias("ranges")))
+    discard(found)
+    discard(parts)
+    return out
 
 
 def cut(text: str | None, ranges) -> tuple[bytes, int, list[bytes]]:
@@ -308,8 +366,26 @@ def _cut_rows(frames):
         yield out
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with _k and _v, equal only for rows of one doc_id and text; the key survives a second scan."""
+    return docs.withColumn("_v", F.xxhash64("text")).withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.lit("no id"), "text")))
+
+
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    keyed = docs.withColumn("_k", F.coalesce("doc_id", F.xxhash64("text")))
-    return keyed.join(repeated_ranges(keyed, TOGETHER), "_k", "left").select("doc_id", "text", "ranges").mapInPandas(_cut_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    keyed = with_key(docs)
+    ranges = repeated_ranges(keyed, TOGETHER)
+    hashed = ranges.select(F.xxhash64("_k", "_v").alias("v"))
+    held = spark.sparkContext.broadcast(bitmap(hashed, ranges.count()))
+
+    @F.pandas_udf("boolean")
+    def cuts(hashes: pd.Series) -> pd.Series:
+        return pd.Series(holds(held.value, hashes.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    # Only texts that may lose something meet their ranges; the others are hashed where they are read.
+    marked = keyed.withColumn("cuts", cuts(F.xxhash64("_k", "_v")))
+    some = marked.where("cuts").join(ranges.hint("merge"), ["_k", "_v"], "left").select("doc_id", "text", "ranges")
+    none = marked.where("not cuts").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return some.mapInPandas(_cut_rows, schema).unionByName(none.mapInPandas(_cut_rows, schema))
