@@ -1,14 +1,18 @@
 """Main-text extraction from HTML by line-block distribution.
 
-Markup is stripped into lines, one for each block element, in page order. A line counts its
-text's length, or zero inside menus, headers, footers, sidebars, notices, adverts, forms, hidden
-parts and reader comments. On pages that mark an article or main element only lines inside it
-count. Any line with a length surges and the next without one dives: only structure decides, since
-a threshold on the density of lines loses headings and short paragraphs.
+Markup is stripped into lines, one for each block element, in page order. A line counts the
+characters of its text outside links (a heading all of them); menus, headers, footers, sidebars,
+notices, adverts, forms, hidden parts and reader comments, and on pages that mark an article or
+main element all that stands outside it, are one empty line each, however many blocks they hold.
+The lengths are summed over sliding windows of WINDOW lines. A window whose sum is 0 is a dive:
+its lines are a list of links. What stands between two dives is a stretch; it is text if one of
+its windows surges, that is, sums to SURGE or more. On a page without any surge all stretches are
+text, so short pages keep theirs, and a page without any stretch keeps its lines.
 
 Parsing is linear in the page's length. Defined cases: null and empty pages, and pages without
-text, give an empty text; broken and unclosed markup is read as far as it goes; repeated rows give
-repeated results; extra columns don't matter.
+text, give an empty text; broken and unclosed markup is read as far as it goes; an inline element
+never parts its block; repeated rows give repeated results; extra columns don't matter, but text
+and n_chars are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +51,12 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _CLOSERS = {name: re.compile(f"</{name}", re.I) for name in RAW}
 
 
+_NO_WORD = re.compile(r"\W+")
+
+#: Lines in a window, and the characters outside links from which a window surges.
+WINDOW, SURGE = 3, 80
+
+
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
@@ -68,23 +79,36 @@ def _main(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop") == "articleBody"
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, excluded, inside the marked main element) for each block, in page order."""
-    lines: list[tuple[str, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool]]:
+    """(text, length, inside the marked main element) for each block, in page order; an excluded part is ("", 0, ...)."""
+    lines: list[tuple[str, int, bool]] = []
+    #: Pieces of the block's text, and those of them that stand outside links.
     parts: list[str] = []
+    plain: list[str] = []
     #: Open elements: name, excluded, main, a header inside the main element.
     stack: list[tuple[str, bool, bool, bool]] = []
     opened: Counter[str] = Counter()
-    state = {"out": 0, "main": 0, "lead": 0, "heading": 0}
+    state = {"out": 0, "main": 0, "lead": 0, "heading": 0, "link": 0, "skipped": 0}
+
+    def add(text: str) -> None:
+        # A heading in the article's own header belongs to the article.
+        if state["out"] > 0 and not (state["heading"] and state["out"] == state["lead"]):
+            state["skipped"] = 1
+            return
+        parts.append(text)
+        if not state["link"] or state["heading"]:
+            plain.append(text)
 
     def flush() -> None:
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                # A heading in the article's own header belongs to the article.
-                out = state["out"] > 0 and not (state["heading"] and state["out"] == state["lead"])
-                lines.append((text, out, state["main"] > 0))
+        text = " ".join(unescape("".join(parts)).split()) if parts else ""
+        if text:
+            length = len(text) if len(plain) == len(parts) else len(_NO_WORD.sub("", unescape("".join(plain))))
+            lines.append((text, length, state["main"] > 0))
+        elif state["skipped"]:
+            lines.append(("", 0, state["main"] > 0))
+        parts.clear()
+        plain.clear()
+        state["skipped"] = 0
 
     def push(name: str, attributes: dict[str, str]) -> None:
         out, main = _excluded(name, attributes), _main(name, attributes)
@@ -103,16 +127,18 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
         state["main"] -= main
         state["lead"] -= lead
         state["heading"] -= name in HEADINGS
+        if len(stack) < state["link"] - 1:
+            state["link"] = 0
         return name
 
     at, size = 0, len(html)
     while at < size:
         sign = html.find("<", at)
         if sign < 0:
-            parts.append(html[at:])
+            add(html[at:])
             break
         if sign > at:
-            parts.append(html[at:sign])
+            add(html[at:sign])
         if html.startswith("<!--", sign):
             end = html.find("-->", sign + 4)
             at = size if end < 0 else end + 3
@@ -123,7 +149,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             continue
         tag = _NAME.match(html, sign + 1)
         if not tag:
-            parts.append("<")
+            add("<")
             at = sign + 1
             continue
         rest = _REST.match(html, tag.end())
@@ -133,8 +159,9 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
         if name in BLOCK:
             flush()
         if closing:
+            if name == "a":
+                state["link"] = 0
             if opened[name]:
-                flush()
                 while pop() != name:
                     pass
             continue
@@ -143,29 +170,73 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             at = size if not close else html.find(">", close.end()) + 1 or size
             continue
         if name == "br":
-            parts.append(" ")
+            add(" ")
         if name in VOID:
             continue
         source = html[tag.end() : end - 1]
         if source.endswith("/") and name not in BLOCK:
             continue
+        if name == "a":
+            state["link"] = len(stack) + 1
         attributes = _attributes(source)
         if name in BLOCK:
-            if stack and (stack[-1][0] == "p" or (name in SIBLINGS and stack[-1][0] == name)):
-                pop()
+            inline = 0
+            while inline < len(stack) and stack[-1 - inline][0] not in BLOCK:
+                inline += 1
+            if inline < len(stack) and (stack[-1 - inline][0] == "p" or (name in SIBLINGS and stack[-1 - inline][0] == name)):
+                for _ in range(inline + 1):
+                    pop()
             push(name, attributes)
         elif _excluded(name, attributes) or _main(name, attributes):
-            flush()
             push(name, attributes)
     flush()
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """The lines that count, joined by newlines."""
+def block_lines(html: str | None) -> list[tuple[str, int]]:
+    """(text, length) of each line; what is excluded or outside the main element is one empty line for each unbroken stretch."""
     lines = lines_of(html or "")
-    marked = any(inside and not out for _, out, inside in lines)
-    return "\n".join(text for text, out, inside in lines if not out and (inside or not marked))
+    marked = any(inside and text for text, _, inside in lines)
+    out: list[tuple[str, int]] = []
+    for text, length, inside in lines:
+        if text and (inside or not marked):
+            out.append((text, length))
+        elif not out or out[-1][0]:
+            out.append(("", 0))
+    return out
+
+
+def located(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """For each line, whether it lies in a stretch that surges between two dives."""
+    n = len(lengths)
+    width = min(window, n)
+    running = [0, *accumulate(lengths)]
+    sums = [running[k + width] - running[k] for k in range(n - width + 1)] if n else []
+    dived, reach = [False] * n, 0
+    for k, value in enumerate(sums):
+        if value == 0:
+            for j in range(max(k, reach), k + width):
+                dived[j] = True
+            reach = k + width
+    stretches, start = [], 0
+    for k in range(n + 1):
+        if k == n or dived[k]:
+            if k > start:
+                stretches.append((start, k))
+            start = k + 1
+    surges = [max(sums[max(0, a - width + 1) : b], default=0) >= surge for a, b in stretches]
+    keep = [not stretches] * n
+    for (a, b), good in zip(stretches, surges):
+        if good or not any(surges):
+            keep[a:b] = [True] * (b - a)
+    return keep
+
+
+def main_text(html: str | None) -> str:
+    """The lines of the text, joined by newlines."""
+    lines = block_lines(html)
+    keep = located([length for _, length in lines])
+    return "\n".join(text for (text, _), good in zip(lines, keep) if good and text)
 
 
 @F.pandas_udf(T.StringType())

@@ -58,7 +58,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n not in ("pipeline", "op7_suffix_array_dedup", "op4_license_scan", "op6_url_filter")])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for table in ("documents", "pages", "benchmark", "conversations"):
         spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
@@ -97,6 +97,50 @@ def test_html_without_marks_keeps_short_text():
     assert op1_html.main_text(page) == "\n".join(["Heading", "one", "two", long.strip(), "Short end."])
 
 
+def test_html_inline_parts_do_not_split_a_block():
+    assert op1_html.main_text('<p>Hello <svg/> world <span class="share">x</span> end</p>') == "Hello world end"
+    assert op1_html.main_text("<div><p>Short article text.</p></div>") == "Short article text."
+    assert op1_html.main_text("<article><p>one <button>b</button> two<p><span class=ad>x<p>three</article>") == "one two\nthree"
+
+
+def test_html_surges_and_dives_decide(monkeypatch):
+    links = "".join(f"<div><a href=x>Link number {k}</a></div>" for k in range(5))
+    text = "long text here " * 10
+    page = f"{links}<h1><a>T</a></h1><p>{text}</p>{links}<p>Corp 2020</p>"
+    for body in (page, f"<article>{page}</article>"):
+        assert op1_html.main_text(body) == f"T\n{text.strip()}"
+    assert op1_html.main_text(links) == "\n".join(f"Link number {k}" for k in range(5))
+    monkeypatch.setattr(op1_html, "located", lambda lengths: [True] * len(lengths))
+    assert op1_html.main_text(page) != f"T\n{text.strip()}"
+
+
+def test_html_windows_against_brute_force():
+    def brute(lengths, w=3, surge=80):
+        n, w = len(lengths), min(w, len(lengths))
+        windows = [range(k, k + w) for k in range(n - w + 1)]
+        dived = {i for win in windows for i in win if sum(lengths[j] for j in win) == 0}
+        areas = []
+        for i in range(n):
+            if i not in dived:
+                if i - 1 in dived or i == 0:
+                    areas.append([])
+                areas[-1].append(i)
+        good = [a for a in areas if any(sum(lengths[j] for j in win) >= surge for win in windows if set(win) & set(a))]
+        return [not areas or any(i in a for a in good or areas) for i in range(n)]
+
+    rnd = random.Random(4)
+    for _ in range(2000):
+        lengths = [rnd.choice([0, 0, 0, 0, 5, 30, 70, 200]) for _ in range(rnd.randrange(30))]
+        assert op1_html.located(lengths) == brute(lengths)
+
+
+def test_html_rows(spark):
+    page = "<article><p>x &amp; y</p></article>"
+    frame = spark.createDataFrame([(1, page, "old"), (1, page, "old"), (2, None, "old"), (3, "<p>" + "word " * 200_000, "old")], "page_id bigint, html string, text string")
+    got = sorted((r["page_id"], r["text"][:5], r["n_chars"]) for r in op1_html.extract(frame).collect())
+    assert got == [(1, "x & y", 5), (1, "x & y", 5), (2, "", 0), (3, "word ", 999_999)]
+
+
 # 2. SimHash
 
 
@@ -317,6 +361,7 @@ def test_repeated_starts_against_brute_force():
 @pytest.mark.parametrize("together", [op7_suffix_dedup.TOGETHER, 1])
 def test_suffix_dedup_against_brute_force(spark, tmp_path, monkeypatch, together):
     monkeypatch.setattr(op7_suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(op7_suffix_dedup, "PIECE", 700)
     passage, other = prose(9, 80), prose(10, 70)
     texts = [None, "", "short", passage, prose(1) + passage + prose(2), passage, "é" * 300, prose(3) + other + prose(4) + other, prose(5, 400), "ab" * 400, prose(6) + passage[:210] + "é" + passage[210:]]
     got = {r["doc_id"]: r for r in op7_suffix_dedup.op7_suffix_array_dedup(spark, saved(spark, tmp_path, docs(spark, texts))).collect()}
@@ -332,6 +377,22 @@ def test_suffix_dedup_against_brute_force(spark, tmp_path, monkeypatch, together
         assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(left).hexdigest())
 
 
+def test_suffix_dedup_of_two_texts_of_one_id_and_very_long_texts(spark, tmp_path):
+    passage, base = prose(9, 80), "".join(random.Random(11).choices("abcdefgh ", k=1_300_000))
+    texts = [(1, passage), (1, prose(12, 90)), (None, "x" + passage), (None, None), (2, base + passage), (3, prose(13, 50) + base[900_000:1_100_000])]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in op7_suffix_dedup.op7_suffix_array_dedup(spark, saved(spark, tmp_path, frame)).collect()}
+    size = len(passage.encode())
+    assert got == {
+        (1, size): size,
+        (1, len(texts[1][1].encode())): 0,
+        (None, size + 1): size,
+        (None, 0): 0,
+        (2, 1_300_000 + size): size + 200_000,
+        (3, len(texts[5][1].encode())): 200_000,
+    }
+
+
 # 8. Chat
 
 
@@ -351,6 +412,25 @@ def test_chat_detects_rewriting():
     assert rewritten == [2]
 
 
+def test_chat_template_that_rewrites_late(spark):
+    def template(messages):
+        return "".join(f"<{r}:{t if k == len(messages) - 1 or r == 'user' else t[:1]}>" for k, (r, t) in enumerate(messages))
+
+    turns = [(1, k, "assistant" if k == 100 else "user", f"text {k}") for k in range(150)]
+    read = [(r, t) for r, t in (("x", ""),)]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    got = op8_chat.format_digests(frame, template, lambda piece: read, lambda text: text).collect()
+    assert [r["n_rewrites"] for r in got] == [1]
+    assert [r["n_rewrites"] for r in op8_chat.format_digests(frame).collect()] == [0]
+
+
+def test_chat_own_conversation_stays_apart(spark, tmp_path):
+    turns = [(-1, 0, "user", "mine"), (-1, 1, "assistant", "x" * 300_000), (-1, 1, "assistant", "x" * 300_000)]
+    path = saved(spark, tmp_path, spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations")
+    got = sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in op8_chat.op8_chat_format(spark, path).collect())
+    assert got == [(-1, 2, 21), (-1, 3, 600_000)]
+
+
 def test_chat_query(spark, tmp_path):
     turns = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(150)] + [(2, 0, "user", None), (None, 0, None, "x")]
     path = saved(spark, tmp_path, spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations")
