@@ -379,7 +379,7 @@ def test_suffix_dedup_against_brute_force(spark, tmp_path, monkeypatch, together
 
 def test_suffix_dedup_of_two_texts_of_one_id_and_very_long_texts(spark, tmp_path):
     passage, base = prose(9, 80), "".join(random.Random(11).choices("abcdefgh ", k=1_300_000))
-    texts = [(1, passage), (1, prose(12, 90)), (None, "x" + passage), (None, None), (2, base + passage), (3, prose(13, 50) + base[900_000:1_100_000])]
+    texts = [(1, passage), (1, prose(12, 90)), (None, "x" + passage), (None, None), (2, base + "#" + passage), (3, prose(13, 50) + "#" + base[900_000:1_100_000])]
     frame = spark.createDataFrame(texts, "doc_id bigint, text string")
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in op7_suffix_dedup.op7_suffix_array_dedup(spark, saved(spark, tmp_path, frame)).collect()}
     size = len(passage.encode())
@@ -388,7 +388,7 @@ def test_suffix_dedup_of_two_texts_of_one_id_and_very_long_texts(spark, tmp_path
         (1, len(texts[1][1].encode())): 0,
         (None, size + 1): size,
         (None, 0): 0,
-        (2, 1_300_000 + size): size + 200_000,
+        (2, 1_300_001 + size): size + 200_000,
         (3, len(texts[5][1].encode())): 200_000,
     }
 
@@ -453,10 +453,29 @@ def test_reparameterised_questions(spark):
     bench = spark.createDataFrame([(7, question), (8, None), (9, "too short"), (7, question)], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in op9_decontaminate.leaks(docs(spark, texts), bench).collect()}
     assert got == {(0, 7), (1, 7)}
+    renamed = [(1, "Alice has 12 apples. Bob has 9 apples. How many apples do they have together in all?", "Carol has 7 apples. Dave has three apples. How many apples do they have together in all?")]
+    renamed += [(2, "O'Brien paid \u20ac5 for 120kg of coal and McDonald sold the rest of the coal to 9", "McCoy paid \u20ac8 for 75kg of coal and O'Hara sold the rest of the coal to 8,")]
+    # One value of the item may not stand for two: the first and the last slot differ.
+    renamed += [(3, "9 red stones lay in the old garden wall by the quiet river next to 9", "8 red stones lay in the old garden wall by the quiet river next to 7")]
+    renamed += [(6, "La. Arno came to Bern by night and left. The old road was long", "LA. ARNO CAME TO BERN BY NIGHT AND LEFT. THE OLD ROAD WAS LONG!!")]
+    renamed += [(4, "too short", "Too short."), (5, "too short two", "it is too short two")]
+    items = spark.createDataFrame([(k, a) for k, a, _ in renamed], "item_id bigint, text string")
+    found = op9_decontaminate.leaks(spark.createDataFrame([(k, b) for k, _, b in renamed], "doc_id bigint, text string"), items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 2), (4, 4), (6, 6)]
     left = op9_decontaminate.without_leaks(docs(spark, texts), bench)
     assert {r["doc_id"] for r in left.collect()} == {2, 3, 4, 5}
 
 
+def test_windows_of_numbers_give_no_pairs_of_all_places(spark, monkeypatch):
+    rnd = random.Random(8)
+    table = spark.createDataFrame([(1, " ".join(str(rnd.randrange(100)) for _ in range(3000))), (2, "a b " * 2000), (3, None), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(str(rnd.randrange(100)) for _ in range(40))) for k in range(200)] + [(200, "a b " * 30), (201, None)], "item_id bigint, text string")
+    hits, write = [], op9_decontaminate.materialize
+    monkeypatch.setattr(op9_decontaminate, "materialize", lambda f: hits.append(write(f)) or hits[-1])
+    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in op9_decontaminate.leaks(table, items).collect()] == [(2, 200, 1.0)]
+    assert hits[-1].count() < 10_000
+
+
 def test_leaks_without_doc_id(spark):
     item = prose(70, 30)
     half = item.split()
