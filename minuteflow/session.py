@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder named by spark.checkpoint.dir, which all executors must share.
+
+    Only a local session may go without: it gets a folder of its own, since its executor is the driver.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="minuteflow-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"minuteflow-{application}-")
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
