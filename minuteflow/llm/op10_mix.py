@@ -161,9 +161,11 @@ def mix(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS, tar
     else:
         # Both tables are bounded by MAX_SOURCES and the period.
         units, schedule = F.broadcast(units), F.broadcast(period_schedule(units, period))
-    keep = [c for c in docs.columns if c not in ("block", "slot", "release", "deadline", "position")]
+    own = ("block", "slot", "release", "deadline", "position")
+    keep = [c for c in docs.columns if c.lower() not in own]
+    # The rows travel in one column, so that no column of theirs meets one of the schedule's.
     placed = (
-        ranked(docs.select(keep))
+        ranked(docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")))
         .join(units.select("_source", "s", "u"), "_source")
         .withColumn("block", F.expr(f"_rank div {block_docs}"))
         .withColumn("_round", F.expr("block div u"))
@@ -183,7 +185,7 @@ def mix(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS, tar
         placed.withColumn("release", F.expr(f"block * {period} div u"))
         .withColumn("deadline", F.expr(f"((block + 1) * {period} + u - 1) div u"))
         .withColumn("position", F.expr(f"{before} + _rank % {block_docs}"))
-        .select(*keep, "block", "slot", "release", "deadline", "position")
+        .select("_row.*", *own)
     )
 
 

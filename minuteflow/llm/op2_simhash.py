@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minuteflow.llm.bitmap import row_keys, split_by_key
 from minuteflow.llm.components import connected_components
 from minuteflow.session import materialize
 
@@ -236,14 +237,18 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int =
     return sorted_rows.mapInPandas(lambda parts: _linked(parts, radius), "a bigint, b bigint").distinct()
 
 
+def rooted_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (fp, ...) -> (fp, root): the smallest fingerprint that each distinct one is linked to."""
+    nodes = materialize(prints.select("fp").distinct())
+    plan = choose_plan(nodes, nodes.count(), radius)
+    roots = connected_components(links(nodes, plan, radius))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     prints = materialize(fingerprints(docs))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    nodes = distinct.select("fp")
-    plan = choose_plan(nodes, nodes.count(), radius)
-    roots = connected_components(links(nodes, plan, radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(rooted_fingerprints(prints, radius), "fp")
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -255,10 +260,20 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: of each component the document of the smallest doc_id stays, once.
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The pipeline's form: of each component one row stays, that of the smallest doc_id.
 
-    Rows without doc_id stay as they are.
+    Rows are told apart by doc_id and text, so rows of one doc_id with unrelated texts all stay. A
+    row without doc_id stays only where no row of its component has one; of equal rows one stays.
+    Only rows that may go, or have equals, are shuffled.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    keyed = row_keys(docs.select("doc_id", "text"))
+    prints = materialize(keyed.select("_k", "_v", F.col("doc_id").isNull().alias("nameless"), simhash_udf("text").alias("fp")))
+    rows = prints.groupBy("fp", "nameless", "_k", "_v").agg(F.count("*").alias("n")).join(rooted_fingerprints(prints, radius), "fp")
+    rows = materialize(rows.select("root", "n", F.struct("nameless", "_k", "_v").alias("row")))
+    best = rows.groupBy("root").agg(F.min("row").alias("best"))
+    touched = materialize(rows.join(best, "root").where("n > 1 or row <> best").select("row._k", "row._v", (F.col("row") == F.col("best")).alias("stays")))
+    mine = row_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))).select("_k", "_v", "_row")
+    some, others = split_by_key(mine, touched)
+    kept = some.join(touched.where("not stays").hint("merge"), ["_k", "_v"], "left_anti").dropDuplicates(["_k", "_v"])
+    return kept.unionByName(others).select("_row.*")

@@ -1,11 +1,13 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine, then inheritance by path joins.
 
-Every line of every file is a header candidate, and the whole of a licence file (by its name) is one
-too. A unit's terms are weighted by TF-IDF over the templates; terms that no template has get the
-highest weight, so text around a licence statement lowers its cosine. Only units that share a term
-with a template are exploded (the others have cosine 0), and joined to the template terms. A file
-carries the licence of its best unit at or above THRESHOLD; a directory carries that of its licence
-files; a file without its own takes that of the nearest ancestor directory that has one.
+Every line and every sentence of every file is a unit, and the whole of a licence file (by its
+name) is one too; a sentence may go over several lines, as a wrapped header does. A unit's terms
+are weighted by TF-IDF over the templates; terms that no template has get the highest weight, so
+text around a licence statement lowers its cosine. Only units with a telling term are exploded:
+telling_terms() takes so many of each template that the rest of it can't reach THRESHOLD, so no
+unit at or above it is lost, whatever the templates. A file carries the licence of its best unit at
+or above THRESHOLD; a directory carries that of its licence files; a file without its own takes
+that of the nearest ancestor directory that has one.
 
 The templates are constants of bounded size and are broadcast. Inheritance is resolved once for
 each distinct directory and joined to files by directory; adaptive execution splits a directory
@@ -13,7 +15,7 @@ that holds a large part of them.
 
 Defined cases: null and empty texts carry no licence of their own; a null path has no ancestors;
 equal scores take the first licence by name; repeated rows give repeated results; extra columns
-don't matter.
+don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minuteflow.session import discard, materialize
+
 THRESHOLD = 0.55
 
 # Licence statements, headers and opening passages, by SPDX identifier.
@@ -38,6 +42,11 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 # Words without weight.
@@ -66,26 +75,46 @@ def template_weights() -> tuple[list[tuple[str, int, str, float]], float]:
     return rows, math.log(1 + len(counts)) + 1
 
 
+def telling_terms() -> list[str]:
+    """Terms of which a unit at or above the threshold has one: without them the rest of a template is too short a vector."""
+    rows, _ = template_weights()
+    telling = set()
+    for k in {r[1] for r in rows}:
+        left = 1.0
+        for weight, term in sorted(((r[4], r[2]) for r in rows if r[1] == k), reverse=True):
+            if math.sqrt(max(left, 0)) < THRESHOLD - 1e-6:
+                break
+            telling.add(term)
+            left -= weight * weight
+    return sorted(telling)
+
+
+#: White space after a full stop parts sentences.
+SENTENCE = "[.!?][ \t\n\r\f]+"
+
+
 def own_licences(files: DataFrame) -> DataFrame:
     """files (file_id, path, text) -> (file_id, licence, score) for files with a unit at or above the threshold."""
     rows, unknown = template_weights()
     spark = files.sparkSession
     weights = spark.createDataFrame(rows, "licence string, template int, term string, idf double, weight double")
-    vocabulary = ", ".join(f"'{t}'" for t in sorted({r[2] for r in rows}))
+    telling = ", ".join(f"'{t}'" for t in telling_terms())
     whole = f"case when path rlike '{LICENCE_FILE}' then array(text) else cast(array() as array<string>) end"
     # The outer form keeps Spark from inferring a filter on the array and so computing it twice.
-    units = files.select("file_id", F.posexplode_outer(F.expr(f"concat(split(text, '\\n'), {whole})")).alias("unit", "line"))
-    # A cheap test before terms are made: every template has one of these words.
-    near = units.where(F.col("line").rlike(r"(?i)licen|permission|redistribut|copyright|gnu|mozilla|apache|creative commons"))
-    termed = near.select("file_id", "unit", F.expr(_terms_sql("line")).alias("terms")).where(F.expr(f"arrays_overlap(terms, array({vocabulary}))"))
-    counted = termed.select("file_id", "unit", F.explode_outer("terms").alias("term")).groupBy("file_id", "unit", "term").agg(F.count("*").alias("tf"))
+    sentence = SENTENCE.encode("unicode_escape").decode().replace("\\", "\\\\")
+    units = files.select("file_id", F.posexplode_outer(F.expr(f"concat(split(text, '\\n'), split(text, '{sentence}'), {whole})")).alias("unit", "line"))
+    termed = units.select("file_id", "unit", F.expr(_terms_sql("line")).alias("terms")).where(F.expr(f"arrays_overlap(terms, array({telling}))"))
+    # Written: norms and products read it, and it is small.
+    counted = materialize(termed.select("file_id", "unit", F.explode_outer("terms").alias("term")).groupBy("file_id", "unit", "term").agg(F.count("*").alias("tf")))
     idf = F.broadcast(weights.select("term", "idf").distinct())
     weighted = counted.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = weighted.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(F.broadcast(weights.select("licence", "template", "term", "weight")), "term").groupBy("file_id", "unit", "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["file_id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
     best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("file_id", "b.licence", (-F.col("b.s")).alias("score"))
+    own = materialize(best.select("file_id", "b.licence", (-F.col("b.s")).alias("score")))
+    discard(counted)
+    return own
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -110,10 +139,13 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def derived_files(docs: DataFrame) -> DataFrame:
-    """The documents table has no paths: source and language are folders, and each hundred of doc_ids is a folder whose documents of a multiple of 20 are named LICENSE."""
-    name = F.expr("case when doc_id % 20 = 0 then concat('LICENSE.', doc_id) else concat(doc_id, '.txt') end")
-    folders = [F.col("source"), F.col("lang"), F.expr("concat('d', doc_id div 100 % 50)")]
-    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", *folders, name).alias("path"), "text")
+    """The documents table has no paths: source and language are folders, and each hundred of doc_ids is a folder.
+
+    Documents of a multiple of 20 are named LICENSE and stand by turns in the source's, the language's or the inner folder.
+    """
+    inner = "concat('d', doc_id div 100 % 50)"
+    path = f"case when doc_id % 20 > 0 then concat_ws('/', source, lang, {inner}, concat(doc_id, '.txt')) when doc_id div 20 % 60 = 0 then concat_ws('/', source, concat('LICENSE.', doc_id)) when doc_id div 20 % 20 = 1 then concat_ws('/', source, lang, concat('LICENSE.', doc_id)) else concat_ws('/', source, lang, {inner}, concat('LICENSE.', doc_id)) end"
+    return docs.select(F.col("doc_id").alias("file_id"), F.expr(path).alias("path"), "text")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -130,11 +162,11 @@ def _values() -> str:
 _IGNORED = ", ".join(f"'{w}'" for w in ["", *IGNORED])
 ORACLE_SQL = f"""
 with w(licence, template, term, idf, weight) as (values {_values()}),
-f as (select doc_id, source || '/' || lang || '/d' || (doc_id // 100 % 50) as dir, doc_id % 20 = 0 as lic,
-  source || '/' || lang || '/d' || (doc_id // 100 % 50) || '/' || case when doc_id % 20 = 0 then 'LICENSE.' || doc_id else doc_id || '.txt' end as path, text from documents),
-u as (select doc_id, unit, line from (select doc_id, unnest(string_split(text, chr(10)) || case when lic then [text] else [] end) as line,
-  unnest(range(len(string_split(text, chr(10))) + case when lic then 1 else 0 end)) as unit from f)
-  where regexp_matches(line, '(?i)licen|permission|redistribut|copyright|gnu|mozilla|apache|creative commons')),
+f as (select doc_id, doc_id % 20 = 0 as lic, dir, dir || '/' || case when doc_id % 20 = 0 then 'LICENSE.' || doc_id else doc_id || '.txt' end as path, text
+  from (select *, case when doc_id % 20 = 0 and doc_id // 20 % 60 = 0 then source when doc_id % 20 = 0 and doc_id // 20 % 20 = 1 then source || '/' || lang
+    else source || '/' || lang || '/d' || (doc_id // 100 % 50) end as dir from documents)),
+us as (select doc_id, string_split(text, chr(10)) || regexp_split_to_array(text, '{SENTENCE}') || case when lic then [text] else [] end as us from f),
+u as (select doc_id, unnest(us) as line, unnest(range(len(us))) as unit from us),
 t as (select doc_id, unit, unnest(list_filter(list_transform(regexp_split_to_array(lower(line), '[^a-z0-9.]+'), lambda x: trim(x, '.')), lambda x: x not in ({_IGNORED}))) as term from u),
 c as (select doc_id, unit, term, count(*) as tf from t group by all),
 x as (select c.*, tf * coalesce(i.idf, {template_weights()[1]!r}) as v from c left join (select distinct term, idf from w) i using (term)),

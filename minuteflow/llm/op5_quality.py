@@ -106,15 +106,26 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
-def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with its measures, base_failed and kept."""
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """The rows in one column, so that no column of theirs meets one of the measures'."""
+    return docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _verdict(packed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return (
-        with_measures(docs, text)
+        with_measures(packed, "_text")
         .withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
         .withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     )
 
 
+def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with its measures, base_failed and kept."""
+    measured = _verdict(_packed(docs, text), rules)
+    names = [c for c in measured.columns if c not in ("_text", "_row")]
+    return measured.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in names], *names)
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -123,9 +134,8 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's form: rejected documents go, columns stay."""
-    mine = docs.withColumn("_text", F.col("text")).select("_text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     # The filter stands on an exploded column: on the projection itself it would be pushed down with every measure inlined, and computed many times over.
-    return quality(mine, "_text").select("_row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("_row.*")
+    return _verdict(_packed(docs, "text"), RULES).select("_row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("_row.*")
 
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

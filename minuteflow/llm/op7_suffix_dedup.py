@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt
+from minuteflow.llm.bitmap import bitmap, holds, row_keys, split_by_key
 from minuteflow.session import discard, materialize
 
 LENGTH = 200
@@ -47,8 +48,6 @@ SHARDS = 4
 TOGETHER = 4096
 #: Bytes of text that a task hashes at once.
 CHUNK = 400_000
-#: Bits of a bitmap for each value, and the most it may have: 32 MB.
-BITS_A_VALUE, MAX_BITS = 16, 1 << 28
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -162,25 +161,6 @@ def anchors(keyed: DataFrame, keep=None) -> DataFrame:
     return keyed.select("_k", "_v", "text").mapInPandas(lambda frames: _anchor_rows(frames, keep and keep.value), "_k bigint, _v bigint, first bigint, n int, anchor bigint, context bigint")
 
 
-def bitmap(values: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the low bits of values (v), hashes: it holds every value, and others by chance.
-
-    It has BITS_A_VALUE bits for each of n values, but never more than MAX_BITS: what it holds by chance costs time only.
-    """
-    bits = min(MAX_BITS, max(64, 1 << (BITS_A_VALUE * n - 1).bit_length()))
-    word = F.shiftright("v", 6).bitwiseAND(F.lit(bits // 64 - 1))
-    words = values.select(word.cast("int").alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
-def holds(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each of values (unsigned) whether the bitmap may hold it."""
-    word = (values >> np.uint64(6)) & np.uint64(len(words) - 1)
-    return (words[word.astype(np.int64)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _context_bytes(frames):
     """(text, wanted) -> the bytes of each wanted context."""
     for frame in frames:
@@ -366,26 +346,14 @@ def _cut_rows(frames):
         yield out
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs with _k and _v, equal only for rows of one doc_id and text; the key survives a second scan."""
-    return docs.withColumn("_v", F.xxhash64("text")).withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.lit("no id"), "text")))
-
-
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    keyed = with_key(docs)
+    keyed = row_keys(docs)
     ranges = repeated_ranges(keyed, TOGETHER)
-    hashed = ranges.select(F.xxhash64("_k", "_v").alias("v"))
-    held = spark.sparkContext.broadcast(bitmap(hashed, ranges.count()))
-
-    @F.pandas_udf("boolean")
-    def cuts(hashes: pd.Series) -> pd.Series:
-        return pd.Series(holds(held.value, hashes.to_numpy(dtype=np.int64).view(np.uint64)))
-
     # Only texts that may lose something meet their ranges; the others are hashed where they are read.
-    marked = keyed.withColumn("cuts", cuts(F.xxhash64("_k", "_v")))
-    some = marked.where("cuts").join(ranges.hint("merge"), ["_k", "_v"], "left").select("doc_id", "text", "ranges")
-    none = marked.where("not cuts").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    some, none = split_by_key(keyed, ranges)
+    some = some.join(ranges.hint("merge"), ["_k", "_v"], "left").select("doc_id", "text", "ranges")
+    none = none.select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return some.mapInPandas(_cut_rows, schema).unionByName(none.mapInPandas(_cut_rows, schema))

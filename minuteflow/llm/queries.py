@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix
+from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, pipeline
 
 QUERIES = {
     "op1_html_main_text": op1_html.op1_html_main_text,
@@ -17,7 +15,7 @@ QUERIES = {
     "op8_chat_format": op8_chat.op8_chat_format,
     "op9_benchmark_decontamination": op9_decontaminate.op9_benchmark_decontamination,
     "op10_mix_sources": op10_mix.op10_mix_sources,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {
@@ -27,5 +25,5 @@ ORACLES = {
     "op9_benchmark_decontamination": op9_decontaminate.ORACLE_SQL,
     "op10_mix_sources": op10_mix.ORACLE_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from minuteflow.llm import bwt, op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix
+from minuteflow.llm import bwt, op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, pipeline
 from minuteflow.llm.components import connected_components
 from minuteflow.llm.queries import ORACLES, QUERIES
 
@@ -213,6 +213,16 @@ def test_allocation_sums_to_radius():
         assert sum(thresholds) == 4 - m + 1 and cost > 0
 
 
+def test_one_of_each_group_and_id(spark):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    given = [(1, a), (1, b), (2, a), (2, a), (None, a), (None, c), (None, c), (5, c.upper()), (6, None), (7, ""), (8, prose(4, 60_000)), (8, prose(4, 60_000))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, k) for k, (i, t) in enumerate(given)], DOCS + ", fp int").withColumn("_k", F.lit("k"))
+    out = op2_simhash.one_of_each(frame)
+    assert out.columns == frame.columns
+    got = sorted((r["doc_id"], (r["text"] or "")[:20]) for r in out.collect())
+    assert got == sorted([(1, a[:20]), (1, b[:20]), (5, c.upper()[:20]), (6, ""), (8, prose(4, 60_000)[:20])])
+
+
 # 3. Personal data
 
 
@@ -292,6 +302,27 @@ def test_license_inheritance(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("Apache-2.0", None), 4: (None, None), 5: ("MIT", None), 6: (None, None)}
 
 
+def test_license_units(spark):
+    header = "// Licensed under the Apache\n// License, Version\n// 2.0 (the License); you may not use\n// this file except in compliance with the License.\n\nint x;"
+    files = [(1, "a.c", "CC BY-NC 4.0"), (2, "b.c", "Released under MIT."), (3, "c.c", header), (4, "d.c", "We like rivers. Copyright 2020 Example Corp. Released under the MIT License."), (5, "e.c", "word " * 100_000 + ". Released under the MIT License. " + "word " * 1000), (6, "f.c", ""), (6, "f.c", "")]
+    frame = spark.createDataFrame(files, "file_id bigint, path string, text string").withColumn("term", F.lit("x")).withColumn("licence", F.lit("y"))
+    got = sorted((r["file_id"], r["licence"]) for r in op4_licenses.scan(frame).collect())
+    assert got == [(1, "CC-BY-NC-4.0"), (2, "MIT"), (3, "Apache-2.0"), (4, "MIT"), (5, "MIT"), (6, None), (6, None)]
+
+
+def test_telling_terms_lose_nothing():
+    rnd = random.Random(5)
+    weights, unknown = op4_licenses.template_weights()
+    idf, telling = {r[2]: r[3] for r in weights}, set(op4_licenses.telling_terms())
+    words = [*idf, "river", "stone"]
+    for _ in range(5000):
+        k, name = rnd.randrange(len(op4_licenses.TEMPLATES)), None
+        unit = collections.Counter([w for w in op4_licenses.terms(op4_licenses.TEMPLATES[k][1]) if rnd.random() < 0.6] + [rnd.choice(words) for _ in range(rnd.randrange(4))])
+        norm = sum((n * idf.get(w, unknown)) ** 2 for w, n in unit.items()) ** 0.5
+        best = max((sum(unit[r[2]] * r[3] * r[4] for r in weights if r[1] == j) / norm for j in range(len(op4_licenses.TEMPLATES))), default=0) if norm else 0
+        assert best < op4_licenses.THRESHOLD or telling & set(unit)
+
+
 # 5. Quality
 
 
@@ -306,6 +337,14 @@ def test_quality_cases(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {3, 5}
 
 
+def test_quality_keeps_odd_columns_and_long_texts(spark):
+    frame = docs(spark, [prose(1, 60), "river " + prose(2, 150_000), prose(1, 60)]).withColumn("_w", F.lit("w")).withColumn("_row", F.lit("r")).withColumn("kept", F.lit("mine"))
+    got = op5_quality.quality(frame).collect()
+    assert {(r["_w"], r["_row"], r["base_failed"]) for r in got} == {("w", "r", False)} and {r["kept"] for r in got} <= {True, False}
+    kept = op5_quality.keep_documents(frame)
+    assert kept.columns == frame.columns and {r["kept"] for r in kept.collect()} == {"mine"} and kept.count() == 3
+
+
 # 6. URLs
 
 
@@ -317,6 +356,13 @@ def test_url_filter(spark):
     assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
 
 
+def test_url_ties(spark):
+    entries = spark.sql("select * from values ('b', 'x.com', 'add', date'2024-01-01'), ('a', 'x.com', 'add', date'2024-01-01'), ('a', 'y.x.com', 'add', date'2024-01-01'), ('a', 'z.com', 'add', date'2024-01-01'), ('a', 'z.com', 'remove', date'2024-01-01') as t(list, pattern, action, entry_date)")
+    captures = spark.sql("select *, 'mine' as list, 'mine' as _key from values (1, 'http://y.x.com/p'), (2, 'http://x.com/'), (2, 'http://x.com/'), (3, 'http://z.com/') as t(page_id, url)").withColumn("fetch_date", F.expr("date'2024-02-01'"))
+    got = sorted((r["page_id"], r["list"], r["pattern"]) if r["blocked"] else (r["page_id"],) for r in op6_urls.filter_captures(captures, entries).collect())
+    assert got == [(1, "a", "y.x.com"), (2, "a", "x.com"), (2, "a", "x.com"), (3,)]
+
+
 # 7. Repeated passages
 
 
@@ -536,18 +582,37 @@ def test_mix_to_target_weights(spark):
     assert abs(got["a"] - 149) < 3 and abs(got["b"] - 50) < 3 and got.get("c", 0) <= 1
 
 
+def test_mix_keeps_odd_columns_and_repeated_rows(spark):
+    frame = spark.createDataFrame([(k % 50, "ab"[k % 2] if k % 5 else None) for k in range(200)], "doc_id bigint, source string")
+    for name in ("s", "u", "k", "done", "_piece", "_row", "_source", "Slot", "position"):
+        frame = frame.withColumn(name, F.lit("mine"))
+    out = op10_mix.mix(frame, 240, 4)
+    rows_ = out.collect()
+    assert sorted(r["position"] for r in rows_) == list(range(200)) and {(r["s"], r["done"], r["_piece"], r["_row"]) for r in rows_} == {("mine",) * 4}
+    assert collections.Counter((r["doc_id"], r["source"]) for r in rows_) == collections.Counter((r["doc_id"], r["source"]) for r in frame.collect())
+
+
 # The pipeline
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+def test_stages_on_empty_null_and_odd_rows(spark):
+    odd = docs(spark, [None, "", prose(1), prose(1), "a@b.co " + prose(2)]).unionByName(docs(spark, [prose(3)]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    odd = odd.withColumn("_row", F.lit("r")).withColumn("kept", F.lit("k"))
+    for frame in (odd, odd.limit(0)):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, frame, DATA)
+            assert out.columns[: len(frame.columns)] == frame.columns, name
+            assert {(r["_row"], r["kept"]) for r in out.collect()} <= {("r", "k")}
+            assert out.count() <= frame.count()
 
+
+def test_pipeline(spark, tmp_path):
     clean = [prose(k, 80) for k in range(12)]
     leak = prose(50, 40)
     texts = [*clean, clean[0], clean[1] + " end", "junk " * 50, None, prose(30, 60) + " " + leak + " " + prose(31, 60), prose(32, 60) + " write to a.b@example.com"]
     saved(spark, tmp_path, docs(spark, texts, ["a", "b", "c"]))
     path = saved(spark, tmp_path, spark.createDataFrame([(1, leak)], "item_id bigint, text string"), "benchmark")
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, path).collect()}
+    out = {r["doc_id"]: r for r in pipeline.run(spark, path).collect()}
     gone = {12, 14, 15, 16}
     assert set(range(12)) <= set(out) and not gone & set(out) and 17 in out
     assert out[17]["text"].endswith("[EMAIL]")
