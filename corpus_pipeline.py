@@ -1,56 +1,5 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, mixing.
+"""The corpus pipeline; its stages are those of minuteflow.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's docs.
-"""
+from minuteflow.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from minuteflow.llm import op2_simhash, op3_pii, op5_quality, op9_decontaminate, op10_mix
-from minuteflow.session import materialize, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table rejects go."""
-    return op5_quality.keep_documents(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return op2_simhash.one_of_each(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    return op9_decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked in the texts."""
-    return op3_pii.without_pii(docs)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its place in the mix of sources."""
-    return op10_mix.mix(docs)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("mixing", mixing),
-]
-
-#: Fingerprints and scheduling have no DuckDB form; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
