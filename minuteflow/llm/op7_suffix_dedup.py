@@ -173,14 +173,11 @@ def _context_bytes(frames):
 
 
 def _context_strings(frames):
-    """(text, wanted) -> the hash of each LENGTH-byte string of each wanted context."""
+    """Contexts with their bytes -> the hash of each of their LENGTH-byte strings."""
     for frame in frames:
-        for text, wanted in zip(frame["text"], frame["wanted"]):
-            raw = text.encode("utf-8", "replace")
-            rows = [(x["anchor"], x["context"], x["weight"], k, xxhash.xxh3_64_intdigest(raw[x["first"] + k : x["first"] + k + LENGTH])) for x in wanted for k in range(x["n"])]
-            out = pd.DataFrame(rows, columns=["anchor", "context", "weight", "at", "string"])
-            out["string"] = out["string"].astype("uint64").to_numpy().view("int64")
-            yield out
+        for anchor, context, weight, n, raw in zip(frame["anchor"], frame["context"], frame["weight"], frame["n"], frame["bytes"]):
+            string = np.array([xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) for k in range(n)], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"anchor": anchor, "context": context, "weight": weight, "at": np.arange(n, dtype=np.int32), "string": string})
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -274,9 +271,9 @@ def _wanted(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     return keyed.select("_k", "_v", "text").join(wanted, ["_k", "_v"]).dropDuplicates(["_k", "_v"]).select("text", "wanted")
 
 
-def _large_anchors(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+def _large_anchors(contexts: DataFrame) -> DataFrame:
     """(anchor, context, low, high) of the strings that repeat under anchors of many contexts, dealt by string."""
-    strings = materialize(_wanted(keyed, contexts).mapInPandas(_context_strings, "anchor bigint, context bigint, weight bigint, at int, string bigint"))
+    strings = materialize(contexts.mapInPandas(_context_strings, "anchor bigint, context bigint, weight bigint, at int, string bigint"))
     often = materialize(strings.groupBy("anchor", "string").agg(F.sum("weight").alias("seen")).where("seen >= 2").select("anchor", "string"))
     run = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "context").orderBy("at"))
     hits = strings.join(often, ["anchor", "string"], "left_semi").select("anchor", "context", "at", run.alias("run"))
@@ -300,14 +297,16 @@ def repeated_ranges(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
     distinct = materialize(found.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.min(F.struct("_k", "_v", "first")).alias("at")))
     several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts >= 2"))
     alone = distinct.where("weight >= 2").join(several, "anchor", "left_anti").select("anchor", "context", F.lit(0).alias("low"), F.col("n").alias("high"))
-    few, many = several.where(F.col("contexts") <= together), several.where(F.col("contexts") > together)
-    contexts = materialize(_wanted(keyed, distinct.join(few, "anchor", "left_semi")).mapInPandas(_context_bytes, "anchor bigint, context bigint, weight bigint, n int, bytes binary"))
+    contexts = materialize(_wanted(keyed, distinct.join(several, "anchor", "left_semi")).mapInPandas(_context_bytes, "anchor bigint, context bigint, weight bigint, n int, bytes binary"))
     size = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    merged = contexts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(_merge_bucket, "anchor bigint, context bigint, low int, high int")
+    many = materialize(several.where(F.col("contexts") > together).select("anchor"))
+    large = not many.isEmpty()
+    few = contexts.join(many, "anchor", "left_anti") if large else contexts
+    merged = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(_merge_bucket, "anchor bigint, context bigint, low int, high int")
     parts = merged.unionByName(alone)
-    if not many.isEmpty():
-        parts = parts.unionByName(_large_anchors(keyed, distinct.join(many, "anchor", "left_semi")))
+    if large:
+        parts = parts.unionByName(_large_anchors(contexts.join(many, "anchor", "left_semi")))
     parts = materialize(parts)
     for table in (contexts, several, distinct):
         discard(table)
