@@ -50,7 +50,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 # Words without weight.
-IGNORED = "a an and any are as at be by for from in is it of on or that the this to with you".split()
+IGNORED = "a all an and any are as at be but by for from have has if in is it its may no nor not of on or that the this to under was with you".split()
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 
