@@ -51,8 +51,10 @@ def claim_text() -> F.Column:
 
 def complete_claims(claims: DataFrame, evidence: DataFrame, query_type: str) -> DataFrame:
     """Claims (claim, evidence_ids) with a valid id, without repeats; explicit routes and empty claim lists get one for each uncited record."""
-    ids = evidence.agg(F.collect_set("evidence_id").alias("known"))
-    valid = claims.join(F.broadcast(ids), F.lit(True)).withColumn("evidence_ids", F.array_intersect(F.array_distinct("evidence_ids"), "known")).where((F.trim("claim") != "") & (F.size("evidence_ids") > 0)).select("claim", "evidence_ids").distinct()
+    cited = claims.where(F.trim("claim") != "").select("claim", F.posexplode("evidence_ids").alias("at", "evidence_id"))
+    known = cited.groupBy("claim", "evidence_id").agg(F.min("at").alias("at")).join(evidence.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct("at", "evidence_id")))
+    valid = known.groupBy("claim").agg(F.transform(listed, lambda x: x["evidence_id"]).alias("evidence_ids"))
     if query_type not in EXPLICIT and not valid.isEmpty():
         return valid
     cited = valid.select(F.explode("evidence_ids").alias("evidence_id")).distinct()

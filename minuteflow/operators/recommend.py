@@ -30,7 +30,7 @@ def related_meetings(meetings: DataFrame, items: DataFrame, meeting_id: str, lim
     attendees = meetings.select("meeting_id", F.explode(F.array_distinct("attendees")).alias("token")).where(strip(F.col("token")) != "")
     owners = items.where(_text("owner") != "").select("meeting_id", _text("owner").alias("token"))
     words = meetings.select("meeting_id", F.explode(_keywords("meeting_name")).alias("token")).union(items.select("meeting_id", F.explode(_keywords("content")).alias("token")))
-    unit = meetings.where(F.col("meeting_id") == meeting_id).select(F.col("responsible_unit").alias("target_unit"))
+    unit = meetings.where(F.col("meeting_id") == meeting_id).agg(F.min("responsible_unit").alias("target_unit"))
     out = meetings.where(F.col("meeting_id") != meeting_id).join(F.broadcast(unit), F.lit(True), "inner")
     for tokens_of, name in ((attendees, "shared_attendees"), (owners, "shared_owners"), (words, "shared_keywords")):
         out = out.join(_shared(tokens_of, "meeting_id", meeting_id, name), "meeting_id", "left")
@@ -56,6 +56,7 @@ def related_items(meetings: DataFrame, items: DataFrame, item_id: str, limit: in
     )
     meeting_words = meetings.select("meeting_id", _keywords("meeting_name").alias("m_words"))
     target = target.join(meeting_words.withColumnRenamed("m_words", "t_words"), target.t_meeting == F.col("meeting_id"), "left").drop("meeting_id")
+    target = target.limit(1)
     out = items.where(F.col("item_id") != item_id).join(F.broadcast(target), F.lit(True), "inner").join(meeting_words, "meeting_id", "left").join(_shared(words, "item_id", item_id, "shared_keywords"), "item_id", "left")
     month = F.substring(F.coalesce("planned_date", F.lit("")), 1, 7)
     score = (

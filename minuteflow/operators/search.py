@@ -107,7 +107,8 @@ def search_meetings(
     scored = scored_items(filter_items(items, filters), query, clicks, graph_items)
     if asked and not filters.on_items:
         scored = scored.where("keyword > 0 or graph > 0")
-    entry = F.struct((-F.col("item_score")).alias("rank"), "item_no", "item_id", "content", "item_score")
+    # One entry for each matched item of a meeting: the contract returns them all.
+    entry = F.struct((-F.col("item_score")).alias("rank"), "item_no", "item_id")
     per_meeting = scored.groupBy("meeting_id").agg(
         *[F.sum(c).alias(f"i_{c}") for c in ("keyword", "structure", "task", "feedback")],
         F.collect_list(entry).alias("entries"),

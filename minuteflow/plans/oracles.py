@@ -86,6 +86,11 @@ ctx as (select item_id from s union select item_id from v), kept as (select * fr
 f as (select item_id, 'RESPONSIBLE_BY' as matched_relation, 'graph' as evidence_source, 4.0::double as graph_score from kept union all select item_id, null, 'structured', 5.0 from s where item_id not in (select item_id from kept)
   union all select item_id, null, 'semantic', 0.75 from v where item_id not in (select item_id from kept union select item_id from s))"""
 
+PROMO = f"{WITH}, {ISSUES}"
+NAMED = f"""{WITH}, named as (select * from items join meetings using (meeting_id) where contains('WHICH ITEMS HAS THE 1-URGENT MACHINERY REVIEW MEETING?', upper(meeting_name)))"""
+COMPOSED = f"""{WITH}, {ISSUES}, composed as (select * from issues where {owned()} and owner like '%#00000000%' and lower(regulation) like '%brand#2%' and (contains(lower(content), 'gear') or contains(lower(title), 'gear'))
+  and meeting_id in (select meeting_id from meetings) order by meeting_date desc nulls first, item_no, item_id limit 100)"""
+
 EDGE_COUNTS = f"""{WITH}, {STATUSES}, {ISSUES}, {CO}
 select relation, n::bigint as edges from (
   select 'HAS_MEETING' as relation, count(*) as n from meetings union all select 'HAS_ITEM', count(*) from items union all select 'BELONGS_TO_UNIT', count(*) from meetings
@@ -123,18 +128,75 @@ c as (select kind, value, count(*) as count from v group by all) select kind, va
     "follow_up_chain": f"{WITH}, {ISSUES} select item_id, previous_item_id from chain where previous_item_id is not null",
     "related_keywords": f"""{WITH}, {CO}, b as (select "right" as keyword, weight, count from co where upper("left") = 'RED RING' union all select "left", weight, count from co where upper("right") = 'RED RING')
 select keyword, max(weight) as weight, max(count) as count from b group by 1 order by 2 desc, 3 desc, 1 limit 10""",
-    "keyword_hits": f"{WITH} select meeting_id, item_id, product as matched_keyword from items join meetings using (meeting_id) where product = 'red ring' union all select meeting_id, null, 'machinery' from meetings where meeting_name like '%machinery review'",
+    "keyword_hits": f"{WITH} select meeting_id, item_id, product as matched_keyword from items join meetings using (meeting_id) where product = 'red ring' union select meeting_id, item_id, 'machinery' from items join meetings using (meeting_id) where meeting_name like '%machinery review'",
     "responsible_items": RELATION.format(WITH, "owner", f"{owned()} and owner like '%000000007%'"),
     "date_items": RELATION.format(WITH, "actual_completed_date", "actual_completed_date like '%2000-04%'"),
     "product_items": RELATION.format(WITH, "product", "product = 'red ring'"),
     "regulation_items": RELATION.format(WITH, "regulation", "lower(regulation) like '%brand#21%'"),
-    "meeting_people": f"{WITH} select meeting_id, t as matched_entity from (select meeting_id, unnest(attendees) as t from meetings) where lower(t) like '%guest#3%'",
-    "unit_meetings": f"{WITH} select meeting_id, responsible_unit as matched_entity from meetings where lower(responsible_unit) like '%nation_3%' escape '!'",
+    "meeting_people": f"{WITH} select meeting_id, item_id, t as matched_entity from (select meeting_id, unnest(attendees) as t from meetings) join items using (meeting_id) where lower(t) like '%guest#3%'",
+    "meeting_people_all": f"""{WITH}, p as (select meeting_id, chairperson as person, 'CHAIRED_BY' as relation, 'chaired' as field from meetings union select meeting_id, recorder, 'RECORDED_BY', 'recorded' from meetings
+  union select meeting_id, unnest(attendees || [chairperson, recorder]), 'ATTENDED_BY', 'attended' from meetings)
+select distinct meeting_id, item_id, person as matched_entity, relation as matched_relation, field as matched_field from p join items using (meeting_id) where upper(person) like '%#000000007%'""",
+    "planned_items": f"{WITH} select meeting_id, item_id, planned_date as matched_entity, 'planned_date' as matched_field from items join meetings using (meeting_id) where planned_date like '%2000-04-1%'",
+    "unit_meetings": f"{WITH} select meeting_id, item_id, responsible_unit as matched_entity, 'responsible_unit' as matched_field from meetings join items using (meeting_id) where contains(lower(responsible_unit), 'nation_3')",
     "meeting_items_by_question": f"""{WITH}, s as (select meeting_id, (upper(meeting_name) like '%URGENT%')::int + (upper(meeting_name) like '%MACHINERY%')::int as match_score from meetings)
 select meeting_id, item_id, match_score::bigint as match_score from s join items using (meeting_id) where match_score = (select max(match_score) from s)""",
+    "meeting_items_by_name": f"{NAMED} select meeting_id, item_id, 100::bigint as match_score, meeting_name as matched_entity from named",
+    "meeting_items_by_id": f"""{WITH}, s as (select *, case when contains('LIST ITEMS OF MEETING #1027', meeting_id) then 95 else 0 end as match_score from meetings)
+select meeting_id, item_id, match_score::bigint as match_score, meeting_name as matched_entity from s join items using (meeting_id) where match_score = 95 order by meeting_date desc nulls first, item_no, item_id limit 40""",
     "composite_search": f"""{WITH}, {STATUSES} select meeting_id, item_id, 'action_' || item_id as matched_node_id, status, 3.8::double as graph_score from statuses join meetings m using (meeting_id)
 where product = 'red ring' and lower(responsible_unit) like '%nation!_1%' escape '!' and actual_completed_date is null and statuses.status not in ('completed', 'not_applicable')""".replace("select meeting_id, item_id, 'action_' || item_id as matched_node_id, status,", "select meeting_id, item_id, 'action_' || item_id as matched_node_id, statuses.status as status,"),
-    "issue_timeline": f"{WITH}, {ISSUES} select issue_id, item_id, previous_item_id, next_item_id, sequence_no from chain where issue_id in (select issue_id from issues where product = 'red ring')",
+    "composite_issues": f"{COMPOSED} select item_id, title as matched_entity, issue_id as matched_node_id, 'TRACKS_ISSUE' as matched_relation, 'issues' as matched_field, 4.5::double as graph_score from composed",
+    "composite_evidence": f"""{COMPOSED}, e as (select item_id, 'MeetingItem' as source_type, item_id as source_value, 'TRACKS_ISSUE' as relation, 'Issue' as target_type, issue_id as target_value, title as target_label from composed
+  union all select item_id, 'MeetingItem', item_id, 'RESPONSIBLE_BY', 'Person', owner, owner from composed where {owned()} and owner like '%#00000000%'
+  union all select item_id, 'MeetingItem', item_id, 'MENTIONS_REGULATION', 'Regulation', regulation, regulation from composed
+  union all select item_id, 'MeetingItem', item_id, 'MENTIONS', 'Keyword', product, product from composed where contains(product, 'gear')
+  union all select item_id, 'MeetingItem', item_id, 'MENTIONS', 'Keyword', regulation, regulation from composed where contains(lower(regulation), 'gear'))
+select distinct * from e""",
+    "follow_up_items": f"""{PROMO} select c.item_id, c.previous_item_id, c.meeting_id, p.meeting_id as previous_meeting_id, 4.4::double as graph_score
+from chain c join items p on c.previous_item_id = p.item_id join meetings m on m.meeting_id = c.meeting_id where contains(upper(c.content), 'PROMO') or contains(upper(p.content), 'PROMO') or contains(upper(c.title), 'PROMO')""",
+    "issue_timeline": f"""{PROMO} select issue_id, item_id, previous_item_id, split_part(previous_item_id, '-', 1) as previous_meeting_id, next_item_id, split_part(next_item_id, '-', 1) as next_meeting_id, title as matched_entity,
+  row_number() over (partition by issue_id order by coalesce(meeting_date, ''), coalesce(meeting_id, ''), item_no, item_id) as sequence_no from chain where contains(upper(content), 'PROMO') or contains(upper(title), 'PROMO') or contains(upper(signature), 'PROMO')""",
+    "timeline_evidence": f"""{PROMO}, t as (select * from chain where contains(upper(title), 'RED RING'))
+select item_id, 'MeetingItem' as source_type, item_id as source_value, 'TRACKS_ISSUE' as relation, 'Issue' as target_type, issue_id as target_value from t
+union all select item_id, 'MeetingItem', item_id, 'FOLLOW_UP_OF', 'MeetingItem', previous_item_id from t where previous_item_id is not null
+union all select item_id, 'MeetingItem', next_item_id, 'FOLLOW_UP_OF', 'MeetingItem', item_id from t where next_item_id is not null""",
+    "graph_search": f"""{WITH}, {STATUSES}, i as (select s.*, m.meeting_date, 'Check the ' as x from statuses s join meetings m using (meeting_id)),
+c as (select * from i where product = 'red ring' and status = 'pending' order by meeting_date desc nulls first, item_no, item_id limit 100),
+r as (select * from i where {owned()} and contains(owner, '000000007') order by meeting_date desc nulls first, item_no, item_id, owner limit 100),
+a as (select meeting_id, item_id, meeting_date, 3.8::double as graph_score, null as matched_keyword, substring(trim(regexp_replace(concat_ws(' ', content, tracking_result), '\\s+', ' ', 'g')), 1, 96) as matched_entity, 'HAS_ACTION' as matched_relation, 'composite' as retrieval_mode from c
+  union all select meeting_id, item_id, meeting_date, 4.0, null, owner, 'RESPONSIBLE_BY', 'relation' from r
+  union all select meeting_id, item_id, meeting_date, 3.0, product, product, 'MENTIONS', 'keyword' from i where product = 'red ring')
+select meeting_id, item_id, graph_score, matched_keyword, matched_entity, matched_relation, retrieval_mode from a order by graph_score desc, coalesce(meeting_date, ''), item_id limit 100""",
+    "graph_search_keywords": f"""{WITH}, {CO}, rel as (select keyword, max(weight) as weight, max(count) as n from (select "right" as keyword, weight, count from co where upper("left") = 'RED RING' union all select "left", weight, count from co where upper("right") = 'RED RING') group by 1 order by 2 desc, 3 desc, 1 limit 8),
+k as (select item_id, meeting_id, unnest([product, regulation]) as kw from items union select item_id, meeting_id, regexp_extract(meeting_name, '(\\w+) review$', 1) from items join meetings using (meeting_id)),
+s as (select k.item_id, m.meeting_date, case when kw = 'red ring' then 3.0::double else greatest(round(2.5 * weight, 2), 0.5)::double end as graph_score, kw as matched_keyword from k join meetings m using (meeting_id) left join rel on upper(kw) = upper(rel.keyword) where kw = 'red ring' or rel.keyword is not null)
+select item_id, graph_score, matched_keyword from s order by graph_score desc, coalesce(meeting_date, ''), item_id limit 3000""",
+    "graph_search_structural": f"{NAMED} select item_id, 5.2::double as graph_score, meeting_name as matched_entity, 'structural' as retrieval_mode from named order by meeting_date desc nulls first, item_no, item_id limit 30",
+    "graph_search_dates": f"{WITH} select item_id, 4.0::double as graph_score, planned_date as matched_entity, 'relation' as retrieval_mode from items join meetings using (meeting_id) where planned_date = '2000-04-11' order by meeting_date desc nulls first, item_no, item_id limit 30",
+    "graph_search_follow_up": f"""{PROMO}, t as (select * from chain where contains(upper(title), 'RED RING') order by issue_id, coalesce(meeting_date, ''), coalesce(meeting_id, ''), item_no, item_id limit 80)
+select item_id, 4.7::double as graph_score, title as matched_entity, 'TRACKS_ISSUE' as matched_relation, 'follow_up' as retrieval_mode from t""",
+    "graph_nodes": f"""{WITH}, {STATUSES}, {ISSUES}, n as (select 'Document' as type, document_id as id from meetings union select 'Meeting', meeting_id from meetings union select 'Meeting', meeting_id from items union select 'MeetingItem', item_id from items
+  union select 'Unit', responsible_unit from meetings union select 'Person', unnest(attendees || [chairperson, recorder]) from meetings union select 'Person', owner from items where {owned()}
+  union select 'Date', planned_date from statuses union select 'Date', actual_completed_date from statuses union select 'Keyword', unnest([product, regulation]) from items union select 'Keyword', regexp_extract(meeting_name, '(\\w+) review$', 1) from meetings
+  union select 'Product', product from items union select 'Regulation', regulation from items union select 'ActionItem', 'action_' || item_id from items union select 'Issue', issue_id from issues)
+select type, count(*) as n from n where trim(coalesce(id, '')) <> '' group by 1""",
+    "related_items": f"""{WITH}, t as (select * from items where item_id = (select min(item_id) from items)), tw as (select {TOKENS.format('meeting_name')} as w from meetings where meeting_id = (select meeting_id from t)),
+w as (select distinct item_id, unnest({TOKENS.format('content')}) as k from items), sh as (select item_id, count(*) as n from w where k in (select k from w where item_id = (select item_id from t)) group by 1),
+s as (select i.item_id, i.meeting_id, i.item_no, i.content, least(3 * coalesce(n, 0), 6) + case when trim(coalesce(i.owner, '')) <> '' and trim(i.owner) = trim(t.owner) then 4 else 0 end
+  + case when substring(coalesce(i.planned_date, ''), 1, 7) <> '' and substring(coalesce(i.planned_date, ''), 1, 7) = substring(coalesce(t.planned_date, ''), 1, 7) then 2 else 0 end
+  + case when list_has_any({TOKENS.format('meeting_name')}, (select w from tw)) then 2 else 0 end + case when (trim(coalesce(i.tracking_result, '')) = '') = (trim(coalesce(t.tracking_result, '')) = '') then 1 else 0 end as score
+  from items i cross join t left join meetings m on m.meeting_id = i.meeting_id left join sh on sh.item_id = i.item_id where i.item_id <> t.item_id)
+select item_id, meeting_id, item_no, content, score::bigint as score from s where score > 0 order by score desc, meeting_id, item_no, item_id limit 50""",
+    "highlight_snippets": f"""{WITH}, s as (select item_id, content || ' before the next release of the catalogue; see the notes of the last review' as t from items),
+f as (select *, case when regexp_matches(lower(t), '(^|[^a-z0-9])red ring([^a-z0-9]|$)') then 'red ring' when regexp_matches(lower(t), '(^|[^a-z0-9])bolt([^a-z0-9]|$)') then 'bolt' end as q from s),
+p as (select *, length(regexp_extract(lower(t), '^(.*?(^|[^a-z0-9]))' || q || '([^a-z0-9]|$)', 1)) as n0 from f where q is not null)
+select item_id, case when n0 > 20 then '...' else '' end || substring(t, greatest(n0 - 20, 0) + 1, least(n0, 20)) || '<mark>' || substring(t, n0 + 1, length(q)) || '</mark>' || substring(t, n0 + length(q) + 1, 30) || case when n0 + length(q) + 30 < length(t) then '...' else '' end as snippet from p""",
+    "keywords": f"""{WITH}, c as (select product as p from items), k as (select 'Check the ' || p || ' for' as name, 'english_phrase' as type, 'phrase' as method from c
+  union all select 'the ' || p, 'product', 'product_cue' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')
+  union all select p, 'product', 'product_cue' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')) select name, type, method, count(*) as n from k group by all""",
+    "point_ids": f"""{WITH}, h as (select meeting_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || meeting_id::blob) as d from meetings)
+select meeting_id, substring(d, 1, 8) || '-' || substring(d, 9, 4) || '-5' || substring(d, 14, 3) || '-' || substring('89ab', (strpos('0123456789abcdef', substring(d, 17, 1)) - 1) % 4 + 1, 1) || substring(d, 18, 3) || '-' || substring(d, 21, 12) as id from h""",
     "product_meeting_counts": f"{WITH} select product, count(distinct meeting_id) as meeting_count from items group by 1 order by 2 desc, 1 limit 20",
     "person_item_counts": f"{WITH} select owner as person, count(distinct item_id) as item_count from items where {owned()} group by 1 order by 2 desc, 1 limit 20",
     "meetings_with_both": f"{WITH} select meeting_id from items where regulation in ('Brand#2', 'Brand#3') group by 1 having count(distinct regulation) = 2",

@@ -82,8 +82,8 @@ def related_meetings(spark, d):
 
 
 def related_items(spark, d):
-    first = "5979"
-    return recommend.related_items(M(spark, d), I(spark, d).where("meeting_id is not null"), f"{first}-6-1" if "0.001" not in d else "5-1-1", 50)
+    first = I(spark, d).agg(F.min("item_id")).first()[0]
+    return recommend.related_items(M(spark, d), I(spark, d), first, 50)
 
 
 def highlight_snippets(spark, d):
@@ -166,29 +166,103 @@ def regulation_items(spark, d):
 
 
 def meeting_people(spark, d):
-    return graph_query.relation_meetings(edges(spark, d, "ATTENDED_BY"), M(spark, d), "ATTENDED_BY", "guest#3").select("meeting_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "ATTENDED_BY"), M(spark, d), I(spark, d), "ATTENDED_BY", "guest#3").select("meeting_id", "item_id", "matched_entity")
 
 
 def unit_meetings(spark, d):
-    return graph_query.relation_meetings(edges(spark, d, "BELONGS_TO_UNIT"), M(spark, d), "BELONGS_TO_UNIT", "nation_3").select("meeting_id", "matched_entity")
+    return graph_query.relation_items(edges(spark, d, "BELONGS_TO_UNIT"), M(spark, d), I(spark, d), "BELONGS_TO_UNIT", "nation_3").select("meeting_id", "item_id", "matched_entity", "matched_field")
+
+
+def meeting_people_all(spark, d):
+    """The three relations of people to meetings."""
+    e = edges(spark, d, "CHAIRED_BY", "RECORDED_BY", "ATTENDED_BY")
+    parts = [graph_query.relation_items(e, M(spark, d), I(spark, d), relation, "#000000007") for relation in ("CHAIRED_BY", "RECORDED_BY", "ATTENDED_BY")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("meeting_id", "item_id", "matched_entity", "matched_relation", "matched_field")
+
+
+def planned_items(spark, d):
+    return graph_query.relation_items(edges(spark, d, "HAS_PLANNED_DATE"), M(spark, d), I(spark, d), "HAS_PLANNED_DATE", "2000-04-1").select("meeting_id", "item_id", "matched_entity", "matched_field")
 
 
 def meeting_items_by_question(spark, d):
     return graph_query.meeting_items_by_question(M(spark, d), I(spark, d), "list the urgent machinery items", ["urgent", "machinery"]).select("meeting_id", "item_id", "match_score")
 
 
+def meeting_items_by_name(spark, d):
+    return graph_query.meeting_items_by_question(M(spark, d), I(spark, d), "which items has the 1-urgent machinery review meeting?").select("meeting_id", "item_id", "match_score", "matched_entity")
+
+
+def meeting_items_by_id(spark, d):
+    return graph_query.meeting_items_by_question(M(spark, d), I(spark, d), "list items of meeting #1027", limit=40).select("meeting_id", "item_id", "match_score", "matched_entity")
+
+
 def composite_search(spark, d):
-    rows = graph_query.composite(edges(spark, d, "HAS_ACTION", "MENTIONS_PRODUCT"), M(spark, d), semantics(spark, d), "action_items", {"product": "red ring", "status": "not_completed", "unit": "nation_1"}, 100000)
+    e = edges(spark, d, "HAS_ACTION", "MENTIONS_PRODUCT", "TARGETS_PRODUCT")
+    rows = graph_query.composite(e, M(spark, d), semantics(spark, d), "action_items", {"product_name": "red ring", "status": "not_completed", "unit_name": "nation_1"}, 100000)
     return rows.select("meeting_id", "item_id", "matched_node_id", "status", "graph_score")
 
 
+COMPOSITE = {"person_name": "#00000000", "regulation_name": "brand#2", "keyword": "gear"}
+
+
+def composite_issues(spark, d):
+    e = edges(spark, d, "TRACKS_ISSUE", "HAS_ACTION", "ASSIGNED_TO", "RESPONSIBLE_BY", "MENTIONS_REGULATION", "CONSTRAINED_BY", "MENTIONS")
+    return graph_query.composite(e, M(spark, d), semantics(spark, d), "issues", COMPOSITE, 100).select("item_id", "matched_entity", "matched_node_id", "matched_relation", "matched_field", "graph_score")
+
+
+def composite_evidence(spark, d):
+    e = edges(spark, d, "TRACKS_ISSUE", "HAS_ACTION", "ASSIGNED_TO", "RESPONSIBLE_BY", "MENTIONS_REGULATION", "CONSTRAINED_BY", "MENTIONS")
+    rows = graph_query.composite(e, M(spark, d), semantics(spark, d), "issues", COMPOSITE, 100)
+    return graph_query.composite_evidence(rows, e, M(spark, d), COMPOSITE).select("item_id", "source_type", "source_value", "relation", "target_type", "target_value", "target_label")
+
+
+def follow_up_items(spark, d):
+    e = edges(spark, d, "FOLLOW_UP_OF")
+    return graph_query.follow_up_pairs(e, M(spark, d), I(spark, d), semantics(spark, d), "promo").select("item_id", "previous_item_id", "meeting_id", "previous_meeting_id", "graph_score")
+
+
 def issue_timeline(spark, d):
-    return graph_query.issue_timeline(edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF"), M(spark, d), I(spark, d), "red ring").select("issue_id", "item_id", "previous_item_id", "next_item_id", F.col("sequence_no").cast("bigint").alias("sequence_no"))
+    e = edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF", "MENTIONS", "MENTIONS_PRODUCT", "MENTIONS_REGULATION")
+    rows = graph_query.issue_timeline(e, M(spark, d), I(spark, d), semantics(spark, d), "promo")
+    return rows.select("issue_id", "item_id", "previous_item_id", "previous_meeting_id", "next_item_id", "next_meeting_id", "matched_entity", F.col("sequence_no").cast("bigint").alias("sequence_no"))
+
+
+def timeline_evidence(spark, d):
+    e = edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF", "MENTIONS", "MENTIONS_PRODUCT", "MENTIONS_REGULATION")
+    return graph_query.timeline_evidence(graph_query.issue_timeline(e, M(spark, d), I(spark, d), semantics(spark, d), "red ring"))
+
+
+def _search(spark, d, question, modes, **more):
+    e = edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF", "HAS_ACTION", "RESPONSIBLE_BY", "ASSIGNED_TO", "HAS_PLANNED_DATE", "MENTIONS", "MENTIONS_PRODUCT", "MENTIONS_REGULATION", "TARGETS_PRODUCT")
+    return graph_query.search_graph(e, M(spark, d), I(spark, d), semantics(spark, d), cooccurrence(spark, d), question, modes, **more)
 
 
 def graph_search(spark, d):
-    rows = graph_query.search_graph(edges(spark, d, "RESPONSIBLE_BY", "MENTIONS"), M(spark, d), I(spark, d), cooccurrence(spark, d), "red ring", ("relation", "keyword"), ("RESPONSIBLE_BY", "000000007"), 100)
-    return rows.select("meeting_id", "item_id", "graph_score", "matched_keyword", "matched_entity")
+    """Composite and relation rows; keyword rows count only if they name the question itself."""
+    plan = {"target": "action_items", "constraints": {"product_name": "red ring", "status": "pending"}}
+    rows = _search(spark, d, "red ring", ("composite", "relation", "keyword"), intent="person_responsibility", entities={"person_name": "000000007"}, plan=plan, limit=100)
+    return rows.select("meeting_id", "item_id", "graph_score", "matched_keyword", "matched_entity", "matched_relation", "retrieval_mode")
+
+
+def graph_search_keywords(spark, d):
+    """Nothing but keywords: the question's own and related ones."""
+    return _search(spark, d, "red ring", ("keyword",), limit=3000).select("item_id", "graph_score", "matched_keyword")
+
+
+def graph_search_structural(spark, d):
+    """Items of a named meeting answer alone."""
+    return _search(spark, d, "which items has the 1-urgent machinery review meeting?", None, limit=30).select("item_id", "graph_score", "matched_entity", "retrieval_mode")
+
+
+def graph_search_dates(spark, d):
+    """Items of a date that is asked for answer alone."""
+    rows = _search(spark, d, "what is planned for 2000-04-11", None, intent="planned_date", entities={"date_value": "2000-04-11"}, limit=30)
+    return rows.select("item_id", "graph_score", "matched_entity", "retrieval_mode")
+
+
+def graph_search_follow_up(spark, d):
+    """The timeline of the issues that the longest phrase names."""
+    return _search(spark, d, "red ring", ("follow_up",), limit=80).select("item_id", "graph_score", "matched_entity", "matched_relation", "retrieval_mode")
 
 
 def product_meeting_counts(spark, d):

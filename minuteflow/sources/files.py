@@ -32,5 +32,6 @@ def write_mapping(mapping: DataFrame, path: str) -> None:
 
 
 def merge_mapping(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(kind, original, anonymized): new entries replace stored ones of the same key."""
-    return stored.join(new.select("kind", "original"), ["kind", "original"], "left_anti").unionByName(new)
+    """(kind, original, anonymized), sorted: new entries replace stored ones of the same key; of equal keys in new the smallest stays."""
+    fresh = new.groupBy("kind", "original").agg(F.min("anonymized").alias("anonymized"))
+    return stored.join(fresh.select("kind", "original"), ["kind", "original"], "left_anti").unionByName(fresh).orderBy("kind", "original")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minuteflow.session import table
+from minuteflow.session import materialize, table
 
 
 def iso(c: str) -> F.Column:
@@ -33,7 +33,22 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Canonical item tables written in this application, by application and source folder.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical item table: written once in an application, so that later reads prune columns and push filters down.
+
+    Numbering repeated lines shuffles and sorts them all; no filter passes that window.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialize(numbered_items(spark, sf_dir))
+    return _STORED[key]
+
+
+def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with part and supplier as meeting items."""
     lines, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus", "l_discount", "l_tax")

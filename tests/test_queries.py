@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).columns
+    assert registry.QUERIES[name](spark, DATA).count() >= 0
 
 
 def test_entry(spark):
