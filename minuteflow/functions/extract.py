@@ -60,12 +60,13 @@ def cue_phrases(c: Column, cues: tuple[str, ...] = PRODUCT_CUES) -> Column:
 def keyword_type(name: Column) -> Column:
     """regulation, abbreviation, product, mixed_term, english_phrase or chinese_term."""
     cjk, ascii_ = name.rlike("[一-鿿]"), name.rlike("[A-Za-z]")
-    short = F.size(F.split(name, r"\s+")) <= 4
-    cue = reduce(lambda a, b: a | b, (F.lower(name).rlike(rf"(?<![a-z]){c}(?![a-z])") for c in PRODUCT_CUES))
+    words = F.regexp_extract_all(name, F.lit(r"[A-Za-z][A-Za-z0-9-]*"), F.lit(0))
+    short = F.size(words) <= 4
+    cue = F.arrays_overlap(F.transform(words, F.lower), F.array(*[F.lit(c) for c in PRODUCT_CUES]))
     return (
         F.when(F.upper(name).isin(*REGULATIONS), "regulation")
         .when(name.rlike(r"^[A-Z][A-Z0-9/-]+$"), "abbreviation")
-        .when(cue & short & ~cjk, "product")
+        .when(cue & short, "product")
         .when(cjk & ascii_, "mixed_term")
         .when(ascii_, "english_phrase")
         .otherwise("chinese_term")

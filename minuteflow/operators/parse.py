@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minuteflow.functions.status import with_status
-from minuteflow.functions.text import nullable, repair_cjk, squash
+from minuteflow.functions.text import nullable, repair_cjk, squash, strip
 
 # Labels of the form, its title and the columns of its table.
 TITLE = "會議記錄單"
@@ -86,12 +86,13 @@ def meetings(payloads: DataFrame) -> DataFrame:
 
 
 def table_items(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Items from table rows whose first cell is a number."""
+    """Items from table rows whose first cell is a number and which hold some content."""
     pages = payloads.select("document_id", F.explode("pages").alias("p"))
     rows = pages.select("document_id", F.col("p.page_number").alias("page_number"), F.explode("p.tables").alias("t")).select("document_id", "page_number", F.explode("t.rows").alias("cells"))
     cell = lambda k: F.get("cells", F.lit(k))
     number = F.regexp_extract(folded(F.coalesce(cell(0), F.lit(""))), r"^\s*(\d+)\s*\.?\s*$", 1)
-    return _items(rows.where(number != "").select("document_id", "page_number", F.lpad(number, 2, "0").alias("item_no"), *[cell(k + 1).alias(c) for k, c in enumerate(CELLS)], F.lit("tables").alias("source")), parsed)
+    filled = F.exists(F.slice("cells", 2, len(CELLS)), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+    return _items(rows.where((number != "") & (F.size("cells") > 1) & filled).select("document_id", "page_number", F.lpad(number, 2, "0").alias("item_no"), *[cell(k + 1).alias(c) for k, c in enumerate(CELLS)], F.lit("tables").alias("source")), parsed)
 
 
 CELLS = ("content", "owner", "planned_date", "actual_completed_date", "tracking_result")

@@ -91,6 +91,11 @@ NAMED = f"""{WITH}, named as (select * from items join meetings using (meeting_i
 COMPOSED = f"""{WITH}, {ISSUES}, composed as (select * from issues where {owned()} and owner like '%#00000000%' and lower(regulation) like '%brand#2%' and (contains(lower(content), 'gear') or contains(lower(title), 'gear'))
   and meeting_id in (select meeting_id from meetings) order by meeting_date desc nulls first, item_no, item_id limit 100)"""
 
+FIRST_NAMED = f"""{WITH}, named as (select meeting_id, (case when contains('WHICHITEMSHASTHE1-URGENTMACHINERYREVIEWMEETING?', upper(meeting_id)) then 100 else 0 end) + (case when contains('WHICHITEMSHASTHE1-URGENTMACHINERYREVIEWMEETING?', upper(replace(meeting_name, ' ', ''))) then 100 else 0 end)
+    + coalesce((select sum(10 + length(t)) from (select unnest(['HAS', 'THE', '1-URGENT', 'MACHINERY', 'REVIEW']) as t) where contains(upper(meeting_id), t) or contains(upper(replace(meeting_name, ' ', '')), t) or contains(upper(document_id), t)), 0) as score from meetings),
+near as (select meeting_id from named where score > 0 and score >= greatest(0.75 * (select max(score) from named), (select max(score) from named) - 10)),
+firsts as (select items.*, m.meeting_name from items join meetings m using (meeting_id) where meeting_id in (select meeting_id from near) order by meeting_id, item_no::int, item_no, item_id limit {{}})"""
+
 EDGE_COUNTS = f"""{WITH}, {STATUSES}, {ISSUES}, {CO}
 select relation, n::bigint as edges from (
   select 'HAS_MEETING' as relation, count(*) as n from meetings union all select 'HAS_ITEM', count(*) from items union all select 'BELONGS_TO_UNIT', count(*) from meetings
@@ -209,6 +214,28 @@ select meeting_id, substring(d, 1, 8) || '-' || substring(d, 9, 4) || '-5' || su
   case when {meaningful('tracking_result')} then 'tracking_result: ' || tracking_result end)) as digest from items join meetings using (meeting_id)""",
     "evidence_fusion": f"{FUSED} select item_id, matched_relation, evidence_source, graph_score from f",
     "evidence_trace": f"{FUSED} select 'source' as kind, evidence_source as value, count(*) as count from f group by all union all select 'relation', matched_relation, count(*) from f where matched_relation is not null group by all",
+    "meetings_of_question": f"""{WITH}, s as (select meeting_id, document_id, upper(replace(meeting_name, ' ', '')) as n from meetings), q as (select 'WHICHITEMSHASTHEURGENTMACHINERYMEETING12DOC_12' as q),
+t as (select unnest(['HAS', 'THE', 'URGENT', 'MACHINERY', '12', 'DOC_12']) as t),
+x as (select meeting_id, case when contains(q, upper(meeting_id)) then 100 else 0 end + case when contains(q, n) then 100 else 0 end
+  + coalesce((select sum(10 + length(t)) from t where contains(upper(meeting_id), t) or contains(n, t) or contains(upper(document_id), t)), 0) as score from s, q)
+select meeting_id, score::bigint as match_score from x where score > 0 and score >= greatest(0.75 * (select max(score) from x), (select max(score) from x) - 10)""",
+    "meeting_items_context": f"{FIRST_NAMED.format(60)} select item_id, meeting_name, content from firsts",
+    "keyword_context": f"""{WITH} select item_id, meeting_name, content from items left join meetings m using (meeting_id) where {term('meeting_name', 'machinery')} or {term('content', 'blue bolt')}
+order by meeting_id, item_no::int, item_no, item_id limit 500""",
+    "structured_context": f"""{WITH}, r as (select item_id, 0 as src, 4.0::double as score from items join meetings using (meeting_id) where {owned()} and owner like '%000000007%' union all select item_id, 1, 0.5 + page_number / 10 from items where regulation = 'Brand#21'),
+b as (select item_id, min(src) as src, arg_min(score, src) as score from r group by 1) select item_id, meeting_name, content from b join items using (item_id) left join meetings using (meeting_id) order by src, score desc, item_id limit 700""",
+    "graph_context": f"""{WITH}, a as (select distinct meeting_id, unnest(attendees || [chairperson, recorder]) as p from meetings), i as (select items.* from items join meetings using (meeting_id))
+select 'Meeting(' || meeting_id || ')-[:HAS_ITEM]->MeetingItem(' || item_id || ')-[:RESPONSIBLE_BY]->Person(' || owner || ')' as path, 'complete_evidence' as selection from i where {owned()} and owner like '%000000007%'
+union all select 'Meeting(' || meeting_id || ')-[:ATTENDED_BY]->Entity(' || p || '); Meeting(' || meeting_id || ')-[:HAS_ITEM]->MeetingItem(' || item_id || ')', 'complete_evidence' from i join a using (meeting_id) where lower(p) like '%guest#3%'
+union all select 'Meeting(' || meeting_id || ')-[:HAS_ITEM]->MeetingItem(' || item_id || ')-[:MENTIONS_PRODUCT]->Product(' || product || ')', 'complete_evidence' from i where product = 'red ring'""",
+    "graph_preview": f"""{WITH} select 'Keyword(red ring)-[:MENTIONS {{field: content}}]-MeetingItem(' || item_id || ')<-[:HAS_ITEM]-Meeting(' || meeting_id || ')' as path, 'ranked_preview' as selection
+from items join meetings using (meeting_id) where product = 'red ring' order by coalesce(meeting_date, ''), item_id limit 6""",
+    "composite_paths": f"""{COMPOSED} select item_id, 'Meeting(' || meeting_id || ')-[:HAS_ITEM]->MeetingItem(' || item_id || '); ' || array_to_string(list_sort(list_filter([
+  'MeetingItem(' || item_id || ')-[:TRACKS_ISSUE]->Issue(' || title || ')', 'MeetingItem(' || item_id || ')-[:RESPONSIBLE_BY]->Person(' || owner || ')', 'MeetingItem(' || item_id || ')-[:MENTIONS_REGULATION]->Regulation(' || regulation || ')',
+  case when contains(product, 'gear') then 'MeetingItem(' || item_id || ')-[:MENTIONS]->Keyword(' || product || ')' end], lambda x: x is not null)), '; ') as path from composed""",
+    "summary_answer": f"""{FIRST_NAMED.format(7)}, o as (select *, row_number() over (order by meeting_id, item_no::int, item_no, item_id) as k from firsts)
+select case when any_value(names) = '' then '根據會議記錄，' else '根據 ' || any_value(names) || ' 的會議記錄，' end || '重點可整理為：' || string_agg(content, '；' order by k) filter (where k <= 5) || case when count(*) > 5 then '；另有 ' || (count(*) - 5) || ' 項相關紀錄可作為補充' else '' end || '。' as answer
+from o, (select string_agg(meeting_name, '、' order by k) as names from (select meeting_name, min(k) as k from o group by 1 order by 2 limit 3))""",
     "deidentified": f"""{WITH} select meeting_id, {PSEUDO.format('Person', 'person', 'chairperson')} as chairperson, {PSEUDO.format('Unit', 'unit', 'responsible_unit')} as responsible_unit, 'Call person at phone or email on 2001-08-01' as content from meetings""",
     "mapping_export": f"""{WITH} select distinct 'person' as kind, chairperson as original, {PSEUDO.format('Person', 'person', 'chairperson')} as anonymized from meetings
 union all select distinct 'unit', responsible_unit, {PSEUDO.format('Unit', 'unit', 'responsible_unit')} from meetings""",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
-from minuteflow.operators import evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, privacy, recommend, search, stats, vectors
-from minuteflow.session import table
+from minuteflow.operators import answers, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, privacy, recommend, search, stats, vectors
+from minuteflow.session import materialize, table
 from minuteflow.sources import tables
 
 QUERY, AS_OF, SALT = "red ring", "2001-08-01", "salt"
@@ -324,6 +324,51 @@ def evidence_trace(spark, d):
     return evidence.trace_counts(_evidence(spark, d))
 
 
+def meetings_of_question(spark, d):
+    return answers.meetings_of_question(M(spark, d), "which items has the urgent machinery meeting 12", "doc_12").select("meeting_id", F.col("match_score").cast("bigint").alias("match_score"))
+
+
+def meeting_items_context(spark, d):
+    return answers.meeting_items_context(M(spark, d), I(spark, d), "which items has the 1-urgent machinery review meeting?", 60).select("item_id", "meeting_name", "content")
+
+
+def keyword_context(spark, d):
+    return answers.keyword_context(M(spark, d), I(spark, d), ["machinery", "blue bolt"], 500).select("item_id", "meeting_name", "content")
+
+
+def structured_context(spark, d):
+    graph = graph_query.relation_items(edges(spark, d, "RESPONSIBLE_BY"), M(spark, d), I(spark, d), "RESPONSIBLE_BY", "000000007").select("item_id", F.lit(4.0).alias("graph_score"))
+    semantic = I(spark, d).where("regulation = 'Brand#21'").select("item_id", F.expr("0.5 + page_number / 10").alias("score"))
+    return answers.structured_context(answers.ranked_items(graph, semantic), I(spark, d), M(spark, d), 700).select("item_id", "meeting_name", "content")
+
+
+def graph_context(spark, d):
+    e = edges(spark, d, "RESPONSIBLE_BY", "ATTENDED_BY", "MENTIONS_PRODUCT")
+    parts = [graph_query.relation_items(e, M(spark, d), I(spark, d), r, v) for r, v in (("RESPONSIBLE_BY", "000000007"), ("ATTENDED_BY", "guest#3"), ("MENTIONS_PRODUCT", "red ring"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"graph_score": F.lit(4.0), "retrieval_mode": F.lit("relation"), "matched_keyword": F.lit(None).cast("string")})
+    return answers.graph_context(rows, 10, "relation_lookup").select("path", "selection")
+
+
+def graph_preview(spark, d):
+    """The few results near the best score."""
+    rows = _search(spark, d, "red ring", ("keyword",), limit=3000)
+    return answers.graph_context(rows, 10).select("path", "selection")
+
+
+def composite_paths(spark, d):
+    e = edges(spark, d, "TRACKS_ISSUE", "HAS_ACTION", "ASSIGNED_TO", "RESPONSIBLE_BY", "MENTIONS_REGULATION", "CONSTRAINED_BY", "MENTIONS")
+    rows = materialize(graph_query.composite(e, M(spark, d), semantics(spark, d), "issues", COMPOSITE, 100))
+    return answers.evidence_paths(rows, graph_query.composite_evidence(rows, e, M(spark, d), COMPOSITE)).select("item_id", "path")
+
+
+def summary_answer(spark, d):
+    """Claims of the first items of a meeting that a question names."""
+    rows = answers.meeting_items_context(M(spark, d), I(spark, d), "which items has the 1-urgent machinery review meeting?", 7)
+    numbered = rows.withColumn("claim_no", F.row_number().over(Window.orderBy(*answers.item_order())))
+    claims = numbered.select("claim_no", F.concat("content", F.lit("。")).alias("claim"), F.array("item_id").alias("evidence_ids"))
+    return answers.summary_answer(claims, numbered.select(F.col("item_id").alias("evidence_id"), "meeting_name"))
+
+
 def deidentified(spark, d):
     rows = M(spark, d).select("meeting_id", "chairperson", "responsible_unit", F.concat(F.lit("Call "), F.col("chairperson"), F.lit(" at +886 2 2345 6789 or a.b@example.com on 2001-08-01")).alias("content"))
     return privacy.deidentify(rows, privacy.sensitive_values(rows.select("meeting_id", "chairperson", "responsible_unit"), "meeting_id"), "meeting_id", SALT)

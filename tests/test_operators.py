@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, routing, status, text
-from minuteflow.operators import evidence, parse, privacy, vectors
+from minuteflow.operators import answers, evidence, graph_query, parse, privacy, vectors
 from minuteflow.schemas import PAGES
+from minuteflow.sources import files
 
 
 def value(spark, expression, **columns):
@@ -134,3 +135,34 @@ def test_click_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["query"], r["clicks"]) for r in spark.sql("select * from clicks_out").collect()] == [("red ring", 2)]
+
+
+def test_questions_that_are_or_begin_with_a_name(spark):
+    asked = ["王小明", "王小明 FDA 未完成", "Alice Wang", "FDA"]
+    got = {r["question"]: r for r in routing.route(spark.createDataFrame([(q,) for q in asked], "question string")).collect()}
+    assert [got[q]["person_name"] for q in asked] == ["王小明", "王小明", "Alice Wang", ""]
+    assert got["王小明"]["graph_intent"] == "person_responsibility"
+
+
+def test_keyword_types(spark):
+    names = spark.createDataFrame([("髖臼 stem",), ("Locking cage",), ("髖臼 plan",), ("FDA",)], "name string")
+    assert [r[0] for r in names.select(extract.keyword_type(F.col("name"))).collect()] == ["product", "product", "mixed_term", "regulation"]
+
+
+def test_claims_keep_known_evidence(spark):
+    evidence_ = spark.createDataFrame([("e1", "m", "i1", "one", None, None), ("e2", "m", "i2", "two", None, None)], "evidence_id string, meeting_id string, item_id string, content string, matched_relation string, matched_entity string")
+    claims = spark.createDataFrame([("a", ["e2", "e1", "e2", "x"]), ("b", ["x"]), (" ", ["e1"])], "claim string, evidence_ids array<string>")
+    assert [(r["claim"], r["evidence_ids"]) for r in evidence.complete_claims(claims, evidence_, "open_qa").collect()] == [("a", ["e2", "e1"])]
+
+
+def test_mapping_keeps_the_new_and_sorts(spark, tmp_path):
+    stored = spark.createDataFrame([("p", "b", "1"), ("p", "a", "2")], "kind string, original string, anonymized string")
+    new = spark.createDataFrame([("p", "a", "4"), ("p", "a", "3")], "kind string, original string, anonymized string")
+    assert [tuple(r) for r in files.merge_mapping(stored, new).collect()] == [("p", "a", "3"), ("p", "b", "1")]
+
+
+def test_questions_and_modes():
+    assert graph_query.retrieval_modes(None) == graph_query.MODES and graph_query.retrieval_modes(["Follow_Up", "x", "keyword", "keyword"]) == ("follow_up", "keyword")
+    assert graph_query.meeting_terms("which items has the FDA label meeting?") == ["HAS", "THE", "FDA", "LABEL"]
+    assert graph_query.follow_up_keyword("follow up of ISO 13485 items") == "ISO 13485" and graph_query.follow_up_keyword("標籤 後續追蹤") == "標籤"
+    assert answers.question_terms("列出這場 label 會議的項目") == ["label"]
