@@ -145,7 +145,7 @@ def test_questions_that_are_or_begin_with_a_name(spark):
 
 
 def test_keyword_types(spark):
-    names = spark.createDataFrame([("髖臼 stem",), ("Locking cage",), ("髖臼 plan",), ("FDA",)], "name string")
+    names = spark.createDataFrame([("髖臼 stem",), ("Conformity stem",), ("髖臼 plan",), ("FDA",)], "name string")
     assert [r[0] for r in names.select(extract.keyword_type(F.col("name"))).collect()] == ["product", "product", "mixed_term", "regulation"]
 
 
