@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt
-from minuteflow.llm.bitmap import bitmap, holds, row_keys, split_by_key
+from minuteflow.llm.bitmap import bitmap, holds, row_keys
 from minuteflow.session import discard, materialize
 
 LENGTH = 200
@@ -42,7 +42,7 @@ ANCHOR = 40
 #: A symbol of the transforms is so many bytes; LENGTH is a whole number of symbols.
 SYMBOL = 40
 #: Bytes of contexts in a bucket, and its shards.
-BUCKET_BYTES = 400_000
+BUCKET_BYTES = 250_000
 SHARDS = 4
 #: Different contexts of one anchor that meet in a bucket; an anchor with more is dealt out by string.
 TOGETHER = 4096
@@ -114,7 +114,7 @@ def _batched(keys, texts):
 
 
 #: A longer text is read in overlapping pieces of this many bytes.
-PIECE = 1_000_000
+PIECE = 500_000
 
 
 def _anchor_rows(frames, keep=None):
@@ -336,13 +336,20 @@ def cut(text: str | None, ranges) -> tuple[bytes, int, list[bytes]]:
 def _cut_rows(frames):
     for frame in frames:
         rows = []
-        for doc_id, text, ranges in zip(frame["doc_id"], frame["text"], frame["ranges"]):
+        for doc_id, text, ranges in zip(frame["doc_id"], frame["text"], frame["ranges"] if "ranges" in frame else [None] * len(frame)):
             raw, spans, kept = cut(text, ranges)
-            left = b"".join(kept)
-            rows.append((None if pd.isna(doc_id) else int(doc_id), len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+            digest, left = hashlib.sha256(), 0
+            for piece in kept:
+                digest.update(piece)
+                left += len(piece)
+            rows.append((doc_id, len(raw), len(raw) - left, spans, digest.hexdigest()))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _held(frames, words: np.ndarray, wanted: bool):
+    """The rows whose key may be in a bitmap, or those whose key surely isn't."""
+    for frame in frames:
+        yield frame[holds(words, frame["_h"].to_numpy(dtype=np.int64).view(np.uint64)) == wanted]
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
@@ -350,9 +357,11 @@ def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed = row_keys(docs)
     ranges = repeated_ranges(keyed, TOGETHER)
+    held = spark.sparkContext.broadcast(bitmap(ranges.select(F.xxhash64("_k", "_v").alias("v")), ranges.count()))
     # Only texts that may lose something meet their ranges; the others are hashed where they are read.
-    some, none = split_by_key(keyed, ranges)
-    some = some.join(ranges.hint("merge"), ["_k", "_v"], "left").select("doc_id", "text", "ranges")
-    none = none.select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return some.mapInPandas(_cut_rows, schema).unionByName(none.mapInPandas(_cut_rows, schema))
+    # doc_id goes through Python as text: beside nulls it would become a double.
+    rows = keyed.select(F.col("doc_id").cast("string").alias("doc_id"), "_k", "_v", "text", F.xxhash64("_k", "_v").alias("_h"))
+    some = rows.mapInPandas(lambda frames: _held(frames, held.value, True), rows.schema).join(ranges.hint("merge"), ["_k", "_v"], "left").select("doc_id", "text", "ranges")
+    schema = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    none = rows.mapInPandas(lambda frames: _cut_rows(_held(frames, held.value, False)), schema)
+    return some.mapInPandas(_cut_rows, schema).unionByName(none).withColumn("doc_id", F.col("doc_id").cast("bigint"))
