@@ -120,9 +120,76 @@ def build_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src_type").alias("type"), F.col("src_id").alias("id")).union(edges.select("dst_type", "dst_id")).distinct()
 
 
+def descriptor_title() -> F.Column:
+    """At most 96 characters of the item's text, or its id where it has none."""
+    return truncate(F.when(F.col("text") != "", F.col("text")).otherwise(F.col("item_id")), ACTION_TITLE)
+
+
 def actions(sem: DataFrame) -> DataFrame:
-    """Action rows: title of at most 96 characters, status and dates."""
-    return sem.select(F.concat(F.lit("action_"), "item_id").alias("action_id"), "item_id", truncate(F.col("text"), ACTION_TITLE).alias("title"), "status", "status_source", "status_confidence", "planned_date", "actual_completed_date")
+    """Action rows: title of at most 96 characters, status, texts and dates."""
+    texts = [squash(F.coalesce(c, F.lit(""))).alias(c) for c in ("content", "tracking_result")]
+    return sem.select(F.concat(F.lit("action_"), "item_id").alias("action_id"), "item_id", descriptor_title().alias("title"), "status", "status_source", "status_confidence", *texts, "planned_date", "actual_completed_date")
+
+
+def decisions(sem: DataFrame) -> DataFrame:
+    """(decision_id, item_id, title, evidence) of the items that decide something."""
+    return sem.where("decided").select(F.concat(F.lit("decision_"), "item_id").alias("decision_id"), "item_id", descriptor_title().alias("title"), F.col("text").alias("evidence"))
+
+
+def risks(sem: DataFrame) -> DataFrame:
+    """(risk_id, item_id, name, evidence, severity) of the items that name a risk."""
+    return sem.where("risky").select(F.concat(F.lit("risk_"), "item_id").alias("risk_id"), "item_id", descriptor_title().alias("name"), F.col("text").alias("evidence"), "severity")
+
+
+def nodes_of(rows: DataFrame, kind: str, key: str, *properties: str) -> DataFrame:
+    """(type, id, properties) of rows, one for each key: the smallest set of properties where they differ; null properties are left out."""
+    entries = F.filter(F.array(*[F.struct(F.lit(p).alias("key"), F.col(p).cast("string").alias("value")) for p in sorted(properties)]), lambda e: e["value"].isNotNull())
+    known = rows.where(strip(F.coalesce(key, F.lit(""))) != "").groupBy(F.col(key).alias("id")).agg(F.min(entries).alias("entries"))
+    return known.select(F.lit(kind).alias("type"), "id", F.map_from_entries("entries").alias("properties"))
+
+
+def build_node_properties(meetings: DataFrame, items: DataFrame, mentions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Nodes (type, id, properties map) of the whole graph; documents (document_id, original_filename) names the files.
+
+    A date that is both planned and completed is two nodes. A keyword takes the type of its best mention.
+    """
+    sem = materialize(semantics(items, mentions))
+    files = documents if documents is not None else meetings.withColumn("original_filename", F.lit(None).cast("string"))
+    named = lambda rows, c: rows.select(F.col(c).alias("name"))
+    attended = meetings.select(F.explode_outer(F.concat(F.array("chairperson", "recorder"), F.coalesce("attendees", F.array().cast("array<string>")))).alias("name")).where(has_owner(F.col("name")))
+    people = attended.union(sem.select(F.explode_outer("people").alias("name"))).distinct()
+    dated = [nodes_of(sem.select(F.col(c).alias("date_value"), F.lit(kind).alias("date_type")), "Date", "date_value", "date_type", "date_value") for c, kind in (("planned_date", "planned"), ("actual_completed_date", "completed"))]
+    keywords = mentions.groupBy("name").agg(F.max_by("type", F.struct("score", "type")).alias("type"))
+    of_content = mentions.where("owner_type = 'MeetingItem' and field = 'content'")
+    parts = [
+        nodes_of(files, "Document", "document_id", "document_id", "original_filename"),
+        nodes_of(meetings, "Meeting", "meeting_id", "meeting_id", "meeting_name", "meeting_date", "responsible_unit"),
+        nodes_of(sem, "MeetingItem", "item_id", "item_id", "item_no", "content", "planned_date", "actual_completed_date", "status", "status_source", "status_confidence"),
+        *dated,
+        nodes_of(people, "Person", "name", "name"),
+        nodes_of(named(meetings, "responsible_unit"), "Unit", "name", "name"),
+        nodes_of(keywords, "Keyword", "name", "name", "type"),
+        nodes_of(of_content.where("type = 'product'"), "Product", "name", "name"),
+        nodes_of(of_content.where("type = 'regulation'"), "Regulation", "name", "name"),
+        nodes_of(actions(sem), "ActionItem", "action_id", "action_id", "title", "status", "status_source", "status_confidence", "content", "tracking_result", "planned_date", "actual_completed_date"),
+        nodes_of(decisions(sem), "Decision", "decision_id", "decision_id", "title", "evidence"),
+        nodes_of(risks(sem), "Risk", "risk_id", "risk_id", "name", "evidence", "severity"),
+        nodes_of(sem.select("issue.*"), "Issue", "issue_id", "issue_id", "title", "signature"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def mention_edges(mentions: DataFrame) -> DataFrame:
+    """MENTIONS edges, one for each owner, keyword and field, with the score and method of the best mention."""
+    best = F.max_by(F.struct("score", "method"), F.struct("score", "method"))
+    found = mentions.where((strip(F.coalesce("owner_id", F.lit(""))) != "") & (strip(F.coalesce("name", F.lit(""))) != ""))
+    one = found.groupBy("owner_type", "owner_id", "name", "field").agg(best.alias("b"))
+    return one.select(F.col("owner_type").alias("src_type"), F.col("owner_id").alias("src_id"), F.lit("MENTIONS").alias("relation"), F.lit("Keyword").alias("dst_type"), F.col("name").alias("dst_id"), "field", "b.score", "b.method")
+
+
+def cooccurrence_edges(mentions: DataFrame) -> DataFrame:
+    """CO_OCCURS_WITH edges with their count and weight."""
+    return cooccurrence(mentions).select(F.lit("Keyword").alias("src_type"), F.col("left").alias("src_id"), F.lit("CO_OCCURS_WITH").alias("relation"), F.lit("Keyword").alias("dst_type"), F.col("right").alias("dst_id"), "count", "weight")
 
 
 def build_summary(edges: DataFrame) -> DataFrame:

@@ -92,3 +92,35 @@ def upload_problem(name: str, size: str, allowed: tuple[str, ...] = ("pdf", "doc
         .when(F.col(size) > MAX_UPLOAD_BYTES, "too large")
         .when(F.coalesce(F.col(size), F.lit(0)) <= 0, "empty")
     )
+
+
+def normalize_tags(tags: F.Column) -> F.Column:
+    """A comma-separated text as a list of stripped, non-empty tags; null is an empty list."""
+    parts = F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    return F.filter(parts, lambda t: t != "")
+
+
+def file_modified_at(given: F.Column, of_file: F.Column, now: F.Column) -> F.Column:
+    """The given time if it can be read, else that of the stored file, else now."""
+    return F.coalesce(F.try_to_timestamp(given), of_file, now)
+
+
+def new_documents(uploads: DataFrame, at: str) -> DataFrame:
+    """Records of uploaded files: uploads (document_id, original_filename, file_size, mime_type, doc_type, description, tags, given_modified_at, modification_time)."""
+    now = F.lit(at).cast("timestamp")
+    suffix = F.lower(F.regexp_extract("original_filename", r"[^.](\.[^.]+)$", 1))
+    stored = F.concat("document_id", suffix)
+    guessed = F.when(suffix == ".pdf", "application/pdf").when(suffix == ".docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("application/octet-stream")
+    text = lambda c, otherwise: F.coalesce(F.nullif(c, F.lit("")), F.lit(otherwise))
+    return uploads.select(
+        "document_id", "original_filename", stored.alias("stored_filename"), F.concat(F.lit("uploads/"), stored).alias("file_path"), suffix.alias("file_ext"), "file_size",
+        F.coalesce(F.nullif("mime_type", F.lit("")), guessed).alias("mime_type"), text("doc_type", "unknown").alias("doc_type"), F.lit("uploaded").alias("status"), F.lit(None).cast("int").alias("page_count"),
+        text("description", "").alias("description"), normalize_tags(F.col("tags")).alias("tags"), file_modified_at(F.col("given_modified_at"), F.col("modification_time"), now).alias("file_modified_at"),
+        now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(False).alias("is_deleted"),
+    )
+
+
+def serialize_times(documents: DataFrame) -> DataFrame:
+    """documents with their times as ISO texts with the offset of the session's zone."""
+    times = [c for c in ("created_at", "updated_at", "deleted_at", "file_modified_at") if c in documents.columns]
+    return documents.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx") for c in times})

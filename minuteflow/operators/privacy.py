@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minuteflow.functions.text import is_meaningful, strip
+from minuteflow.functions.text import has_owner, is_meaningful, strip
 
 # Prefixes, nouns and patterns of personal data.
 PREFIXES = {"person": "Person", "unit": "Unit", "company": "Company", "location": "Location", "file": "File", "ref": "Ref"}
 NOUNS = {"person": "person", "unit": "unit", "company": "company", "location": "location", "file": "file", "ref": "reference", "email": "email", "phone": "phone", "id": "identifier"}
 FIELDS = {"chairperson": "person", "recorder": "person", "owner": "person", "responsible_unit": "unit", "company_name": "company", "location": "location", "form_no": "ref", "ref_no": "ref"}
 TEXTS = ("meeting_name", "content", "tracking_result", "raw_row_text", "raw_text", "description")
+STORED_NOUNS = {"person": "人員", "unit": "單位", "company": "公司", "location": "地點", "file": "文件", "ref": "編號", "email": "電子郵件", "phone": "電話", "id": "身分識別碼", "token": "識別碼"}
+STORED_FIELDS = FIELDS | {"person": "person", "person_name": "person", "matched_entity": "person", "unit": "unit", "unit_name": "unit"}
+KEPT = (
+    "_id", "document_id", "meeting_id", "item_id", "search_id", "click_id", "action_id", "decision_id", "risk_id", "issue_id", "stored_filename", "file_path", "absolute_file_path", "file_ext", "mime_type", "doc_type",
+    "status", "status_source", "status_confidence", "meeting_date", "start_time", "end_time", "planned_date", "actual_completed_date", "created_at", "updated_at", "deleted_at", "file_modified_at", "page_count", "file_size", "is_deleted", "result_count",
+)
+RETRIEVAL_TEXTS = ("raw_text", "content", "tracking_result", "raw_row_text", "query", "filters")
+TOKEN = r"(?<![A-Za-z0-9_])(Person|Unit|Company|File|Ref|Email|Phone|ID|Token)_[A-F0-9]{10}(?![A-Za-z0-9_])"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 NATIONAL_ID = r"(?i)\b[A-Z][12]\d{8}\b"
 #: Nine digits at least, by look-ahead; dates have eight.
 PHONE = r"(?<!\w)(?=(?:[\s().+-]*\d){9})(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
 
 
+#: Values are looked up in texts by their rarest piece of this many characters; shorter ones whole.
+GRAM = 6
+
+
 def pseudonym(kind: str, value: Column, salt: str) -> Column:
     """Prefix_ and ten hex digits of the salted digest; placeholders and nulls stay."""
     text = strip(value)
@@ -30,11 +44,21 @@ def filename(value: Column, salt: str) -> Column:
     return F.when(is_meaningful(value), F.concat(pseudonym("file", value, salt), F.regexp_extract(value, r"(\.[^.]*)$", 1))).otherwise(value)
 
 
-def scrub_patterns(text: Column) -> Column:
+def scrub_patterns(text: Column, nouns: dict[str, str] = NOUNS) -> Column:
     """E-mail addresses, national ids and phone numbers become nouns."""
-    out = F.regexp_replace(text, EMAIL, NOUNS["email"])
-    out = F.regexp_replace(out, NATIONAL_ID, NOUNS["id"])
-    return F.regexp_replace(out, PHONE, NOUNS["phone"])
+    out = F.regexp_replace(text, EMAIL, nouns["email"])
+    out = F.regexp_replace(out, NATIONAL_ID, nouns["id"])
+    return F.regexp_replace(out, PHONE, nouns["phone"])
+
+
+def neutralize_tokens(text: Column, nouns: dict[str, str] = STORED_NOUNS) -> Column:
+    """Pseudonyms in a text become nouns."""
+    return reduce(lambda t, kind: F.regexp_replace(t, TOKEN.replace("Person|Unit|Company|File|Ref|Email|Phone|ID|Token", kind), nouns[kind.lower()]), ("Person", "Unit", "Company", "File", "Ref", "Email", "Phone", "ID", "Token"), text)
+
+
+def neutralize_texts(rows: DataFrame) -> DataFrame:
+    """rows with nouns for the pseudonyms in the texts that retrieval reads."""
+    return rows.withColumns({c: neutralize_tokens(F.col(c)) for c in RETRIEVAL_TEXTS if c in rows.columns})
 
 
 def sensitive_values(rows: DataFrame, key: str) -> DataFrame:
@@ -80,3 +104,97 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     a, b = before.alias("a"), after.alias("b")
     diff = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]))
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), diff.alias("fields")).where(F.size("fields") > 0)
+
+
+def stored_values(*tables: DataFrame) -> DataFrame:
+    """(kind, original): the distinct sensitive values of all stored tables together."""
+
+    def of(rows: DataFrame) -> DataFrame:
+        lists = [F.transform(F.coalesce("attendees", F.array().cast("array<string>")), lambda a: F.struct(F.lit("person").alias("kind"), strip(a).alias("original")))] if "attendees" in rows.columns else []
+        fields = [F.struct(F.lit(kind).alias("kind"), strip(F.col(c)).alias("original")) for c, kind in (STORED_FIELDS | {"original_filename": "file"}).items() if c in rows.columns]
+        none = F.expr("cast(array() as array<struct<kind:string,original:string>>)")
+        return rows.select(F.explode_outer(F.concat(none, *([F.array(*fields)] if fields else []), *lists)).alias("v")).select("v.*").where(has_owner(F.col("original"))).distinct()
+
+    return reduce(DataFrame.union, map(of, tables)).distinct()
+
+
+def stored_texts(rows: DataFrame, key: str) -> list[str]:
+    """The string columns that are neither kept, nor pseudonymised, nor the key."""
+    return [c for c, kind in rows.dtypes if kind == "string" and c not in (key, "original_filename", *KEPT, *STORED_FIELDS)]
+
+
+def values_in(rows: DataFrame, key: str, texts: list[str], values: DataFrame) -> DataFrame:
+    """(key, kind, original): which of all values stand in each row's texts.
+
+    Each value is filed under its rarest piece of GRAM characters, so that values with a common
+    beginning don't meet under one key; the pieces of the texts are joined to those, and each
+    candidate is checked. Neither side is collected or broadcast by hand.
+    """
+
+    def pieces(c: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: c.substr(i, size))
+
+    cut = values.select("kind", "original", F.explode_outer(F.array_distinct(pieces(F.col("original"), F.least(F.length("original"), F.lit(GRAM))))).alias("piece"))
+    common = cut.groupBy("piece").agg(F.count("*").alias("n"))
+    filed = cut.join(common, "piece").groupBy("kind", "original").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    # At most GRAM sizes, whatever the values.
+    sizes = [r[0] for r in values.select(F.least(F.length("original"), F.lit(GRAM)).alias("size")).distinct().collect()]
+    none = F.array().cast("array<string>")
+    blob = F.array(*[F.coalesce(c, F.lit("")) for c in texts])
+
+    def of_size(size: int) -> Column:
+        return F.flatten(F.transform(blob, lambda t: F.when(F.length(t) >= size, pieces(t, F.lit(size))).otherwise(none)))
+
+    found = rows.select(key, F.explode_outer(F.array_distinct(F.concat(none, *map(of_size, sizes)))).alias("piece"))
+    candidates = found.join(filed, "piece").select(key, "kind", "original").distinct()
+    in_text = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).contains(F.col("original")), F.lit(False)) for c in texts), F.lit(False))
+    return candidates.join(rows.select(key, *texts), key).where(in_text).select(key, "kind", "original").distinct()
+
+
+def deidentify_stored(rows: DataFrame, values: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows with pseudonyms in fields; in all other texts every stored value, whoever's it is, becomes a noun, longest first, then patterns and pseudonyms.
+
+    Ids, dates, states and numbers stay. key must be unique and not null.
+    """
+    texts = stored_texts(rows, key)
+    nouns = F.create_map(*[F.lit(x) for kv in STORED_NOUNS.items() for x in kv])
+    own = values_in(rows, key, texts, values).groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("shortness"), "original", nouns[F.col("kind")].alias("noun")))).alias("_values"))
+    no_values = F.expr("cast(array() as array<struct<shortness:int,original:string,noun:string>>)")
+
+    def text(c: str) -> Column:
+        replaced = F.aggregate(F.coalesce("_values", no_values), F.col(c), lambda t, v: F.replace(t, v["original"], v["noun"]))
+        return neutralize_tokens(scrub_patterns(replaced, STORED_NOUNS))
+
+    changed = {c: pseudonym(kind, F.col(c), salt) for c, kind in STORED_FIELDS.items() if c in rows.columns}
+    changed |= {c: text(c) for c in texts}
+    if "attendees" in rows.columns:
+        changed["attendees"] = F.transform("attendees", lambda a: pseudonym("person", a, salt))
+    if "original_filename" in rows.columns:
+        changed["original_filename"] = filename(F.col("original_filename"), salt)
+    return rows.join(own, key, "left").withColumns(changed).drop("_values").select(*rows.columns)
+
+
+def deidentify_properties(rows: DataFrame, values: DataFrame, key: list[str], salt: str, properties: str = "properties") -> DataFrame:
+    """(key, properties) of graph nodes or vector points, whose property map is treated like columns.
+
+    The name of a node of type Person or Unit is a field; rows without a column type are points. Keys must be unique.
+    """
+    of_type = F.col("type") if "type" in rows.columns else F.lit("Point")
+    entries = rows.select(*key, of_type.alias("_type"), F.explode_outer(properties).alias("_name", "_value"))
+    kind = F.when((F.col("_name") == "name") & (F.col("_type") == "Person"), "person").when((F.col("_name") == "name") & (F.col("_type") == "Unit"), "unit")
+    for name, of in STORED_FIELDS.items():
+        kind = kind.when(F.col("_name") == name, of)
+    kind = kind.when(F.col("_name") == "original_filename", "file").when(F.col("_name").isin(*KEPT), "kept").otherwise("text")
+    entries = entries.withColumns({"_kind": kind, "_row": F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], "_name"), 256)})
+    texts = deidentify_stored(entries.where("_kind = 'text'").select(F.col("_row").alias("_id"), F.col("_value").alias("text")), values, "_id", salt)
+    fields = reduce(lambda c, k: c.when(F.col("_kind") == k, pseudonym(k, F.col("_value"), salt)), PREFIXES, F.when(F.col("_kind") == "file", filename(F.col("_value"), salt)))
+    done = entries.join(texts.select(F.col("_id").alias("_row"), "text"), "_row", "left").withColumn("_new", F.when(F.col("_kind") == "text", F.col("text")).when(F.col("_kind") == "kept", F.col("_value")).otherwise(fields))
+    named = F.filter(F.array_sort(F.collect_list(F.struct(F.col("_name").alias("key"), F.col("_new").alias("value")))), lambda e: e["key"].isNotNull())
+    return done.groupBy(*key).agg(F.map_from_entries(named).alias(properties))
+
+
+def change_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row (seen, changed): how many rows there are, and in how many some column differs."""
+    columns = [c for c in before.columns if c != key and c in after.columns]
+    one, two = (rows.select(key, F.xxhash64(*columns).alias(name)) for rows, name in ((before, "a"), (after, "b")))
+    return one.join(two, key).agg(F.count("*").alias("seen"), F.count_if(F.col("a") != F.col("b")).alias("changed"))

@@ -106,6 +106,17 @@ select relation, n::bigint as edges from (
   union all select 'ASSIGNED_TO', count(*) from items where {owned()} union all select 'TARGETS_PRODUCT', count(*) from items union all select 'CONSTRAINED_BY', count(*) from items
   union all select 'TRACKS_ISSUE', count(*) from items union all select 'FOLLOW_UP_OF', count(previous_item_id) from chain union all select 'CO_OCCURS_WITH', count(*) from co) where n > 0"""
 
+SPOKEN = f"""{WITH}, {STATUSES}, {ISSUES},
+spoken as (select * replace (content || case item_no when '03' then ' approved' when '04' then ' critical risk' when '05' then ' agreed on a minor delay' else '' end as content) from statuses),
+texts as (select *, trim(regexp_replace(content || coalesce(' ' || tracking_result, ''), '\\s+', ' ', 'g')) as text from spoken),
+titled as (select *, case when length(text) <= 96 then text else left(text, 95) || '...' end as title from texts)"""
+DECIDED, RISKY = "item_no in ('03', '05')", "item_no in ('04', '05')"
+
+
+def pseudo(kind: str, value: str) -> str:
+    return PSEUDO.format(kind, kind.lower(), value)
+
+
 ORACLES = {
     "ranked_search": RANKED,
     "ranked_search_page": RANKED + " order by meeting_date desc, final_score desc, meeting_id desc limit 10 offset 10",
@@ -241,4 +252,42 @@ from o, (select string_agg(meeting_name, '、' order by k) as names from (select
 union all select distinct 'unit', responsible_unit, {PSEUDO.format('Unit', 'unit', 'responsible_unit')} from meetings""",
     "status_repair": f"{WITH}, {STATUSES} select s.status, s.status_source, s.status_confidence, count(*) as n from statuses s join items i using (item_id) where s.status <> 'pending' or s.planned_date is distinct from i.planned_date or s.actual_completed_date is distinct from i.actual_completed_date group by all",
     "duplicate_lines": "select l_orderkey || '-' || l_linenumber as key, count(*) as rows from lineitem group by 1 having count(*) > 1",
+    "node_properties": f"""{SPOKEN}, kw as (select product as name, 'product' as type, 0.76 as score from items union all select regulation, 'regulation', 0.74 from items union all select regexp_extract(meeting_name, '(\\w+) review$', 1), 'english_phrase', 0.7 from meetings),
+people as (select unnest([chairperson, recorder] || attendees) as name from meetings union select trim(owner) from items where {owned()})
+select distinct * from (
+  select 'Document' as type, document_id as id, 'document_id=' || document_id || '|original_filename=' || document_id || '.pdf' as properties from meetings
+  union all select 'Meeting', meeting_id, concat_ws('|', 'meeting_date=' || meeting_date, 'meeting_id=' || meeting_id, 'meeting_name=' || meeting_name, 'responsible_unit=' || responsible_unit) from meetings
+  union all select 'MeetingItem', item_id, concat_ws('|', 'actual_completed_date=' || actual_completed_date, 'content=' || content, 'item_id=' || item_id, 'item_no=' || item_no, 'planned_date=' || planned_date, 'status=' || status, 'status_confidence=' || status_confidence, 'status_source=' || status_source) from titled
+  union all select 'Date', planned_date, 'date_type=planned|date_value=' || planned_date from statuses where planned_date is not null
+  union all select 'Date', actual_completed_date, 'date_type=completed|date_value=' || actual_completed_date from statuses where actual_completed_date is not null
+  union all select 'Person', name, 'name=' || name from people where {owned('name')} union all select 'Unit', responsible_unit, 'name=' || responsible_unit from meetings
+  union all select 'Keyword', name, 'name=' || name || '|type=' || arg_max(type, score) from kw group by name
+  union all select 'Product', product, 'name=' || product from items union all select 'Regulation', regulation, 'name=' || regulation from items
+  union all select 'ActionItem', 'action_' || item_id, concat_ws('|', 'action_id=action_' || item_id, 'actual_completed_date=' || actual_completed_date, 'content=' || content, 'planned_date=' || planned_date, 'status=' || status, 'status_confidence=' || status_confidence, 'status_source=' || status_source,
+    'title=' || title, 'tracking_result=' || regexp_replace(coalesce(tracking_result, ''), '\\s+', ' ', 'g')) from titled
+  union all select 'Decision', 'decision_' || item_id, 'decision_id=decision_' || item_id || '|evidence=' || text || '|title=' || title from titled where {DECIDED}
+  union all select 'Risk', 'risk_' || item_id, 'evidence=' || text || '|name=' || title || '|risk_id=risk_' || item_id || '|severity=' || case item_no when '04' then 'high' else 'low' end from titled where {RISKY}
+  union all select 'Issue', issue_id, 'issue_id=' || issue_id || '|signature=' || signature || '|title=' || min(title) from issues group by issue_id, signature)""",
+    "mention_edges": f"""{WITH} select distinct 'MeetingItem' as src_type, item_id as src_id, product as dst_id, 'content' as field, 0.76::double as score, 'regex' as method from items union select 'MeetingItem', item_id, regulation, 'content', 0.74::double, 'regex' from items
+union select 'Meeting', meeting_id, regexp_extract(meeting_name, '(\\w+) review$', 1), 'meeting_name', 0.7::double, 'phrase' from meetings""",
+    "cooccurrence_edges": f"""{WITH}, {CO} select "left" as src_id, 'CO_OCCURS_WITH' as relation, "right" as dst_id, count::bigint as count, weight from co""",
+    "decision_risk_edges": f"""{WITH}, {ISSUES} select 'MeetingItem' as src_type, item_id as src_id, 'HAS_DECISION' as relation, 'Decision' as dst_type, 'decision_' || item_id as dst_id from items where {DECIDED}
+union all select 'MeetingItem', item_id, 'HAS_RISK', 'Risk', 'risk_' || item_id from items where {RISKY}
+union all select 'Decision', 'decision_' || item_id, 'DECIDES_ON', 'Issue', issue_id from issues where {DECIDED} union all select 'Risk', 'risk_' || item_id, 'RISK_OF', 'Issue', issue_id from issues where {RISKY}""",
+    "semantic_edges": f"""{WITH}, {ISSUES} select 'MeetingItem' as src_type, item_id as src_id, 'RESPONSIBLE_BY' as relation, 'Person' as dst_type, trim(owner) as dst_id from items where {owned()}
+union all select 'ActionItem', 'action_' || item_id, 'ASSIGNED_TO', 'Person', trim(owner) from items where {owned()} union all select 'ActionItem', 'action_' || item_id, 'TARGETS_PRODUCT', 'Product', product from items
+union all select 'ActionItem', 'action_' || item_id, 'CONSTRAINED_BY', 'Regulation', regulation from items union all select 'MeetingItem', item_id, 'TRACKS_ISSUE', 'Issue', issue_id from issues""",
+    "structure_edges": f"""{WITH} select distinct * from (select 'Document' as src_type, document_id as src_id, 'HAS_MEETING' as relation, 'Meeting' as dst_type, meeting_id as dst_id from meetings union all select 'Meeting', meeting_id, 'HAS_ITEM', 'MeetingItem', item_id from items
+union all select 'Meeting', meeting_id, 'BELONGS_TO_UNIT', 'Unit', responsible_unit from meetings union all select 'Meeting', meeting_id, 'CHAIRED_BY', 'Person', chairperson from meetings union all select 'Meeting', meeting_id, 'RECORDED_BY', 'Person', recorder from meetings
+union all select 'Meeting', meeting_id, 'ATTENDED_BY', 'Person', unnest([chairperson, recorder] || attendees) from meetings
+union all select 'MeetingItem', item_id, 'HAS_PLANNED_DATE', 'Date', planned_date from items where {meaningful('planned_date')} union all select 'MeetingItem', item_id, 'HAS_COMPLETED_DATE', 'Date', actual_completed_date from items where {meaningful('actual_completed_date')})""",
+    "stored_deidentified": f"""{WITH} select meeting_id, meeting_date, {pseudo('Person', 'chairperson')} as chairperson, {pseudo('Person', 'recorder')} as recorder, {pseudo('Unit', 'responsible_unit')} as responsible_unit,
+  {pseudo('Person', 'attendees[1]')} || ',' || {pseudo('Person', 'attendees[2]')} as attendees, 'Review by 人員 and 人員 of 單位: 人員 called 人員 at 電話 or 電子郵件 on 2001-08-01' as raw_text from meetings""",
+    "stored_changes": f"{WITH} select count(*)::bigint as seen, count(*)::bigint as changed from meetings",
+    "neutral_texts": f"{WITH} select meeting_id, '人員 of 單位, XPerson_0123456789' as content from meetings",
+    "deidentified_nodes": f"""{WITH} select distinct 'Person' as type, chairperson as id, 'name=' || {pseudo('Person', 'chairperson')} as properties from meetings union select 'Unit', responsible_unit, 'name=' || {pseudo('Unit', 'responsible_unit')} from meetings
+union select 'Meeting', meeting_id, 'meeting_date=' || meeting_date || '|meeting_id=' || meeting_id || '|meeting_name=' || meeting_name || ' with 人員|responsible_unit=' || {pseudo('Unit', 'responsible_unit')} from meetings""",
+    "uploaded_documents": f"""{WITH} select 'doc_' || meeting_id as document_id, meeting_name || '.v1.PDF' as original_filename, 'doc_' || meeting_id || '.pdf' as stored_filename, 'uploads/doc_' || meeting_id || '.pdf' as file_path, '.pdf' as file_ext, length(meeting_name)::bigint as file_size,
+  'application/pdf' as mime_type, case when meeting_id::int % 3 = 0 then 'minutes' else 'unknown' end as doc_type, 'uploaded' as status, '' as description, 'a|' || responsible_unit as tags,
+  case when meeting_id::int % 2 = 0 then meeting_date when meeting_id::int % 5 = 0 then '2001-01-01' else '2001-08-01' end || 'T00:00:00+00:00' as file_modified_at, '2001-08-01T00:00:00+00:00' as created_at, false as is_deleted from meetings""",
 }

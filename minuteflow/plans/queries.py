@@ -133,6 +133,42 @@ def graph_nodes(spark, d):
     return graph_build.build_nodes(edges(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def _spoken_items(spark, d):
+    """Items of which some decide or name a risk."""
+    said = F.when(F.col("item_no") == "03", " approved").when(F.col("item_no") == "04", " critical risk").when(F.col("item_no") == "05", " agreed on a minor delay").otherwise("")
+    return I(spark, d).withColumn("content", F.concat("content", said))
+
+
+def _shown(properties):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+
+
+def node_properties(spark, d):
+    files = M(spark, d).select("document_id", F.concat("document_id", F.lit(".pdf")).alias("original_filename"))
+    nodes = graph_build.build_node_properties(M(spark, d), _spoken_items(spark, d), mentions(spark, d), files)
+    return nodes.select("type", "id", _shown("properties").alias("properties"))
+
+
+def mention_edges(spark, d):
+    return graph_build.mention_edges(mentions(spark, d)).select("src_type", "src_id", "dst_id", "field", "score", "method")
+
+
+def cooccurrence_edges(spark, d):
+    return graph_build.cooccurrence_edges(mentions(spark, d)).select("src_id", "relation", "dst_id", "count", "weight")
+
+
+def decision_risk_edges(spark, d):
+    return graph_build.build_edges(M(spark, d), _spoken_items(spark, d), mentions(spark, d), ("HAS_DECISION", "HAS_RISK", "DECIDES_ON", "RISK_OF"))
+
+
+def semantic_edges(spark, d):
+    return edges(spark, d, "RESPONSIBLE_BY", "ASSIGNED_TO", "TARGETS_PRODUCT", "CONSTRAINED_BY", "TRACKS_ISSUE")
+
+
+def structure_edges(spark, d):
+    return edges(spark, d, "HAS_MEETING", "HAS_ITEM", "BELONGS_TO_UNIT", "CHAIRED_BY", "RECORDED_BY", "ATTENDED_BY", "HAS_PLANNED_DATE", "HAS_COMPLETED_DATE")
+
+
 def issues(spark, d):
     return semantics(spark, d).select("item_id", "issue.issue_id", "issue.title", "issue.signature")
 
@@ -378,6 +414,48 @@ def mapping_export(spark, d):
     return privacy.mapping(privacy.sensitive_values(M(spark, d).select("meeting_id", "chairperson", "responsible_unit"), "meeting_id"), SALT)
 
 
+def _minutes(spark, d):
+    """Stored minutes whose texts name people and units, their own and others'."""
+    names = F.concat(F.lit("Review by "), "chairperson", F.lit(" and "), "recorder", F.lit(" of "), "responsible_unit", F.lit(": Guest#3 called Person_0123456789 at +886 2 2345 6789 or a.b@example.com on 2001-08-01"))
+    return M(spark, d).select("meeting_id", "meeting_date", "chairperson", "recorder", "responsible_unit", "attendees", names.alias("raw_text"))
+
+
+def stored_deidentified(spark, d):
+    """Values of all meetings in the texts of all."""
+    rows = _minutes(spark, d)
+    return privacy.deidentify_stored(rows, privacy.stored_values(rows), "meeting_id", SALT).withColumn("attendees", F.array_join("attendees", ","))
+
+
+def stored_changes(spark, d):
+    rows = _minutes(spark, d)
+    return privacy.change_summary(rows, privacy.deidentify_stored(rows, privacy.stored_values(rows), "meeting_id", SALT), "meeting_id")
+
+
+def neutral_texts(spark, d):
+    """Pseudonyms in the texts that retrieval reads."""
+    rows = M(spark, d).select("meeting_id", F.concat(privacy.pseudonym("person", F.col("chairperson"), SALT), F.lit(" of "), privacy.pseudonym("unit", F.col("responsible_unit"), SALT), F.lit(", XPerson_0123456789")).alias("content"))
+    return privacy.neutralize_texts(rows)
+
+
+def deidentified_nodes(spark, d):
+    people = M(spark, d).select(F.col("chairperson").alias("name")).distinct()
+    units = M(spark, d).select(F.col("responsible_unit").alias("name")).distinct()
+    meetings = M(spark, d).withColumn("meeting_name", F.concat("meeting_name", F.lit(" with "), "chairperson"))
+    nodes = graph_build.nodes_of(people, "Person", "name", "name").union(graph_build.nodes_of(units, "Unit", "name", "name")).union(graph_build.nodes_of(meetings, "Meeting", "meeting_id", "meeting_id", "meeting_name", "meeting_date", "responsible_unit"))
+    done = privacy.deidentify_properties(nodes, privacy.stored_values(M(spark, d)), ["type", "id"], SALT)
+    return done.select("type", "id", _shown("properties").alias("properties"))
+
+
+def uploaded_documents(spark, d):
+    uploads = M(spark, d).select(
+        F.concat(F.lit("doc_"), "meeting_id").alias("document_id"), F.concat("meeting_name", F.lit(".v1.PDF")).alias("original_filename"), F.length("meeting_name").cast("bigint").alias("file_size"), F.lit("").alias("mime_type"),
+        F.when(F.col("meeting_id").cast("int") % 3 == 0, "minutes").alias("doc_type"), F.lit(None).cast("string").alias("description"), F.concat(F.lit(" a, ,"), "responsible_unit", F.lit(" ,")).alias("tags"),
+        F.when(F.col("meeting_id").cast("int") % 2 == 0, F.col("meeting_date")).otherwise("unknown").alias("given_modified_at"), F.when(F.col("meeting_id").cast("int") % 5 == 0, F.lit("2001-01-01").cast("timestamp")).alias("modification_time"),
+    )
+    rows = listing.serialize_times(listing.new_documents(uploads, "2001-08-01"))
+    return rows.select("document_id", "original_filename", "stored_filename", "file_path", "file_ext", "file_size", "mime_type", "doc_type", "status", "description", F.array_join("tags", "|").alias("tags"), "file_modified_at", "created_at", "is_deleted")
+
+
 def status_repair(spark, d):
     stored = I(spark, d).withColumns({"status": F.lit("pending"), "status_source": F.lit(""), "status_confidence": F.lit("low")})
     return maintenance.repair_statuses(stored).groupBy("status", "status_source", "status_confidence").agg(F.count("*").alias("n"))

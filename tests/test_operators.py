@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, routing, status, text
-from minuteflow.operators import answers, evidence, graph_query, parse, privacy, vectors
+from minuteflow.operators import answers, evidence, graph_build, graph_query, listing, parse, privacy, vectors
 from minuteflow.schemas import PAGES
 from minuteflow.sources import files
 
@@ -166,3 +166,48 @@ def test_questions_and_modes():
     assert graph_query.meeting_terms("which items has the FDA label meeting?") == ["HAS", "THE", "FDA", "LABEL"]
     assert graph_query.follow_up_keyword("follow up of ISO 13485 items") == "ISO 13485" and graph_query.follow_up_keyword("標籤 後續追蹤") == "標籤"
     assert answers.question_terms("列出這場 label 會議的項目") == ["label"]
+
+
+def test_stored_values_are_replaced_everywhere(spark):
+    names = ["王小明", "王小明二", "Customer#01", "Customer#011", "Li", "QA unit", "Room 1", "report_v1.pdf"]
+    kinds = ["person", "person", "person", "person", "person", "unit", "location", "file"]
+    texts = ["王小明二 and 王小明 met Customer#011, Customer#01 and Li in Room 1", "QA unitQA unit report_v1.pdf", "", None, "no one", "Lili Li" * 3, "x" * 5000 + "Customer#011"]
+    rows = spark.createDataFrame([(str(i), t, names[i % 4], "n/a") for i, t in enumerate(texts)], "meeting_id string, raw_text string, chairperson string, recorder string")
+    values = spark.createDataFrame(list(zip(kinds, names)), "kind string, original string")
+    done = {r["meeting_id"]: r for r in privacy.deidentify_stored(rows, values, "meeting_id", "salt").collect()}
+    for i, t in enumerate(texts):
+        expected = t
+        for kind, name in sorted(zip(kinds, names), key=lambda kv: -len(kv[1])):
+            expected = expected and expected.replace(name, privacy.STORED_NOUNS[kind])
+        assert done[str(i)]["raw_text"] == expected
+        assert done[str(i)]["chairperson"].startswith("Person_")
+        assert done[str(i)]["recorder"] == "n/a"
+    empty = privacy.deidentify_stored(rows, values.where("false"), "meeting_id", "salt")
+    assert empty.where("raw_text <=> 'no one'").count() == 1
+
+
+def test_stored_values_of_tables(spark):
+    rows = spark.createDataFrame([("m", "王小明", "--", ["李四", " ", None], "a.pdf")], "meeting_id string, chairperson string, recorder string, attendees array<string>, original_filename string")
+    found = {tuple(r) for r in privacy.stored_values(rows, rows.select("meeting_id"), rows.select("meeting_id", F.lit("QA").alias("unit_name"))).collect()}
+    assert found == {("person", "王小明"), ("person", "李四"), ("file", "a.pdf"), ("unit", "QA")}
+
+
+def test_payloads(spark):
+    points = spark.createDataFrame([("p", {"item_id": "王小明", "owner": "王小明", "content": "王小明 at a@b.org", "original_filename": "x.pdf", "name": None}), ("q", {}), ("r", None)], "id string, payload map<string,string>")
+    values = spark.createDataFrame([("person", "王小明")], "kind string, original string")
+    done = {r["id"]: r["payload"] for r in privacy.deidentify_properties(points, values, ["id"], "salt", "payload").collect()}
+    assert done["p"]["item_id"] == "王小明"
+    assert done["p"]["content"] == "人員 at 電子郵件"
+    assert done["p"]["owner"].startswith("Person_")
+    assert done["p"]["original_filename"].startswith("File_") and done["p"]["original_filename"].endswith(".pdf")
+    assert done["p"]["name"] is None and done["q"] == {} and done["r"] == {}
+
+
+def test_node_properties_of_repeated_rows(spark):
+    rows = spark.createDataFrame([("a", "2", None), ("a", "1", "z"), (" ", "3", None), (None, "4", None)], "k string, x string, y string")
+    assert [r.asDict() for r in graph_build.nodes_of(rows, "T", "k", "y", "x").collect()] == [{"type": "T", "id": "a", "properties": {"x": "1", "y": "z"}}]
+
+
+@pytest.mark.parametrize(("tags", "expected"), [(None, []), ("", []), (" a, ,b ,", ["a", "b"])])
+def test_tags(spark, tags, expected):
+    assert value(spark, listing.normalize_tags(F.col("t")), t=tags) == expected
