@@ -290,4 +290,12 @@ union select 'Meeting', meeting_id, 'meeting_date=' || meeting_date || '|meeting
     "uploaded_documents": f"""{WITH} select 'doc_' || meeting_id as document_id, meeting_name || '.v1.PDF' as original_filename, 'doc_' || meeting_id || '.pdf' as stored_filename, 'uploads/doc_' || meeting_id || '.pdf' as file_path, '.pdf' as file_ext, length(meeting_name)::bigint as file_size,
   'application/pdf' as mime_type, case when meeting_id::int % 3 = 0 then 'minutes' else 'unknown' end as doc_type, 'uploaded' as status, '' as description, 'a|' || responsible_unit as tags,
   case when meeting_id::int % 2 = 0 then meeting_date when meeting_id::int % 5 = 0 then '2001-01-01' else '2001-08-01' end || 'T00:00:00+00:00' as file_modified_at, '2001-08-01T00:00:00+00:00' as created_at, false as is_deleted from meetings""",
+    "answered_nothing": "select '查無足夠的會議紀錄脈絡可供回答。' as answer",
+    "answered_meeting": f"""{WITH}, c as (select items.* from items join meetings using (meeting_id) where contains(lower(meeting_name), 'urgent machinery review') order by meeting_id, item_no::int, item_no, item_id limit 20)
+select printf('evidence_%03d', row_number() over (order by meeting_id, item_id)) as evidence_id, meeting_id, item_id, 'structured' as evidence_source, content as claim from c""",
 }
+# The same scores as the keyword search's, of which the first 48 rows and of these the best 12 items answer.
+ORACLES["answered_keyword"] = ORACLES["graph_search_keywords"].split("select item_id, graph_score, matched_keyword from s order")[0].rstrip() + """,
+g as (select * from s order by graph_score desc, coalesce(meeting_date, ''), item_id limit 48), b as (select item_id, max(graph_score) as best from g group by 1 order by 2 desc, 1 limit 12),
+e as (select meeting_id, item_id, content, matched_keyword, graph_score from g join b using (item_id) join items using (item_id) order by graph_score desc, meeting_id, item_id, matched_keyword limit 24)
+select printf('evidence_%03d', row_number() over (order by graph_score desc, meeting_id, item_id, matched_keyword)) as evidence_id, meeting_id, item_id, 'graph' as evidence_source, content || ' mentions ' || matched_keyword as claim from e"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
-from minuteflow.operators import answers, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, privacy, recommend, search, stats, vectors
+from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, privacy, recommend, search, stats, vectors
 from minuteflow.session import materialize, table
 from minuteflow.sources import tables
 
@@ -414,6 +414,29 @@ def mapping_export(spark, d):
     return privacy.mapping(privacy.sensitive_values(M(spark, d).select("meeting_id", "chairperson", "responsible_unit"), "meeting_id"), SALT)
 
 
+def _ask(spark, d, question, **more):
+    e = materialize(edges(spark, d, "TRACKS_ISSUE", "FOLLOW_UP_OF", "HAS_ITEM", "HAS_ACTION", "RESPONSIBLE_BY", "ASSIGNED_TO", "HAS_PLANNED_DATE", "MENTIONS", "MENTIONS_PRODUCT", "MENTIONS_REGULATION", "TARGETS_PRODUCT"))
+    return asking.ask(question, M(spark, d), I(spark, d), e, semantics(spark, d), cooccurrence(spark, d), **more)
+
+
+def _claims(given):
+    cited = given.claims.select("claim", F.explode("evidence_ids").alias("evidence_id"))
+    return cited.join(given.evidence.select("evidence_id", "meeting_id", "item_id", "evidence_source"), "evidence_id").select("evidence_id", "meeting_id", "item_id", "evidence_source", "claim")
+
+
+def answered_meeting(spark, d):
+    """The items of a named meeting."""
+    return _claims(_ask(spark, d, "1-URGENT machinery review 會議有哪些會議項目", limit=20))
+
+
+def answered_keyword(spark, d):
+    return _claims(_ask(spark, d, "red ring", limit="wide"))
+
+
+def answered_nothing(spark, d):
+    return _ask(spark, d, "zzz qqq").answer
+
+
 def _minutes(spark, d):
     """Stored minutes whose texts name people and units, their own and others'."""
     names = F.concat(F.lit("Review by "), "chairperson", F.lit(" and "), "recorder", F.lit(" of "), "responsible_unit", F.lit(": Guest#3 called Person_0123456789 at +886 2 2345 6789 or a.b@example.com on 2001-08-01"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, routing, status, text
-from minuteflow.operators import answers, evidence, graph_build, graph_query, listing, parse, privacy, vectors
+from minuteflow.operators import answers, asking, evidence, graph_build, graph_query, listing, parse, privacy, vectors
 from minuteflow.schemas import PAGES
 from minuteflow.sources import files
 
@@ -211,3 +211,21 @@ def test_node_properties_of_repeated_rows(spark):
 @pytest.mark.parametrize(("tags", "expected"), [(None, []), ("", []), (" a, ,b ,", ["a", "b"])])
 def test_tags(spark, tags, expected):
     assert value(spark, listing.normalize_tags(F.col("t")), t=tags) == expected
+
+
+@pytest.mark.parametrize(
+    ("question", "terms"),
+    [
+        ("1-URGENT machinery review 會議有哪些會議項目", ["URGENT machinery review"]),
+        ("Conformity stem 相關 FDA 標籤審查？", ["Conformity stem FDA", "標籤審查"]),
+        ("會議項目有哪些", []),
+    ],
+)
+def test_keyword_terms(question, terms):
+    assert asking.keyword_terms(question, {}) == terms
+
+
+def test_blank_question(spark):
+    empty = spark.createDataFrame([], "meeting_id string")
+    with pytest.raises(ValueError):
+        asking.ask("  ", empty, empty, empty, empty, empty)
