@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, pipeline
+from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, op11_manifest, pipeline
 
 QUERIES = {
     "op1_html_main_text": op1_html.op1_html_main_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": op8_chat.op8_chat_format,
     "op9_benchmark_decontamination": op9_decontaminate.op9_benchmark_decontamination,
     "op10_mix_sources": op10_mix.op10_mix_sources,
+    "op11_merkle_manifest": op11_manifest.op11_merkle_manifest,
     "pipeline": pipeline.run,
 }
 
@@ -24,6 +25,7 @@ ORACLES = {
     "op6_url_filter": op6_urls.ORACLE_SQL,
     "op9_benchmark_decontamination": op9_decontaminate.ORACLE_SQL,
     "op10_mix_sources": op10_mix.ORACLE_SQL,
+    "op11_merkle_manifest": op11_manifest.ORACLE_SQL,
 }
 if pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = pipeline.ORACLE_SQL
