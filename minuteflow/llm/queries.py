@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, op11_manifest, op13_divergence, pipeline
+from minuteflow.llm import op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, op11_manifest, op12_quality_model, op13_divergence, pipeline
 
 QUERIES = {
     "op1_html_main_text": op1_html.op1_html_main_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_decontaminate.op9_benchmark_decontamination,
     "op10_mix_sources": op10_mix.op10_mix_sources,
     "op11_merkle_manifest": op11_manifest.op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_model.op12_quality_classifier,
     "op13_source_divergence": op13_divergence.op13_source_divergence,
     "pipeline": pipeline.run,
 }
