@@ -1,7 +1,7 @@
 """Keywords, products, regulations, people and semantic descriptors of item texts, as column expressions.
 
-Each candidate generator is an array of structs; candidates merge by lower-case name, the highest
-score first, then the earlier generator.
+Each candidate generator is an array of structs in the order of the text; candidates merge by
+lower-case name, the highest score first, then the earlier generator and place.
 """
 
 from __future__ import annotations
@@ -27,7 +27,12 @@ LOW_RISK = ("低", "minor", "low risk")
 PSEUDONYM = r"(?<![A-Za-z0-9_])(?:Person|Unit|Company|File|Ref|Email|Phone|ID|Token)_[A-F0-9]{10}(?![A-Za-z0-9_])"
 HASH_FRAGMENT = r"\b[A-F0-9]{6,10}\b"
 ABBREVIATION = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9/-]{1,}(?![A-Za-z0-9])"
-PHRASE = r"[A-Za-z][A-Za-z0-9/-]*(?:\s+[A-Za-z][A-Za-z0-9/-]*){1,4}"
+PHRASE = r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9-]+(?:\s+[A-Za-z][A-Za-z0-9-]+){1,4})(?![A-Za-z0-9])"
+SEGMENT = r"[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z][A-Za-z0-9-]*){1,8}"
+CJK_RUN = r"[\x{3400}-\x{9fff}]{2,12}"
+METHODS = ("regex_abbreviation", "regex_phrase", "regex_product_phrase", "cjk_ngram")
+OWNER_CHANGED = r"(?i)(?:原?\s*負\s*責\s*人|owner|responsible)[^。；;,.，]*?(?:改\s*[為爲人]|更\s*改\s*[為爲人]|變\s*更\s*[為爲人]|changed\s+to|change\s+to)\s*([^。；;,.，()（）]+)"
+HANDLED_BY = r"(?:改\s*由|由)\s*([^。；;,.，()（）]{2,40}?)(?:負\s*責|處\s*理|確\s*認|協\s*助)"
 MAX_KEYWORDS = 12
 
 
@@ -37,24 +42,27 @@ def normalize_source(c: Column) -> Column:
 
 
 def cjk_ngrams(c: Column, sizes: tuple[int, ...] = (4, 3, 2)) -> Column:
-    """n-grams of CJK runs of 2 to 12 characters, longer ones first."""
-    runs = F.regexp_extract_all(c, F.lit(r"(?<![一-鿿])[一-鿿]{2,12}(?![一-鿿])"), F.lit(0))
+    """n-grams of CJK runs, longer ones first; a run of more than 12 characters is cut into pieces of 12."""
+    runs = F.filter(F.regexp_extract_all(c, F.lit(CJK_RUN), F.lit(0)), lambda r: ~r.isin(*STOP_WORDS))
 
-    def grams(size: int) -> Column:
-        return F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= size), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - size + 1), lambda i: r.substr(i, F.lit(size)))))
+    def grams(run: Column, size: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.length(run) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1))), lambda i: run.substr(i, F.lit(size)))).otherwise(none)
 
-    return F.concat(*[grams(s) for s in sizes])
+    return F.flatten(F.transform(runs, lambda r: F.concat(*[grams(r, s) for s in sizes])))
 
 
 def cue_phrases(c: Column, cues: tuple[str, ...] = PRODUCT_CUES) -> Column:
-    """One or two words before each product cue, with the cue."""
-    words = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9/-]*"), F.lit(0))
+    """Two and one words before each product cue of a segment, with the cue; segments are runs of 2 to 9 words."""
 
-    def before(size: int) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i > size) & F.lower(F.get(words, i - 1)).isin(*cues))
-        return F.transform(at, lambda i: F.array_join(F.slice(words, i - size, size + 1), " "))
+    def of(segment: Column) -> Column:
+        words = F.split(segment, r"(?U)\s+")
+        at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i > 1) & F.lower(F.get(words, i - 1)).isin(*cues))
+        two = lambda i: F.array_join(F.slice(words, i - 1, 2), " ")
+        three = lambda i: F.array_join(F.slice(words, F.greatest(i - 2, F.lit(1)), 3), " ")
+        return F.flatten(F.transform(at, lambda i: F.when(i > 2, F.array(three(i), two(i))).otherwise(F.array(two(i)))))
 
-    return F.when(F.size(words) > 1, F.concat(before(2), before(1))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(SEGMENT), F.lit(0)), of))
 
 
 def keyword_type(name: Column) -> Column:
@@ -81,26 +89,34 @@ def with_keywords(rows: DataFrame, key: str, text: str, limit: int = MAX_KEYWORD
     """(key, name, type, score, method): the best keywords of each row's text."""
     source = normalize_source(F.col(text))
 
-    def of(names: Column, seq: int, score: float, method: str, forced: str = "") -> Column:
-        return F.transform(names, lambda n: F.struct(F.regexp_replace(squash(n), r"^[\s,.;:()-]+|[\s,.;:()-]+$", "").alias("name"), F.lit(seq).alias("seq"), F.lit(score).alias("score"), F.lit(method).alias("method"), F.lit(forced).alias("forced")))
+    def of(names: Column, seq: int, score: float, forced: str = "") -> Column:
+        clean = lambda n: F.regexp_replace(squash(n), r"^[ ,.;:()\[\]{}<>\"']+|[ ,.;:()\[\]{}<>\"']+$", "")
+        return F.transform(names, lambda n, i: F.struct(clean(n).alias("name"), F.lit(seq).alias("seq"), i.alias("at"), F.lit(score).alias("score"), F.lit(METHODS[seq]).alias("method"), F.lit(forced).alias("forced")))
 
     generators = F.concat(
-        of(F.regexp_extract_all("_t", F.lit(ABBREVIATION), F.lit(0)), 0, 0.74, "regex"),
-        of(F.regexp_extract_all("_t", F.lit(PHRASE), F.lit(0)), 1, 0.70, "phrase"),
-        of(cue_phrases(F.col("_t"), cues), 2, 0.76, "product_cue", "product"),
-        of(cjk_ngrams(F.col("_t")), 3, 0.38, "ngram"),
+        of(F.regexp_extract_all("_t", F.lit(ABBREVIATION), F.lit(0)), 0, 0.74),
+        of(F.regexp_extract_all("_t", F.lit(PHRASE), F.lit(1)), 1, 0.70),
+        of(cue_phrases(F.col("_t"), cues), 2, 0.76, "product"),
+        of(cjk_ngrams(F.col("_t")), 3, 0.38),
     )
     # The outer form keeps Spark from inferring a filter on the array and so computing it twice.
     found = rows.select(key, source.alias("_t")).select(key, F.explode_outer(generators).alias("k")).select(key, "k.*").where(is_valid_keyword(F.col("name")))
-    # The best candidate of a name, and the generators that agree with it in their order.
-    merged = found.groupBy(key, F.lower("name").alias("low")).agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "seq", "name", "forced")).alias("b"), F.array_sort(F.collect_set(F.struct("seq", "method"))).alias("ms")
-    )
+    # The first of the best candidates of a name, and the generators after it that agree; one before it with a lower score is forgotten.
+    merged = found.groupBy(key, F.lower("name").alias("low")).agg(F.min(F.struct((-F.col("score")).alias("s"), "seq", "at", "name", "forced")).alias("b"), F.array_sort(F.collect_set(F.struct("seq", "method"))).alias("ms"))
+    merged = merged.withColumn("ms", F.filter("ms", lambda m: m["seq"] >= F.col("b.seq")))
     named = merged.select(key, "low", F.col("b.name").alias("name"), F.when(F.col("b.forced") != "", F.col("b.forced")).otherwise(keyword_type(F.col("b.name"))).alias("type"), (-F.col("b.s")).alias("score"), F.array_join(F.transform("ms", lambda m: m["method"]), "+").alias("method"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), "low")
     return named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).select(key, "name", "type", "score", "method")
 
 
+def keyword_lists(keywords: DataFrame, key: str) -> DataFrame:
+    """(key, products, regulations): product keywords of more than one word, and regulations, best first."""
+    product = (F.col("type") == "product") & F.col("name").contains(" ")
+    entry = F.struct((-F.col("score")).alias("s"), F.lower("name").alias("low"), "name")
+    names = lambda condition: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(condition, entry))), lambda e: e["name"]))
+    return keywords.groupBy(key).agg(names(product).alias("products"), names(F.upper("name").isin(*REGULATIONS)).alias("regulations"))
+
+
 def risk_severity(text: Column) -> Column:
     return F.when(contains_any(text, HIGH_RISK), "high").when(contains_any(text, LOW_RISK), "low").otherwise("medium")
 
@@ -115,9 +131,7 @@ def has_risk(text: Column) -> Column:
 
 def people_from_text(text: Column) -> Column:
     """Names after 'owner ... changed to' and between 'by' and a verb of responsibility."""
-    changed = r"(?i)(?:原?\s*負\s*責\s*人|owner|responsible)[^。；;,.，]*?(?:改\s*[為爲人]|更\s*改\s*[為爲人]|變\s*更\s*[為爲人]|changed\s+to|change\s+to)\s*([^。；;,.，()（）]+)"
-    handled = r"(?:改\s*由|由)\s*([^。；;,.，()（）]{2,40}?)(?:負\s*責|處\s*理|確\s*認|協\s*助)"
-    found = F.concat(F.regexp_extract_all(text, F.lit(changed), F.lit(1)), F.regexp_extract_all(text, F.lit(handled), F.lit(1)))
+    found = F.concat(F.regexp_extract_all(text, F.lit(OWNER_CHANGED), F.lit(1)), F.regexp_extract_all(text, F.lit(HANDLED_BY), F.lit(1)))
     parts = F.flatten(F.transform(found, lambda v: F.split(v, "(?i)[、/,，與和]| and ")))
     clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(strip(p), r"(負\s*責|處\s*理|確\s*認|協\s*助).*$", ""), r"^[ :：\-()（）\[\]{}]+|[ :：\-()（）\[\]{}]+$", ""))
     return F.array_distinct(F.filter(clean, lambda p: (F.length(p) > 0) & is_meaningful(p)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from minuteflow.functions.routing import effective_limit, route
 from minuteflow.operators import answers, evidence
 from minuteflow.operators.graph_query import search_graph
+from minuteflow.operators.planning import Planner, as_dict, with_plan
 from minuteflow.operators.vectors import malformed_token
 from minuteflow.session import materialize
 
@@ -32,7 +33,7 @@ MAX_TERMS = 8
 
 @dataclass(frozen=True)
 class Answer:
-    """route (one row), limit, evidence (evidence_id, meeting_id, item_id, ...), claims (claim, evidence_ids), answer (one row, answer)."""
+    """route (one row, with its plan), limit, evidence (evidence_id, meeting_id, item_id, ...), claims (claim, evidence_ids), answer (one row, answer)."""
 
     route: Row
     limit: int
@@ -71,10 +72,12 @@ def may_use_keywords(found: Row) -> bool:
 def ask(
     question: str, meetings: DataFrame, items: DataFrame, edges: DataFrame, sem: DataFrame, co: DataFrame,
     semantic: Callable[[str, int], DataFrame] | None = None, claims_of: Callable[[str, DataFrame], DataFrame] | None = None, plan: dict | None = None, limit: int | str | None = None,
+    planner: Planner | None = None, planner_mode: str | None = None,
 ) -> Answer:
     """Route the question, search the graph, the vectors and the tables, fuse and number the evidence, and answer by claims.
 
-    semantic(question, limit) gives (meeting_id, item_id, content, score); claims_of(question, evidence)
+    plan constrains the composite part; without one the question's own plan does, with planner's help
+    where planner_mode asks for it. semantic(question, limit) gives (meeting_id, item_id, content, score); claims_of(question, evidence)
     gives (claim, evidence_ids). Without claims_of, or where none of its claims cites known evidence,
     each record is a claim. A blank question is an error; one with a broken pseudonym, or without any
     evidence, has the fixed answer of INSUFFICIENT and no evidence.
@@ -83,7 +86,8 @@ def ask(
     if not question:
         raise ValueError("a question is required")
     asked = spark.createDataFrame([(question, None if limit is None else str(limit))], "question string, asked string")
-    found = route(asked).withColumns({"limit": effective_limit(F.col("asked"), F.col("default_limit")), "broken": malformed_token(F.col("question"))}).first()
+    planned = with_plan(route(asked), planner=planner, mode=planner_mode)
+    found = planned.withColumns({"limit": effective_limit(F.col("asked"), F.col("default_limit")), "broken": malformed_token(F.col("question"))}).first()
     most, entities = int(found["limit"]), {k: found[k] for k in TERM_ENTITIES}
     near = items.select("meeting_id", "item_id", "content", F.lit(0.0).alias("score")).where("false")
     if found["broken"]:
@@ -91,7 +95,7 @@ def ask(
     if semantic is not None and found["use_semantic"]:
         near = materialize(semantic(question, most).select("meeting_id", "item_id", "content", "score").limit(most))
     whole = found["query_type"] in (*MEETING_LISTS, *evidence.EXPLICIT)
-    graph = materialize(search_graph(edges, meetings, items, sem, co, question, list(found["retrieval_modes"]), found["graph_intent"], entities, plan, most if whole else 4 * most))
+    graph = materialize(search_graph(edges, meetings, items, sem, co, question, list(found["retrieval_modes"]), found["graph_intent"], entities, as_dict(found["plan"]) if plan is None else plan, most if whole else 4 * most))
     ruled = False
     if found["query_type"] in ("semantic_summary", "follow_up_tracking"):
         alone = graph.where(F.col("matched_relation").isin(*AUTHORITATIVE)).select("item_id")

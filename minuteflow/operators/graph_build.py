@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteflow.functions.extract import has_decision, has_risk, issue_of, people_from_text, risk_severity
+from minuteflow.functions.extract import PRODUCT_CUES, has_decision, has_risk, issue_of, people_from_text, risk_severity, with_keywords
 from minuteflow.functions.status import with_status
 from minuteflow.functions.text import has_owner, is_meaningful, squash, strip, truncate
 from minuteflow.session import materialize
@@ -28,6 +28,18 @@ def edge(rows: DataFrame, src_type: str, src: str, relation: str, dst_type: str,
     )
 
 
+MENTION_FIELDS = ("content", "tracking_result")
+
+
+def extracted_mentions(meetings: DataFrame, items: DataFrame, cues: tuple[str, ...] = PRODUCT_CUES) -> DataFrame:
+    """The mentions that keyword extraction finds in meeting names and in the items' texts, a row for each owner, field and keyword."""
+    texts = [meetings.select(F.lit("Meeting").alias("owner_type"), F.col("meeting_id").alias("owner_id"), F.lit("meeting_name").alias("field"), F.col("meeting_name").alias("text"))]
+    texts += [items.select(F.lit("MeetingItem").alias("owner_type"), F.col("item_id").alias("owner_id"), F.lit(f).alias("field"), F.col(f).alias("text")) for f in MENTION_FIELDS]
+    rows = reduce(DataFrame.union, texts).where(is_meaningful(F.col("text")))
+    keyed = rows.select(F.struct("owner_type", "owner_id", "field").alias("owner"), "text")
+    return with_keywords(keyed, "owner", "text", cues=cues).select("owner.*", "name", "type", "score", "method")
+
+
 def item_text() -> F.Column:
     return squash(F.concat_ws(" ", "content", "tracking_result"))
 
@@ -98,7 +110,7 @@ def build_edges(meetings: DataFrame, items: DataFrame, mentions: DataFrame, rela
         ("RESPONSIBLE_BY", lambda: edge(people, "MeetingItem", "item_id", "RESPONSIBLE_BY", "Person", "person")),
         ("MENTIONS", lambda: edge(own, "MeetingItem", "owner_id", "MENTIONS", "Keyword", "name")),
         ("MENTIONS", lambda: edge(mentions.where("owner_type = 'Meeting'"), "Meeting", "owner_id", "MENTIONS", "Keyword", "name")),
-        ("MENTIONS_PRODUCT", lambda: edge(own.where("type = 'product' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_PRODUCT", "Product", "name")),
+        ("MENTIONS_PRODUCT", lambda: edge(own.where("type = 'product' and field = 'content' and name like '% %'"), "MeetingItem", "owner_id", "MENTIONS_PRODUCT", "Product", "name")),
         ("MENTIONS_REGULATION", lambda: edge(own.where("type = 'regulation' and field = 'content'"), "MeetingItem", "owner_id", "MENTIONS_REGULATION", "Regulation", "name")),
         ("HAS_ACTION", lambda: edge(sem, "MeetingItem", "item_id", "HAS_ACTION", "ActionItem", "action_id")),
         ("ASSIGNED_TO", lambda: edge(people, "ActionItem", "action_id", "ASSIGNED_TO", "Person", "person")),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.functions.text import is_meaningful, strip
+from minuteflow.operators.planning import Planner, plan_question
 from minuteflow.session import materialize
 
 # Scores of the retrieval modes and relations.
@@ -299,16 +300,18 @@ def _results(rows: DataFrame, mode: str, score: float | None = None) -> DataFram
 
 
 def search_graph(
-    edges: DataFrame, meetings: DataFrame, items: DataFrame, sem: DataFrame, co: DataFrame, question: str, modes: str | list[str] | tuple[str, ...] | None = None, intent: str = "keyword_related", entities: dict[str, str] | None = None, plan: dict | None = None, limit: int = 50
+    edges: DataFrame, meetings: DataFrame, items: DataFrame, sem: DataFrame, co: DataFrame, question: str, modes: str | list[str] | tuple[str, ...] | None = None, intent: str = "keyword_related", entities: dict[str, str] | None = None, plan: dict | None = None, limit: int = 50,
+    planner: Planner | None = None, planner_mode: str | None = None,
 ) -> DataFrame:
     """Rows of the asked retrieval modes, merged, deduplicated and sorted by score, date and item.
 
     Items of a named meeting, or of a date that is asked for, answer alone; related keywords count
     only where no other mode finds anything. intent and entities come from the routing functions,
-    plan is {target, constraints, include_followups}. Each part has at most limit rows but the
+    plan is {target, constraints, include_followups}; without one, the composite mode plans the
+    question itself, with planner's help where planner_mode asks for it. Each part has at most limit rows but the
     keyword rows and is written, as its being empty decides what follows. A blank question gives no rows.
     """
-    asked, plan, question = retrieval_modes(modes), plan or {}, question.strip()
+    asked, question = retrieval_modes(modes), question.strip()
     parts: list[DataFrame] = []
     nothing = _results(relation_items(edges, meetings, items, "HAS_ITEM", None), "none", 0.0).where("false")
     if not question:
@@ -325,6 +328,8 @@ def search_graph(
         by_relation = materialize(_results(relation_items(edges, meetings, items, relation, str((entities or {}).get(entity) or "").strip()).limit(limit), "relation", MODE_SCORES["relation"]))
         if intent in ("planned_date", "completed_date") and not by_relation.isEmpty():
             return by_relation
+    if "composite" in asked and plan is None:
+        plan = plan_question(meetings.sparkSession, question, planner, planner_mode)
     if "composite" in asked and plan.get("target", "meeting_items") != "meeting_items":
         constraints = plan.get("constraints") or {}
         parts.append(materialize(_results(composite(edges, meetings, sem, plan["target"], constraints, limit), "composite")))

@@ -208,9 +208,9 @@ select item_id, meeting_id, item_no, content, score::bigint as score from s wher
 f as (select *, case when regexp_matches(lower(t), '(^|[^a-z0-9])red ring([^a-z0-9]|$)') then 'red ring' when regexp_matches(lower(t), '(^|[^a-z0-9])bolt([^a-z0-9]|$)') then 'bolt' end as q from s),
 p as (select *, length(regexp_extract(lower(t), '^(.*?(^|[^a-z0-9]))' || q || '([^a-z0-9]|$)', 1)) as n0 from f where q is not null)
 select item_id, case when n0 > 20 then '...' else '' end || substring(t, greatest(n0 - 20, 0) + 1, least(n0, 20)) || '<mark>' || substring(t, n0 + 1, length(q)) || '</mark>' || substring(t, n0 + length(q) + 1, 30) || case when n0 + length(q) + 30 < length(t) then '...' else '' end as snippet from p""",
-    "keywords": f"""{WITH}, c as (select product as p from items), k as (select 'Check the ' || p || ' for' as name, 'english_phrase' as type, 'phrase' as method from c
-  union all select 'the ' || p, 'product', 'product_cue' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')
-  union all select p, 'product', 'product_cue' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')) select name, type, method, count(*) as n from k group by all""",
+    "keywords": f"""{WITH}, c as (select product as p from items), k as (select 'Check the ' || p || ' for' as name, 'english_phrase' as type, 'regex_phrase' as method from c
+  union all select 'the ' || p, 'product', 'regex_product_phrase' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')
+  union all select p, 'product', 'regex_product_phrase' from c where split_part(p, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil')) select name, type, method, count(*) as n from k group by all""",
     "point_ids": f"""{WITH}, h as (select meeting_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || meeting_id::blob) as d from meetings)
 select meeting_id, substring(d, 1, 8) || '-' || substring(d, 9, 4) || '-5' || substring(d, 14, 3) || '-' || substring('89ab', (strpos('0123456789abcdef', substring(d, 17, 1)) - 1) % 4 + 1, 1) || substring(d, 18, 3) || '-' || substring(d, 21, 12) as id from h""",
     "product_meeting_counts": f"{WITH} select product, count(distinct meeting_id) as meeting_count from items group by 1 order by 2 desc, 1 limit 20",
@@ -299,3 +299,31 @@ ORACLES["answered_keyword"] = ORACLES["graph_search_keywords"].split("select ite
 g as (select * from s order by graph_score desc, coalesce(meeting_date, ''), item_id limit 48), b as (select item_id, max(graph_score) as best from g group by 1 order by 2 desc, 1 limit 12),
 e as (select meeting_id, item_id, content, matched_keyword, graph_score from g join b using (item_id) join items using (item_id) order by graph_score desc, meeting_id, item_id, matched_keyword limit 24)
 select printf('evidence_%03d', row_number() over (order by graph_score desc, meeting_id, item_id, matched_keyword)) as evidence_id, meeting_id, item_id, 'graph' as evidence_source, content || ' mentions ' || matched_keyword as claim from e"""
+
+NAMED_ITEMS = """named as (select * replace (case when meeting_id in ('1', '2') then '王小明' else owner end as owner) from items)"""
+# The newest rows of each part, then the best of both, as explicit routes search no further than the answer's limit.
+ORACLES["answered_composite"] = f"""{WITH}, {NAMED_ITEMS}, {STATUSES.replace("from items", "from named")},
+own as (select s.*, meeting_date from statuses s join meetings using (meeting_id) where owner = '王小明'),
+g as (select * from (select meeting_id, item_id, 'RESPONSIBLE_BY' as matched_relation, 4.0 as score, meeting_date from own order by meeting_date desc nulls first, item_no, item_id limit 15)
+  union all select * from (select meeting_id, item_id, 'HAS_ACTION', 3.8, meeting_date from own where item_no in ('01', '03') and actual_completed_date is null and status not in ('completed', 'not_applicable') order by meeting_date desc nulls first, item_no, item_id limit 15))
+select meeting_id, item_id, matched_relation from g order by score desc, meeting_date, item_id limit 15"""
+ORACLES["planned_questions"] = f"""{WITH}, k as (select item_id, item_no::int as k, product from items)
+select item_id, ['risks', 'decisions', 'action_items', 'issues', 'meeting_items', 'action_items', 'meeting_items'][k] as target, ['', '', '王小明', '', '', 'Carol', ''][k] as person_name, '' as unit_name,
+  case when k = 3 then 'Conformity stem' else '' end as product_name, case when k in (1, 3) then 'FDA' else '' end as regulation_name, ['not_completed', 'completed', 'not_completed', '', '', '', ''][k] as status,
+  case k when 2 then split_part(product, ' ', 1) when 4 then '跨會議' when 5 then 'what' else '' end as keyword, k = 4 as include_followups from k"""
+ORACLES["extracted_keywords"] = f"""{WITH}, runs as (select unnest(['標籤更新需於下次審查前完', '成並回覆法規單位']) as r), sizes as (select unnest([2, 3, 4]) as s),
+grams as (select distinct substring(r, i, s) as name from (select r, s, unnest(range(1, length(r) - s + 2)) as i from runs, sizes)),
+k as (select product as name, 'english_phrase' as type, 0.7::double as score, 'regex_phrase' as method, count(*) as n from items group by 1
+  union all select 'Conformity stem', 'product', 0.76, 'regex_product_phrase', count(*) from items
+  union all select name, 'chinese_term', 0.38, 'cjk_ngram', (select count(*) from items) from grams where name not in ('單位'))
+select * from k"""
+ORACLES["extracted_mentions"] = f"""{WITH}, p as (select product, split_part(product, ' ', 2) in ('ring', 'bolt', 'gear', 'gizmo', 'plate', 'rod', 'widget', 'anvil') as cued from items),
+t as (select tracking_result || ' UPD' as t from items where tracking_result is not null),
+m as (select substring(meeting_name, 3) as t from meetings),
+k as (select 'Meeting' as owner_type, 'meeting_name' as field, t as name, 'english_phrase' as type, 0.7::double as score, 'regex_phrase' as method from m
+  union all select 'Meeting', 'meeting_name', unnest(regexp_extract_all(t, '[A-Z]+')), 'abbreviation', 0.74, 'regex_abbreviation' from m
+  union all select 'MeetingItem' as owner_type, 'content' as field, 'Check the ' || product || ' for' as name, 'english_phrase' as type, 0.7::double as score, 'regex_phrase' as method from p
+  union all select 'MeetingItem', 'content', unnest([product, 'the ' || product]), 'product', 0.76, 'regex_product_phrase' from p where cued
+  union all select 'MeetingItem', 'tracking_result', 'UPD', 'abbreviation', 0.74, 'regex_abbreviation' from t
+  union all select 'MeetingItem', 'tracking_result', regexp_replace(t, '\\s+', ' ', 'g'), 'english_phrase', 0.7, 'regex_phrase' from t where t not like '—%')
+select owner_type, field, name, type, score, method, count(*) as n from k group by all"""

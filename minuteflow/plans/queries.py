@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
-from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, privacy, recommend, search, stats, vectors
+from minuteflow.functions.routing import route
+from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vectors
 from minuteflow.session import materialize, table
 from minuteflow.sources import tables
 
 QUERY, AS_OF, SALT = "red ring", "2001-08-01", "salt"
 CORPUS_CUES = ("ring", "bolt", "gear", "gizmo", "plate", "rod", "widget", "anvil")
+NAMED_MEETINGS = ("1", "2")
 ITEM_COLUMNS = ("item_id", "meeting_id", "document_id", "item_no", "content", "owner", "planned_date", "actual_completed_date", "tracking_result", "page_number")
 M, I = tables.meetings, tables.items  # noqa: E741
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """Products and regulations of items, and the review area of meetings, as keyword mentions."""
-    i = I(spark, d)
+    return _mentions_of(M(spark, d), I(spark, d))
+
+
+def _mentions_of(m, i):
     each = F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(c).alias("type"), F.lit(s).alias("score")) for c, s in (("product", 0.76), ("regulation", 0.74))])).alias("m")
     own = i.select(F.lit("MeetingItem").alias("owner_type"), F.col("item_id").alias("owner_id"), F.lit("content").alias("field"), each).select("owner_type", "owner_id", "field", "m.*", F.lit("regex").alias("method"))
     area = F.regexp_extract("meeting_name", r"(\w+) review$", 1)
-    of_meetings = M(spark, d).select(F.lit("Meeting").alias("owner_type"), F.col("meeting_id").alias("owner_id"), F.lit("meeting_name").alias("field"), area.alias("name"), F.lit("english_phrase").alias("type"), F.lit(0.7).alias("score"), F.lit("phrase").alias("method"))
+    of_meetings = m.select(F.lit("Meeting").alias("owner_type"), F.col("meeting_id").alias("owner_id"), F.lit("meeting_name").alias("field"), area.alias("name"), F.lit("english_phrase").alias("type"), F.lit(0.7).alias("score"), F.lit("phrase").alias("method"))
     return own.union(of_meetings)
 
 
@@ -433,6 +438,38 @@ def answered_keyword(spark, d):
     return _claims(_ask(spark, d, "red ring", limit="wide"))
 
 
+def answered_composite(spark, d):
+    """A person's open items under a regulation, on stand-ins for names that the routing rules know."""
+    named = F.col("meeting_id").isin(*NAMED_MEETINGS)
+    i = materialize(I(spark, d).withColumns({"owner": F.when(named, "王小明").otherwise(F.col("owner")), "regulation": F.when(named & F.col("item_no").isin("01", "03"), "FDA").otherwise(F.col("regulation"))}))
+    m, said = M(spark, d), _mentions_of(M(spark, d), i)
+    e = materialize(graph_build.build_edges(m, i, said, ("HAS_ACTION", "RESPONSIBLE_BY", "ASSIGNED_TO", "MENTIONS_REGULATION", "CONSTRAINED_BY")))
+    given = asking.ask("王小明 FDA 未完成項目", m, i, e, graph_build.semantics(i, said), cooccurrence(spark, d))
+    return given.evidence.select("meeting_id", "item_id", "matched_relation")
+
+
+def planned_questions(spark, d):
+    """Plans of seven kinds of questions, one for each item."""
+    said = F.expr(
+        """element_at(array('FDA open risk items for ' || product, product || ' 的決議是否已完成？', '王小明 FDA Conformity stem 未完成項目', '跨會議追蹤 ' || product,
+        'what is ' || product || ' waiting for', 'Is Carol responsible for ' || product || '?', ' '), cast(item_no as int))"""
+    )
+    plans = planning.with_plan(route(I(spark, d).select("item_id", said.alias("question"))))
+    return plans.select("item_id", "plan.target", "plan.constraints.*", "plan.include_followups")
+
+
+def extracted_keywords(spark, d):
+    """Keywords of Chinese texts, one of whose runs is longer than twelve characters."""
+    texts = I(spark, d).select("item_id", F.concat("product", F.lit("，標籤更新需於下次審查前完成並回覆法規單位。Conformity stem")).alias("content"))
+    return extract.with_keywords(texts, "item_id", "content", limit=100).groupBy("name", "type", "score", "method").agg(F.count("*").alias("n"))
+
+
+def extracted_mentions(spark, d):
+    """What extraction gives the graph, of meetings and both texts of items."""
+    found = graph_build.extracted_mentions(M(spark, d), I(spark, d).withColumn("tracking_result", F.concat("tracking_result", F.lit(" UPD"))), CORPUS_CUES)
+    return found.groupBy("owner_type", "field", "name", "type", "score", "method").agg(F.count("*").alias("n"))
+
+
 def answered_nothing(spark, d):
     return _ask(spark, d, "zzz qqq").answer
 

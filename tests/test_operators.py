@@ -56,6 +56,19 @@ def test_keywords(spark):
     assert found["標籤審查"] == ("chinese_term", 0.38)
 
 
+def test_keywords_of_long_runs_and_odd_phrases(spark):
+    rows = spark.createDataFrame([("i1", "甲乙丙丁戊己庚辛壬癸子丑寅卯"), ("i2", "a b/c red-ring X stem, cup"), ("i3", None), ("i4", "CE stem CE stem")], "item_id string, content string")
+    found = {}
+    for r in extract.with_keywords(rows, "item_id", "content", limit=99).collect():
+        found.setdefault(r["item_id"], {})[r["name"]] = r["method"]
+    run = {"甲乙丙丁戊己庚辛壬癸子丑"[i : i + n] for n in (2, 3, 4) for i in range(13 - n)} | {"寅卯"}
+    assert set(found["i1"]) == run and "i3" not in found
+    assert found["i2"] == {"red-ring X stem": "regex_product_phrase", "X stem": "regex_product_phrase"}
+    assert found["i4"]["CE stem"] == "regex_product_phrase" and found["i4"]["CE"] == "regex_abbreviation"
+    lists = {r["item_id"]: (r["products"], r["regulations"]) for r in extract.keyword_lists(extract.with_keywords(rows, "item_id", "content", limit=99), "item_id").collect()}
+    assert lists["i4"] == (["CE stem", "stem CE stem", "CE stem CE stem"], ["CE"]) and lists["i1"] == ([], [])
+
+
 @pytest.mark.parametrize(
     ("question", "kind", "intent"),
     [
