@@ -6,8 +6,10 @@ notices, adverts, forms, hidden parts and reader comments, and on pages that mar
 main element all that stands outside it, are one empty line each, however many blocks they hold.
 The lengths are summed over sliding windows of WINDOW lines. A window whose sum is 0 is a dive:
 its lines are a list of links. What stands between two dives is a stretch; it is text if one of
-its windows surges, that is, sums to SURGE or more. On a page without any surge all stretches are
-text, so short pages keep theirs, and a page without any stretch keeps its lines.
+its windows surges, that is, sums to SURGE or more, and so is a dive between two surging stretches
+that is no longer than both. On a page without any surge all stretches are text, so short pages keep
+theirs, and a page without any stretch keeps its lines. A page that marks its article or main element
+has its stretch marked: all of it is text, its own lists of links and short last lines included.
 
 Parsing is linear in the page's length. Defined cases: null and empty pages, and pages without
 text, give an empty text; broken and unclosed markup is read as far as it goes; an inline element
@@ -18,7 +20,7 @@ and n_chars are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html import unescape
 from itertools import accumulate
 
@@ -85,9 +87,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     #: Pieces of the block's text, and those of them that stand outside links.
     parts: list[str] = []
     plain: list[str] = []
-    #: Open elements: name, excluded, main, a header inside the main element.
-    stack: list[tuple[str, bool, bool, bool]] = []
-    opened: Counter[str] = Counter()
+    #: Open elements: name, excluded, main, a header inside the main element, the place of the nearest block.
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    #: Where each element is open in the stack.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     state = {"out": 0, "main": 0, "lead": 0, "heading": 0, "link": 0, "skipped": 0}
 
     def add(text: str) -> None:
@@ -111,18 +114,19 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         state["skipped"] = 0
 
     def push(name: str, attributes: dict[str, str]) -> None:
-        out, main = _excluded(name, attributes), _main(name, attributes)
+        plainly = not attributes and name not in BLOCK
+        out, main = (name in BOILERPLATE, False) if plainly else (_excluded(name, attributes), _main(name, attributes))
         lead = out and name == "header" and state["main"] > 0
-        stack.append((name, out, main, lead))
-        opened[name] += 1
+        stack.append((name, out, main, lead, len(stack) if name in BLOCK else stack[-1][4] if stack else -1))
+        places[name].append(len(stack) - 1)
         state["out"] += out
         state["main"] += main
         state["lead"] += lead
         state["heading"] += name in HEADINGS
 
     def pop() -> str:
-        name, out, main, lead = stack.pop()
-        opened[name] -= 1
+        name, out, main, lead, _ = stack.pop()
+        places[name].pop()
         state["out"] -= out
         state["main"] -= main
         state["lead"] -= lead
@@ -161,7 +165,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if closing:
             if name == "a":
                 state["link"] = 0
-            if opened[name]:
+            # An inline element ends within its block only.
+            if places[name] and (name in BLOCK or places[name][-1] > stack[-1][4]):
                 while pop() != name:
                     pass
             continue
@@ -179,22 +184,17 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             state["link"] = len(stack) + 1
         attributes = _attributes(source)
-        if name in BLOCK:
-            inline = 0
-            while inline < len(stack) and stack[-1 - inline][0] not in BLOCK:
-                inline += 1
-            if inline < len(stack) and (stack[-1 - inline][0] == "p" or (name in SIBLINGS and stack[-1 - inline][0] == name)):
-                for _ in range(inline + 1):
-                    pop()
-            push(name, attributes)
-        elif _excluded(name, attributes) or _main(name, attributes):
-            push(name, attributes)
+        block = stack[-1][4] if stack else -1
+        if name in BLOCK and block >= 0 and (stack[block][0] == "p" or (name in SIBLINGS and stack[block][0] == name)):
+            while len(stack) > block:
+                pop()
+        push(name, attributes)
     flush()
     return lines
 
 
-def block_lines(html: str | None) -> list[tuple[str, int]]:
-    """(text, length) of each line; what is excluded or outside the main element is one empty line for each unbroken stretch."""
+def block_lines(html: str | None) -> tuple[list[tuple[str, int]], bool]:
+    """(text, length) of each line, and whether the page marks its main element; what is excluded or outside that is one empty line for each unbroken stretch."""
     lines = lines_of(html or "")
     marked = any(inside and text for text, _, inside in lines)
     out: list[tuple[str, int]] = []
@@ -203,11 +203,14 @@ def block_lines(html: str | None) -> list[tuple[str, int]]:
             out.append((text, length))
         elif not out or out[-1][0]:
             out.append(("", 0))
-    return out
+    return out, marked
+
 
+def located(lengths: list[int], sizes: list[int] | None = None, window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """For each line, whether it lies in a stretch that surges between two dives, or in a dive that two of these outweigh.
 
-def located(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
-    """For each line, whether it lies in a stretch that surges between two dives."""
+    lengths count characters outside links, sizes all; without sizes no dive is kept.
+    """
     n = len(lengths)
     width = min(window, n)
     running = [0, *accumulate(lengths)]
@@ -225,17 +228,20 @@ def located(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
                 stretches.append((start, k))
             start = k + 1
     surges = [max(sums[max(0, a - width + 1) : b], default=0) >= surge for a, b in stretches]
-    keep = [not stretches] * n
+    keep, any_surges = [not stretches] * n, any(surges)
     for (a, b), good in zip(stretches, surges):
-        if good or not any(surges):
+        if good or not any_surges:
             keep[a:b] = [True] * (b - a)
+    for (a, b), (c, d), left, right in zip(stretches, stretches[1:], surges, surges[1:]):
+        if sizes and left and right and sum(sizes[b:c]) <= sum(sizes[a:b]) + sum(sizes[c:d]):
+            keep[b:c] = [True] * (c - b)
     return keep
 
 
 def main_text(html: str | None) -> str:
     """The lines of the text, joined by newlines."""
-    lines = block_lines(html)
-    keep = located([length for _, length in lines])
+    lines, marked = block_lines(html)
+    keep = [True] * len(lines) if marked else located([length for _, length in lines], [len(text) for text, _ in lines])
     return "\n".join(text for (text, _), good in zip(lines, keep) if good and text)
 
 

@@ -107,13 +107,95 @@ def test_html_surges_and_dives_decide(monkeypatch):
     links = "".join(f"<div><a href=x>Link number {k}</a></div>" for k in range(5))
     text = "long text here " * 10
     page = f"{links}<h1><a>T</a></h1><p>{text}</p>{links}<p>Corp 2020</p>"
-    for body in (page, f"<article>{page}</article>"):
-        assert op1_html.main_text(body) == f"T\n{text.strip()}"
+    assert op1_html.main_text(page) == f"T\n{text.strip()}"
+    # In a marked article nothing but structure takes anything away.
+    assert op1_html.main_text(f"<article>{page}</article>").count("Link number") == 10
     assert op1_html.main_text(links) == "\n".join(f"Link number {k}" for k in range(5))
-    monkeypatch.setattr(op1_html, "located", lambda lengths: [True] * len(lengths))
+    monkeypatch.setattr(op1_html, "located", lambda lengths, sizes=None: [True] * len(lengths))
     assert op1_html.main_text(page) != f"T\n{text.strip()}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Keep <span class="ad">BUY <span>now</span> cheap</span> end</p></article>', "Keep end"),
+        ('<p>Keep <span class="ad">BUY <span>now</span> cheap</span> end</p>', "Keep end"),
+        ('<article><p>x</p><span class="share">Tweet <span>this</span> page</span></article>', "x"),
+        ('<article><p>a <b class="comment">no <b>not</b> this</b> b</p></article>', "a b"),
+        ("<article><p><b>one <i>two</b> three</i> four</p><p>five</p></article>", "one two three four\nfive"),
+        ("<article><span><div>in</span> still</div></article>", "in still"),
+    ],
+)
+def test_html_inline_elements_nest(page, text):
+    assert op1_html.main_text(page) == text
+
+
+def test_html_marked_articles_keep_links_and_last_lines():
+    long = ("long text here " * 14).strip()
+    sources = "".join(f"<p><a href=x>Source {k}</a></p>" for k in range(3))
+    want = [long, "Source 0", "Source 1", "Source 2", "Closing short."]
+    assert op1_html.main_text(f"<nav>n</nav><article><p>{long}</p>{sources}<p>Closing short.</p></article><footer>f</footer>") == "\n".join(want)
+    assert op1_html.main_text(f"<article><p>{long}</p><ul>{sources.replace('p>', 'li>')}</ul><p>Closing short.</p></article>") == "\n".join(want)
+    # Without marks a list of links between two long stretches stays, one that outweighs them goes.
+    assert "Source 1" in op1_html.main_text(f"<p>{long}</p>{sources}<p>{long}</p>")
+    assert "Source 1" not in op1_html.main_text(f"<p>{long}</p>{sources * 30}<p>{long}</p>")
+
+
+def test_html_is_linear_in_unclosed_elements():
+    page = "<article>" + "<b>" * 50_000 + "<i></u>" * 50_000 + "<p>x</p>" * 50_000 + "</article>"
+    assert op1_html.main_text(page).count("x") == 50_000
+
+
+def test_html_random_pages_against_a_tree():
+    rnd = random.Random(11)
+
+    def node(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice(["alpha", "beta ", " gamma", "x &amp; y", "\n"])
+        name = rnd.choice(["p", "div", "ul", "li", "span", "b", "i", "section", "nav", "script", "h2"])
+        if name == "p":
+            return (name, "", [node(0) if rnd.random() < 0.5 else ("b", "", [node(0)]) for _ in range(2)])
+        return (name, rnd.choice(["", "", "", "ad", "share-bar", "story"]), [node(depth - 1) for _ in range(rnd.randrange(4))] if name != "script" else ["var x;"])
+
+    def markup(n):
+        return n if isinstance(n, str) else f"<{n[0]}{f' class={n[1]!r}' if n[1] else ''}>{''.join(map(markup, n[2]))}</{n[0]}>"
+
+    def parts(n):
+        return not isinstance(n, str) and (n[0] not in ("span", "b", "i", "script") or any(map(parts, n[2])))
+
+    def blocks(n, out, block):
+        if isinstance(n, str):
+            out[-1] += n.replace("&amp;", "&")
+        elif n[1] in ("ad", "share-bar") or n[0] in ("nav", "script"):
+            if parts(n):
+                out.append("")
+        else:
+            split = n[0] not in ("span", "b", "i")
+            out += [""] * split
+            for child in n[2]:
+                blocks(child, out, block)
+            out += [""] * split
+
+    def has_nested(n, names=()):
+        """A p in a p and a li in a li close the outer one, which the plain tree doesn't know."""
+        if isinstance(n, str):
+            return False
+        block = names[-1:] if n[0] in ("span", "b", "i") else (n[0],)
+        return (bool(names) and n[0] not in ("span", "b", "i") and (names[-1] == "p" or names[-1] == n[0] == "li")) or any(has_nested(c, block or names) for c in n[2])
+
+    seen = 0
+    for _ in range(3000):
+        tree = ("section", "", [node(4) for _ in range(3)])
+        if has_nested(tree):
+            continue
+        out = [""]
+        blocks(tree, out, None)
+        seen += 1
+        want = "\n".join(t for t in (" ".join(b.split()) for b in out) if t)
+        assert op1_html.main_text(f"<article>{markup(tree)}</article>") == want, markup(tree)
+    assert seen > 1000
+
+
 def test_html_windows_against_brute_force():
     def brute(lengths, w=3, surge=80):
         n, w = len(lengths), min(w, len(lengths))
@@ -470,6 +552,42 @@ def test_chat_template_that_rewrites_late(spark):
     assert [r["n_rewrites"] for r in op8_chat.format_digests(frame).collect()] == [0]
 
 
+@pytest.mark.parametrize(("back", "turns", "seen"), [(100, 600, True), (40, 128, True), (500, 3000, True), (700, 600, False)])
+def test_chat_template_that_rewrites_far_back(spark, back, turns, seen):
+    def template(messages):
+        return "".join(f"<{r}:{t if k + back >= len(messages) else '...'}>" for k, (r, t) in enumerate(messages))
+
+    frame = spark.createDataFrame([(1, k, "user", f"text {k}") for k in range(turns)], "conv_id bigint, turn bigint, role string, text string")
+    assert (op8_chat.format_digests(frame, template, lambda piece: [("x", "")], lambda text: text).first()["n_rewrites"] > 0) is seen
+
+
+def test_chat_ids_are_exact_beside_a_null(spark, tmp_path):
+    turns = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d"), (2**63 - 1, 0, "user", "e")]
+    path = saved(spark, tmp_path, spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations")
+    assert {r["conv_id"]: r["n_turns"] for r in op8_chat.op8_chat_format(spark, path).collect()} == {2**53: 1, 2**53 + 1: 1, None: 2, 2**63 - 1: 1, -1: 2}
+
+
+def test_chat_digests_against_an_independent_formatter(spark, tmp_path):
+    rnd = random.Random(5)
+    pieces = ["</s>", "[INST]", " ok ", "[/INST]", "\\", "<s>", "é😀", "\n", "", "[TURN]", "[/ROLE]", "\\]"]
+    turns = []
+    for conv in range(40):
+        for turn in range(rnd.randrange(1, 90)):
+            text = None if rnd.random() < 0.1 else "".join(rnd.choice(pieces) for _ in range(rnd.randrange(6)))
+            turns.append((conv, rnd.choice([turn, turn, max(0, turn - 1)]), rnd.choice(["user", "assistant", "assistant", "system", "tool[/ROLE]", None]), text))
+    shuffled = turns[:]
+    rnd.shuffle(shuffled)
+    path = saved(spark, tmp_path, spark.createDataFrame(shuffled, "conv_id bigint, turn bigint, role string, text string").withColumn("role2", F.lit(1)), "conversations")
+    got = {r["conv_id"]: r for r in op8_chat.op8_chat_format(spark, path).collect()}
+    for conv in range(40):
+        own = sorted((t[1:] for t in turns if t[0] == conv), key=lambda t: (t[0], t[1] is not None, t[1] or "", t[2] is not None, t[2] or ""))
+        said = "".join(t[2] or "" for t in own if t[1] == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["loss_chars"]) == (len(own), len(said))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{t[1] or ''}\n{t[2] or ''}\n" for t in own).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_own_conversation_stays_apart(spark, tmp_path):
     turns = [(-1, 0, "user", "mine"), (-1, 1, "assistant", "x" * 300_000), (-1, 1, "assistant", "x" * 300_000)]
     path = saved(spark, tmp_path, spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations")
