@@ -327,3 +327,7 @@ k as (select 'Meeting' as owner_type, 'meeting_name' as field, t as name, 'engli
   union all select 'MeetingItem', 'tracking_result', 'UPD', 'abbreviation', 0.74, 'regex_abbreviation' from t
   union all select 'MeetingItem', 'tracking_result', regexp_replace(t, '\\s+', ' ', 'g'), 'english_phrase', 0.7, 'regex_phrase' from t where t not like '—%')
 select owner_type, field, name, type, score, method, count(*) as n from k group by all"""
+ORACLES["vector_index_exact"] = """select query_id, vec_id, round(score, 5) as score, rank from (
+  select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score,
+    row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id)::int as rank
+  from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 10"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vectors
-from minuteflow.session import materialize, table
+from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
+from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
 QUERY, AS_OF, SALT = "red ring", "2001-08-01", "salt"
@@ -410,6 +410,22 @@ def summary_answer(spark, d):
     return answers.summary_answer(claims, numbered.select(F.col("item_id").alias("evidence_id"), "meeting_name"))
 
 
+def _vector_search(spark, d, **how):
+    """Every twentieth vector against all, by an index of all."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index = vector_index.build(rows, fresh_path(spark), "vec_id")
+    found = index.search(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), **how)
+    return found.withColumn("score", F.round("score", 5))
+
+
+def vector_index_exact(spark, d):
+    return _vector_search(spark, d, exact=True)
+
+
+def vector_index_search(spark, d):
+    return _vector_search(spark, d)
+
+
 def deidentified(spark, d):
     rows = M(spark, d).select("meeting_id", "chairperson", "responsible_unit", F.concat(F.lit("Call "), F.col("chairperson"), F.lit(" at +886 2 2345 6789 or a.b@example.com on 2001-08-01")).alias("content"))
     return privacy.deidentify(rows, privacy.sensitive_values(rows.select("meeting_id", "chairperson", "responsible_unit"), "meeting_id"), "meeting_id", SALT)

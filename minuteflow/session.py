@@ -54,7 +54,7 @@ def _own_dir(application: str) -> str:
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/minuteflow/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -64,10 +64,19 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark reads it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize wrote, once no later job reads it."""
     path = df.__dict__.get("written_to")
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new folder's path below the shared folder."""
+    return f"{shared_dir(spark)}/minuteflow/{uuid.uuid4().hex}"
