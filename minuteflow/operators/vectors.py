@@ -10,17 +10,18 @@ from minuteflow.functions.text import is_meaningful, uuid5_url
 THRESHOLD = 0.7
 # Fields of the embedding text, and the tokens that stand for hidden names.
 TEXT_FIELDS = ("meeting_name", "meeting_date", "item_no", "content", "owner", "planned_date", "actual_completed_date", "tracking_result", "status", "responsible_unit")
+MEETING_FIELDS = ("meeting_name", "meeting_date", "responsible_unit")
 NEUTRAL = {"Person": "person", "Unit": "unit", "Company": "company", "File": "file", "Ref": "reference", "Email": "email", "Phone": "phone", "ID": "identifier", "Token": "identifier"}
 TOKEN_LIKE = r"(?<![A-Za-z0-9_])(?:Person|Unit|Company|File|Ref|Email|Phone|ID|Token)_[A-Za-z0-9]+"
 TOKEN = r"(?<![A-Za-z0-9_])(?:Person|Unit|Company|File|Ref|Email|Phone|ID|Token)_[A-F0-9]{10}(?![A-Za-z0-9_])"
 
 
 def neutralized(c: Column) -> Column:
-    """A whole-value token is no value; a token inside a text becomes a neutral noun."""
+    """A whole-value token is no value; a token inside a text becomes a neutral noun. Texts without an underscore hold none."""
     out = c
     for kind, noun in NEUTRAL.items():
         out = F.regexp_replace(out, rf"(?<![A-Za-z0-9_]){kind}_[A-F0-9]{{10}}(?![A-Za-z0-9_])", noun)
-    return F.when(c.rlike(f"^{TOKEN}$"), None).otherwise(out)
+    return F.when(~c.contains("_"), c).when(c.rlike(f"^{TOKEN}$"), None).otherwise(out)
 
 
 def malformed_token(c: Column) -> Column:
@@ -28,15 +29,28 @@ def malformed_token(c: Column) -> Column:
     return F.regexp_replace(c, TOKEN, "").rlike(TOKEN_LIKE)
 
 
-def embedding_text(fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
-    """'field: value' lines of the fields that have a value."""
-    return F.concat_ws("\n", *[F.when(is_meaningful(F.col(f)) & neutralized(F.col(f)).isNotNull(), F.concat(F.lit(f"{f}: "), neutralized(F.col(f)))) for f in fields])
+def with_lines(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """rows with a column _line_<field> for each field that they have: 'field: value', null without a value."""
+    own = [f for f in fields if f in rows.columns]
+    clean = rows.withColumns({f"_line_{f}": neutralized(F.col(f)) for f in own})
+    return clean.withColumns({f"_line_{f}": F.when(is_meaningful(F.col(f"_line_{f}")), F.concat(F.lit(f"{f}: "), f"_line_{f}")) for f in own})
+
+
+def embedding_texts(items: DataFrame, meetings: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """items with their meetings' fields and embedding_text, the 'field: value' lines of the fields that have a value.
+
+    Each side's lines are made before the join, where each row is once.
+    """
+    shown = [f for f in MEETING_FIELDS if f in meetings.columns]
+    of_items = tuple(f for f in fields if f not in MEETING_FIELDS)
+    joined = with_lines(items, of_items).join(with_lines(meetings.select("meeting_id", *shown), tuple(f for f in fields if f in shown)), "meeting_id", "left")
+    lines = [f"_line_{f}" for f in fields if f"_line_{f}" in joined.columns]
+    return joined.withColumn("embedding_text", F.concat_ws("\n", *lines)).drop(*[c for c in joined.columns if c.startswith("_line_")])
 
 
 def points(items: DataFrame, meetings: DataFrame, embed=None) -> DataFrame:
     """(id, payload..., embedding_text, vector): embed is a function from a text column to a vector column, such as a pandas UDF."""
-    joined = items.join(meetings.select("meeting_id", "meeting_name", "meeting_date", "responsible_unit"), "meeting_id", "left")
-    out = joined.withColumn("embedding_text", embedding_text(tuple(f for f in TEXT_FIELDS if f in joined.columns))).withColumn("id", uuid5_url(F.col("item_id"))).where("embedding_text <> ''")
+    out = embedding_texts(items, meetings).withColumn("id", uuid5_url(F.col("item_id"))).where("embedding_text <> ''")
     return out.withColumn("vector", embed(F.col("embedding_text"))) if embed else out
 
 

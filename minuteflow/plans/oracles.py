@@ -331,3 +331,20 @@ ORACLES["vector_index_exact"] = """select query_id, vec_id, round(score, 5) as s
   select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score,
     row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id)::int as rank
   from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 10"""
+ORACLES["expanded_nodes"] = f"""{WITH}, {STATUSES},
+linked as (select 'Product:' || product as node_id, item_id, null as rel from statuses union all select 'Regulation:' || regulation, item_id, null from statuses union all select 'Person:' || owner, item_id, null from statuses where {owned()}
+  union all select 'Date:' || planned_date, item_id, 'HAS_PLANNED_DATE' from statuses where planned_date is not null
+  union all select 'Date:' || actual_completed_date, item_id, 'HAS_COMPLETED_DATE' from statuses where actual_completed_date in (select planned_date from statuses)),
+placed as (select node_id, m.meeting_id, meeting_date, item_id, item_no, rel from linked join items using (item_id) join meetings m using (meeting_id)
+  union all select 'Unit:' || responsible_unit, meeting_id, meeting_date, null, null, null from meetings),
+r as (select *, row_number() over (partition by node_id order by meeting_date desc, item_no nulls last, item_id nulls last, meeting_id, rel)::int as seq from placed)
+select node_id, seq, meeting_id, item_id, rel as date_relation from r where seq <= 5"""
+ORACLES["expanded_items"] = f"""{WITH}, {STATUSES}, {ISSUES}, named as (select i.* from items i join meetings using (meeting_id)), st as (select s.* from statuses s join meetings using (meeting_id)),
+dates as (select item_id, planned_date as d, 'HAS_PLANNED_DATE' as rel from st where planned_date is not null union all select item_id, actual_completed_date, 'HAS_COMPLETED_DATE' from st where actual_completed_date is not null),
+texts as (select item_id, trim(regexp_replace(content || coalesce(' ' || tracking_result, ''), '\\s+', ' ', 'g')) as t from named), titled as (select *, case when length(t) <= 96 then t else left(t, 95) || '...' end as title from texts)
+select 'Meeting' as kind, count(distinct meeting_id) as n from named union all select 'MeetingItem', count(*) from named union all select 'Product', count(distinct product) from named union all select 'Regulation', count(distinct regulation) from named
+union all select 'Person', count(distinct owner) from named where {owned()} union all select 'Date', count(distinct d) from dates union all select 'Keyword', count(distinct k) from (select product as k from named union all select regulation from named)
+union all select 'ActionItem', count(distinct title) from titled union all select 'Issue', count(distinct title) from issues join meetings using (meeting_id)
+union all select unnest(['HAS_ITEM', 'MENTIONS_PRODUCT', 'MENTIONS_REGULATION', 'HAS_ACTION', 'TRACKS_ISSUE']), count(*) from named union all select 'MENTIONS', 2 * count(*) from named
+union all select 'RESPONSIBLE_BY', count(*) from named where {owned()} union all select rel, count(*) from dates group by 1
+union all select 'CO_MENTIONED_WITH', count(distinct (product, regulation)) from named union all select 'ASSOCIATED_WITH', count(distinct (owner, product)) from named where {owned()}"""

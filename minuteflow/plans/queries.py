@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
+from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
 from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
@@ -334,6 +334,29 @@ def node_expansion(spark, d):
     return graph_query.expand_node(edges(spark, d, "MENTIONS_PRODUCT"), "Product", "red ring", ("MENTIONS_PRODUCT",), 50)
 
 
+EXPANDED = ("TRACKS_ISSUE", "HAS_ACTION", "RESPONSIBLE_BY", "HAS_PLANNED_DATE", "HAS_COMPLETED_DATE", "MENTIONS", "MENTIONS_PRODUCT", "MENTIONS_REGULATION")
+
+
+def _expanded(spark, d, nodes, limit, scope="default"):
+    return graph_view.expand_nodes(nodes, materialize(edges(spark, d, *EXPANDED)), M(spark, d), I(spark, d), materialize(semantics(spark, d)), limit, scope)
+
+
+def expanded_nodes(spark, d):
+    """The surroundings of every product, regulation, owner, unit and planned date."""
+    i = status.with_status(I(spark, d))
+    kinds = [("Product", i, "product"), ("Regulation", i, "regulation"), ("Person", i, "owner"), ("Date", i, "planned_date"), ("Unit", M(spark, d), "responsible_unit")]
+    each = [rows.where(F.col(c).isNotNull()).select(F.concat(F.lit(f"{kind}:"), c).alias("node_id")).distinct() for kind, rows, c in kinds]
+    nodes = each[0].union(each[1]).union(each[2]).union(each[3]).union(each[4])
+    return _expanded(spark, d, nodes, 5).select("node_id", "seq", "meeting_id", "item_id", "date_relation")
+
+
+def expanded_items(spark, d):
+    """Every item with all it is linked to, and the graph that makes: how many nodes and edges of each kind."""
+    nodes = I(spark, d).select(F.concat(F.lit("MeetingItem:"), "item_id").alias("node_id"))
+    found, linked = graph_view.row_graph(materialize(_expanded(spark, d, nodes, 10, "all")))
+    return found.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")).union(linked.groupBy("label").agg(F.count("*")))
+
+
 def vector_search(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     query = v.where("id = 3").first()["vector"]
@@ -342,7 +365,7 @@ def vector_search(spark, d):
 
 def embedding_texts(spark, d):
     fields = ("meeting_name", "content", "owner", "planned_date", "tracking_result")
-    return I(spark, d).join(M(spark, d).select("meeting_id", "meeting_name"), "meeting_id").select("item_id", F.md5(F.encode(vectors.embedding_text(fields), "UTF-8")).alias("digest"))
+    return vectors.embedding_texts(I(spark, d), M(spark, d), fields).where("meeting_name is not null").select("item_id", F.md5(F.encode("embedding_text", "UTF-8")).alias("digest"))
 
 
 def point_ids(spark, d):

@@ -70,6 +70,15 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, length, time) of the files at a path, which tell whether it has changed; empty if there is nothing."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return ()
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(target)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize wrote, once no later job reads it."""
     path = df.__dict__.get("written_to")

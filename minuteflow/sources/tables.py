@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minuteflow.session import materialize, table
+from minuteflow.session import listing, materialize, table
 
 
 def iso(c: str) -> F.Column:
@@ -33,24 +33,28 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Canonical item tables written in this application, by application and source folder.
-_STORED: dict[tuple[str, str], DataFrame] = {}
+ITEM_SOURCES = ("lineitem", "part", "supplier")
+#: Canonical item tables written in this application, by application and source folder, with the files they were made of.
+_STORED: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical item table: written once in an application, so that later reads prune columns and push filters down.
 
-    Numbering repeated lines shuffles and sorts them all; no filter passes that window.
+    Numbering repeated lines shuffles and sorts them all; no filter passes that window. The table is
+    written anew when a source's files have changed or its own are gone.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = materialize(numbered_items(spark, sf_dir))
-    return _STORED[key]
+    files = tuple(listing(spark, f"{sf_dir}/{name}.parquet") for name in ITEM_SOURCES)
+    known = _STORED.get(key)
+    if known is None or known[0] != files or not listing(spark, known[1].__dict__["written_to"]):
+        _STORED[key] = files, materialize(numbered_items(spark, sf_dir))
+    return _STORED[key][1]
 
 
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with part and supplier as meeting items."""
-    lines, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    lines, part, supplier = (table(spark, sf_dir, t) for t in ITEM_SOURCES)
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
     return (
         lines.withColumn("n", F.row_number().over(order))
