@@ -133,12 +133,12 @@ def similar_queries(left: Column, right: Column) -> Column:
 
 
 def slug(c: Column, size: int = 48) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), 1, size)
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", ""), 1, size)
 
 
 def case_id(question: Column, index: Column) -> Column:
     """seed_NNN_slug of a question."""
-    return F.concat(F.format_string("seed_%03d_", index), slug(question))
+    return F.concat(F.format_string("seed_%03d_", index), F.coalesce(F.nullif(slug(question), F.lit("")), F.lit("question")))
 
 
 def uuid5_url(name: Column) -> Column:

@@ -348,3 +348,17 @@ union all select 'ActionItem', count(distinct title) from titled union all selec
 union all select unnest(['HAS_ITEM', 'MENTIONS_PRODUCT', 'MENTIONS_REGULATION', 'HAS_ACTION', 'TRACKS_ISSUE']), count(*) from named union all select 'MENTIONS', 2 * count(*) from named
 union all select 'RESPONSIBLE_BY', count(*) from named where {owned()} union all select rel, count(*) from dates group by 1
 union all select 'CO_MENTIONED_WITH', count(distinct (product, regulation)) from named union all select 'ASSOCIATED_WITH', count(distinct (owner, product)) from named where {owned()}"""
+ORACLES["evaluated_cases"] = f"""{WITH}, own as (select meeting_id as id, meeting_id::bigint as k, meeting_name, array_agg(item_id order by item_id) as ids from items join meetings using (meeting_id) group by all),
+seen as (select *, list_filter(ids, lambda x, i: i % 2 = 1) as odd from own), texts as (select *, lower(meeting_name || ' ' || array_to_string(odd, ' ')) as said from seen),
+checks as (
+  select id, 1 as part, 1 as i, 1 as j, 'expected insufficient-context response' as f from texts where k % 11 = 0
+  union all select id, 2, i, 1, 'answer missing expected item_id: ' || x from (select *, unnest(ids[1:2]) as x, unnest(range(len(ids[1:2]))) as i from texts) where not contains(said, x)
+  union all select id, 2, i, 2, 'sources missing expected item_id: ' || x from (select *, unnest(ids[1:2]) as x, unnest(range(len(ids[1:2]))) as i from texts) where not list_contains(odd, x)
+  union all select id, 3, 1, 1, 'unexpected item_id present: ' || ids[3] from texts where len(ids) >= 3
+  union all select id, 4, 1, 1, 'answer missing expected meeting_id: ' || id from texts where not contains(said, id)
+  union all select id, 5, 1, 1, 'graph missing expected relation: HAS_ITEM' from texts where k % 3 = 0
+  union all select id, 7, 1, 1, 'answer contains forbidden text: 4-not' from texts where contains(said, '4-not')
+  union all select id, 8, 1, 1, 'uneven' from texts where k % 5 = 0 and k % 2 = 0),
+failed as (select id, string_agg(f, '|' order by part, i, j) as failures from checks group by id)
+select id, case when k % 7 = 0 then 'skipped' when k % 13 = 0 or failures is not null then 'failed' else 'passed' end as status, case when k % 7 = 0 then '' when k % 13 = 0 then 'no answer' else coalesce(failures, '') end as failures
+from texts left join failed using (id)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
+from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
 from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
@@ -509,6 +509,22 @@ def extracted_mentions(spark, d):
     return found.groupBy("owner_type", "field", "name", "type", "score", "method").agg(F.count("*").alias("n"))
 
 
+def evaluated_cases(spark, d):
+    """A case for each meeting: its first items are expected and its third is not; every other source and some paths are missing."""
+    own = I(spark, d).groupBy("meeting_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids")).join(M(spark, d).select("meeting_id", "meeting_name"), "meeting_id")
+    k, made = F.col("meeting_id").cast("bigint"), lambda *c: F.array(*[F.lit(x) for x in c])
+    cases = own.select(
+        F.col("meeting_id").alias("id"), (k % 7 != 0).alias("enabled"), F.slice("ids", 1, 2).alias("expected_item_ids"), F.slice("ids", 3, 1).alias("unexpected_item_ids"), F.array("meeting_id").alias("expected_meeting_ids"), made("HAS_ITEM").alias("expected_relations"),
+        made("REVIEW").alias("expected_answer_contains"), made("4-not").alias("expected_answer_not_contains"), (k % 2 == 0).alias("require_consistency"), (k % 11 == 0).alias("expect_insufficient"),
+    )
+    first = F.filter("ids", lambda x, i: i % 2 == 0)
+    answers = own.where(k % 13 != 0).select(
+        F.col("meeting_id").alias("id"), F.concat_ws(" ", "meeting_name", F.array_join(first, " ")).alias("answer"), F.transform(first, lambda x: F.struct(F.col("meeting_id"), x.alias("item_id"))).alias("sources"),
+        F.transform(F.slice("ids", 1, 2), lambda x: F.struct(F.col("meeting_id"), x.alias("item_id"), F.when(k % 3 == 0, "MENTIONS").otherwise("HAS_ITEM").alias("matched_relation"))).alias("paths"), F.when(k % 5 == 0, F.array(F.lit("uneven"))).alias("errors"),
+    )
+    return evaluation.judged(cases, answers).select("id", "status", F.array_join("failures", "|").alias("failures"))
+
+
 def answered_nothing(spark, d):
     return _ask(spark, d, "zzz qqq").answer
 
