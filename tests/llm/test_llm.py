@@ -60,7 +60,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "benchmark", "conversations"):
+    for table in ("documents", "pages", "benchmark", "conversations", "labels"):
         spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == (1 if name == "op8_chat_format" else 0)
 
