@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minuteflow.functions.status import with_status
-from minuteflow.functions.text import nullable, repair_cjk, squash, strip
+from minuteflow.functions.text import is_meaningful, nullable, repair_cjk, squash, strip
+from minuteflow.operators import layout
+from minuteflow.operators.layout import CELLS
 
 # Labels of the form, its title and the columns of its table.
 TITLE = "會議記錄單"
-FULL_WIDTH = "０１２３４５６７８９"
 LABELS = {
     "form_no": r"(Q-[A-Z0-9\/-]+)",
     "ref_no": r"Ref\s*:\s*([A-Z0-9-]+)",
@@ -24,12 +24,10 @@ LABELS = {
 ATTENDEES = r"(?s)出\s*席\s*人\s*員\s*:\s*(.+?)\s*項\s*次"
 DATE = r"時\s*間\s*:\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
 TIMES = r"(\d{1,2})\s*時\s*(\d{1,2})\s*分\s*~\s*(\d{1,2})\s*時\s*(\d{1,2})\s*分"
-BANDS = (80.0, 375.0, 430.0, 475.0, 525.0)
-LINE_TOLERANCE, ANCHOR_GAP = 3.0, 22.0
 
 
 def folded(c: Column) -> Column:
-    return F.translate(c, FULL_WIDTH + "：", "0123456789:")
+    return F.translate(c, layout.FULL_WIDTH + "：", "0123456789:")
 
 
 def needs_ocr() -> Column:
@@ -39,15 +37,19 @@ def needs_ocr() -> Column:
 
 
 def normalized_date(value: Column, meeting_date: Column) -> Column:
-    """A full date, a CJK date, or month and day with the meeting's year; any other text stays."""
+    """A date with year, or month and day with the meeting's year, wherever they stand; any other text stays, placeholders are null."""
 
-    def iso(pattern: str, year: Column | None = None) -> Column:
-        groups = [F.regexp_extract(value, pattern, g) for g in (1, 2, 3)]
-        y, m, d = (year, groups[0], groups[1]) if year is not None else groups
-        return F.when((groups[0] != "") & (y != ""), F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+    def of(text: Column) -> Column:
+        def iso(pattern: str, year: Column | None = None) -> Column:
+            groups = [F.regexp_extract(text, pattern, g) for g in ((1, 2) if year is not None else (1, 2, 3))]
+            y, m, d = (year, *groups) if year is not None else groups
+            return F.when((m != "") & (y != ""), F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
 
-    year = F.substring(F.coalesce(meeting_date, F.lit("")), 1, 4)
-    return F.coalesce(iso(r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\s*$"), iso(r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"), iso(r"^\s*(\d{1,2})[/.-](\d{1,2})\s*$", year), nullable(squash(value)))
+        year = F.substring(F.coalesce(meeting_date, F.lit("")), 1, 4)
+        found = F.coalesce(iso(r"(\d{4})\s*[/.-]\s*(\d{1,2})\s*[/.-]\s*(\d{1,2})"), iso(r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"), iso(r"(\d{1,2})\s*[/.-]\s*(\d{1,2})", year), text)
+        return F.when(is_meaningful(text), found)
+
+    return layout.let(repair_cjk(squash(value)), of)
 
 
 def attendees(text: Column) -> Column:
@@ -61,12 +63,12 @@ def attendees(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,，、;；\n]"), names)), lambda n: n != ""))
 
 
-def meetings(payloads: DataFrame) -> DataFrame:
-    """A meeting row for each payload; a missing label gives null."""
+def meetings(payloads: DataFrame, company: str | None = None) -> DataFrame:
+    """A meeting row for each payload; a missing label gives null. company is a pattern of the name that heads the form."""
     raw = folded(F.coalesce("raw_text", F.lit("")))
 
     def label(pattern: str) -> Column:
-        return nullable(repair_cjk(squash(F.regexp_extract(raw, f"(?s){pattern}", 1))))
+        return F.nullif(repair_cjk(squash(F.regexp_extract(raw, f"(?s){pattern}", 1))), F.lit(""))
 
     y, m, d = (F.regexp_extract(raw, DATE, g) for g in (1, 2, 3))
     t = [F.regexp_extract(raw, TIMES, g) for g in (1, 2, 3, 4)]
@@ -74,7 +76,8 @@ def meetings(payloads: DataFrame) -> DataFrame:
     return payloads.select(
         F.concat(F.lit("meeting_"), F.substring(F.sha1(F.encode("document_id", "UTF-8")), 1, 12)).alias("meeting_id"),
         "document_id",
-        F.when(raw.contains(TITLE), F.lit(TITLE)).alias("form_title"),
+        (label(f"({company})") if company else F.lit(None).cast("string")).alias("company_name"),
+        F.when(F.regexp_replace(raw, r"(?U)\s+", "").contains(TITLE), F.lit(TITLE)).alias("form_title"),
         *[label(p).alias(name) for name, p in LABELS.items()],
         F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).alias("meeting_date"),
         time(t[0], t[1]).alias("start_time"),
@@ -86,55 +89,32 @@ def meetings(payloads: DataFrame) -> DataFrame:
 
 
 def table_items(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Items from table rows whose first cell is a number and which hold some content."""
+    """Items from table rows whose first cell is a number and whose other cells say anything."""
     pages = payloads.select("document_id", F.explode("pages").alias("p"))
     rows = pages.select("document_id", F.col("p.page_number").alias("page_number"), F.explode("p.tables").alias("t")).select("document_id", "page_number", F.explode("t.rows").alias("cells"))
     cell = lambda k: F.get("cells", F.lit(k))
-    number = F.regexp_extract(folded(F.coalesce(cell(0), F.lit(""))), r"^\s*(\d+)\s*\.?\s*$", 1)
-    filled = F.exists(F.slice("cells", 2, len(CELLS)), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
-    return _items(rows.where((number != "") & (F.size("cells") > 1) & filled).select("document_id", "page_number", F.lpad(number, 2, "0").alias("item_no"), *[cell(k + 1).alias(c) for k, c in enumerate(CELLS)], F.lit("tables").alias("source")), parsed)
-
-
-CELLS = ("content", "owner", "planned_date", "actual_completed_date", "tracking_result")
+    # A number that lpad must not cut has more than two digits.
+    number = F.regexp_replace(F.regexp_extract(folded(strip(F.coalesce(cell(0), F.lit("")))), r"^(\d+)\.*$", 1), "^0+(?=.)", "")
+    raw = squash(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " "))
+    item_no = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
+    said = layout.filled([cell(k + 1) for k in range(len(CELLS))])
+    return _items(rows.where((number != "") & said).select("document_id", "page_number", item_no.alias("item_no"), *[cell(k + 1).alias(c) for k, c in enumerate(CELLS)], repair_cjk(raw).alias("raw_row_text"), F.lit("tables").alias("source")), parsed)
 
 
 def _items(rows: DataFrame, parsed: DataFrame) -> DataFrame:
     joined = rows.join(parsed.select("document_id", "meeting_id", "meeting_date"), "document_id")
-    clean = {c: nullable(repair_cjk(squash(F.col(c)))) for c in ("content", "owner", "tracking_result")}
+    clean = {c: nullable(repair_cjk(squash(F.col(c)))) for c in ("owner", "tracking_result")} | {"content": F.nullif(repair_cjk(squash(F.col("content"))), F.lit(""))}
     dates = {c: normalized_date(folded(F.col(c)), F.col("meeting_date")) for c in ("planned_date", "actual_completed_date")}
-    keyed = joined.withColumns(clean | dates | {"raw_row_text": squash(F.concat_ws(" ", "item_no", *CELLS))})
-    digest = F.substring(F.sha1(F.encode(F.concat_ws("|", "document_id", "item_no", "raw_row_text"), "UTF-8")), 1, 12)
+    keyed = joined.withColumns(clean | dates)
+    digest = F.substring(F.sha1(F.encode(F.concat_ws("|", "document_id", F.col("page_number").cast("string"), "item_no", "raw_row_text"), "UTF-8")), 1, 12)
     return with_status(keyed.withColumn("item_id", F.concat(F.lit("item_"), digest))).drop("meeting_date")
 
 
-def _layout(frame: pd.DataFrame) -> pd.DataFrame:
-    """The words of one document: row bands around the item numbers in the first column, cells by horizontal band."""
-    out, expected = [], 1
-    for page, words in frame.sort_values(["page_number", "y0", "x0"]).groupby("page_number"):
-        anchors = []
-        for w in words[words.x0 < BANDS[0]].itertuples():
-            text = w.text.strip().rstrip(".")
-            if text.isdigit() and int(text) == expected and (not anchors or w.y0 - anchors[-1][1] >= ANCHOR_GAP):
-                anchors.append((expected, w.y0))
-                expected += 1
-        tops = [y for _, y in anchors]
-        for k, (number, y) in enumerate(anchors):
-            low = (tops[k - 1] + y) / 2 if k else y - LINE_TOLERANCE
-            high = (y + tops[k + 1]) / 2 if k + 1 < len(tops) else float("inf")
-            band = words[(words.y0 >= low) & (words.y0 < high) & (words.x0 >= BANDS[0])]
-            cells = ["", "", "", "", ""]
-            for w in band.assign(line=(band.y0 / LINE_TOLERANCE).round()).sort_values(["line", "x0"]).itertuples():
-                column = sum(w.x0 >= x for x in BANDS[1:])
-                cells[column] += (" " if cells[column] else "") + w.text
-            out.append((frame.document_id.iloc[0], int(page), f"{number:02d}", *cells))
-    return pd.DataFrame(out, columns=["document_id", "page_number", "item_no", *CELLS])
-
-
 def word_items(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Items from word boxes; the words of one document are one group, bounded by the upload limit."""
-    words = payloads.select("document_id", F.explode("pages").alias("p")).select("document_id", F.col("p.page_number").alias("page_number"), F.explode("p.words").alias("w")).select("document_id", "page_number", "w.x0", "w.y0", "w.text")
-    rows = words.groupBy("document_id").applyInPandas(_layout, "document_id string, page_number int, item_no string, " + ", ".join(f"{c} string" for c in CELLS))
-    return _items(rows.withColumn("source", F.lit("words")), parsed)
+    """Items from word boxes (layout), each payload by itself."""
+    rows = payloads.select("document_id", F.explode(layout.document_rows(F.col("pages"))).alias("r"))
+    cells = [F.get("r.cells", F.lit(k)).alias(c) for k, c in enumerate(CELLS)]
+    return _items(rows.select("document_id", "r.page_number", F.lpad(F.col("r.number").cast("string"), 2, "0").alias("item_no"), *cells, "r.raw_row_text", F.lit("words").alias("source")), parsed)
 
 
 def items(payloads: DataFrame, parsed: DataFrame) -> DataFrame:

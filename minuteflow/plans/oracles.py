@@ -131,6 +131,13 @@ where meeting_date between '1999-01-01' and '2000-06-30' and responsible_unit =
     "meeting_feedback": f"with {CLICKS_SQL}, c as (select *, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) as q from clicks) select meeting_id, count(*) as all_clicks, sum((q in ('red ring', 'red ring check'))::int)::bigint as similar_clicks from c group by 1",
     "search_stats": f"""{WITH}, {CLICKS_SQL}, {SEARCHES_SQL}, v as (select 'query' as kind, query as value from searches where trim(query) <> '' union all select 'meeting', meeting_id from clicks union all select 'item', item_id from clicks union all select 'owner', owner from items where {owned()}),
 c as (select kind, value, count(*) as count from v group by all) select kind, value, count from c qualify row_number() over (partition by kind order by count desc, value) <= 10""",
+    "parsed_forms": f"""{WITH}, {STATUSES}, k as (select *, row_number() over (partition by meeting_id order by item_no, item_id) - 1 as k from items)
+select k.meeting_id as document_id, (2 + k.k // 3)::int as page_number, lpad((k.k + 1 + k.meeting_id::bigint % 5)::varchar, 2, '0') as item_no, trim(regexp_replace(k.content, '\\s+', ' ', 'g')) as content,
+  nullif(k.owner, '--') as owner, nullif(k.planned_date, '- -') as planned_date, nullif(k.actual_completed_date, '--') as actual_completed_date, case k.tracking_result when 'in  progress' then 'in progress' when '—' then null else k.tracking_result end as tracking_result, case when k.tracking_result = '—' and status = 'not_applicable' then 'pending' else status end as status
+from k join statuses using (item_id)""",
+    "parsed_form_heads": f"""{WITH}, h as (select meeting_id, meeting_name, meeting_date, responsible_unit, attendees, '會議記錄單時間:' || strftime(meeting_date::date, '%Y年%m月%d日') || '會議名稱:' || meeting_name || '權責單位:' || responsible_unit || '出席人員:' || array_to_string(attendees, '、') || '項次' as raw
+  from meetings m where exists (select 1 from items i where i.meeting_id = m.meeting_id))
+select meeting_id as document_id, meeting_name, meeting_date, responsible_unit, array_to_string(attendees, '|') as attendees, case when length(regexp_replace(raw, '\\s+', '', 'g')) < 80 then 'needs_ocr' else 'parsed' end as status from h""",
     "recent_searches": f"with {SEARCHES_SQL} select search_id, query from searches order by created_at desc, search_id limit 10",
     "related_meetings": RELATED_MEETINGS,
     "list_meetings": f"{WITH} select meeting_id, meeting_name, meeting_date from meetings where meeting_date >= '2000-01-01' and len(list_filter(attendees, lambda a: regexp_matches(lower(a), 'guest#3'))) > 0",

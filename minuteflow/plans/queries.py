@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, recommend, search, stats, vector_index, vectors
+from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, parse, recommend, search, stats, vector_index, vectors
 from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
@@ -579,3 +579,37 @@ def status_repair(spark, d):
 def duplicate_lines(spark, d):
     lines = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
     return maintenance.uniqueness_problems(lines, "key")
+
+
+FORM_ROWS, FORM_WORDS = 3, 8
+
+
+def _printed_forms(m, i):
+    """Items as printed forms: numbers from 1 to 5 on, FORM_ROWS rows a page with a header, FORM_WORDS words a line; a page without header and stray numbers between the rows mean nothing."""
+    row = F.row_number().over(Window.partitionBy("meeting_id").orderBy("item_no", "item_id")) - 1
+    placed = i.withColumn("k", row).withColumns({"number": F.expr("k + 1 + cast(meeting_id as bigint) % 5"), "y": F.expr(f"100D + 60 * (k % {FORM_ROWS})"), "page": F.expr(f"cast(2 + k div {FORM_ROWS} as int)")})
+    word = lambda x, y, text: F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 5).cast("double").alias("x1"), (y + 8).cast("double").alias("y1"), text.cast("string").alias("text"))
+    at = lambda x: F.lit(x)
+    content = F.transform(F.split("content", " "), lambda w, n: word(90 + 30 * (n % FORM_WORDS), F.col("y") + 10 * F.floor(n / FORM_WORDS), w))
+    cells = F.array(
+        word(at(40.0), F.col("y"), F.concat(F.col("number").cast("string"), F.when(F.col("number") % 2 == 0, ".").otherwise(""))), word(at(40.0), F.col("y") + 30, F.lit("99")),
+        word(at(380.0), F.col("y"), F.coalesce("owner", F.lit(""))), word(at(430.0), F.col("y"), F.coalesce("planned_date", F.lit(""))), word(at(476.0), F.col("y"), F.coalesce("actual_completed_date", F.lit(""))), word(at(530.0), F.col("y"), F.coalesce("tracking_result", F.lit(""))),
+    )
+    header = F.array(word(at(40.0), at(60.0), F.lit("項 次")), word(at(380.0), at(60.0), F.lit("負責人")))
+    each = placed.groupBy("meeting_id", "page").agg(F.flatten(F.collect_list(F.concat(cells, content))).alias("words"))
+    printed = lambda number, words: F.struct(number.alias("page_number"), F.lit("").alias("text"), words.alias("words"), F.array().cast("array<struct<bbox:array<double>,rows:array<array<string>>>>").alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    pages = each.groupBy("meeting_id").agg(F.array_sort(F.collect_list(printed(F.col("page"), F.concat(header, "words")))).alias("filled"))
+    cover = printed(F.lit(1), F.array(word(at(40.0), at(100.0), F.lit("1")), word(at(90.0), at(100.0), F.lit("cover"))))
+    raw = F.concat(F.lit("會議記錄單 時間: "), F.regexp_replace("meeting_date", "^(\\d+)-(\\d+)-(\\d+)$", "$1年$2月$3日"), F.lit(" 會議名稱: "), "meeting_name", F.lit(" 權責單位: "), "responsible_unit", F.lit(" 出席人員: "), F.array_join("attendees", "、"), F.lit(" 項次"))
+    return m.join(pages, "meeting_id").select(F.col("meeting_id").alias("document_id"), F.lit(2).alias("page_count"), F.lit(99).alias("word_count"), raw.alias("raw_text"), F.concat(F.array(cover), "filled").alias("pages"))
+
+
+def parsed_forms(spark, d):
+    payloads = materialize(_printed_forms(M(spark, d), I(spark, d)))
+    rows = parse.items(payloads, parse.meetings(payloads))
+    return rows.select("document_id", "page_number", "item_no", "content", "owner", "planned_date", "actual_completed_date", "tracking_result", "status")
+
+
+def parsed_form_heads(spark, d):
+    heads = parse.meetings(_printed_forms(M(spark, d), I(spark, d)))
+    return heads.select("document_id", "meeting_name", "meeting_date", "responsible_unit", F.array_join("attendees", "|").alias("attendees"), "status")

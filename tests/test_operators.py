@@ -119,7 +119,7 @@ def test_golden_cases(spark):
 
 
 def payload(document_id, tables=(), words=(), raw=""):
-    page = {"page_number": 1, "text": raw, "words": [dict(zip(("x0", "y0", "x1", "y1", "text"), w)) for w in words], "tables": [{"bbox": [], "rows": list(t)} for t in tables], "width": 1.0, "height": 1.0}
+    page = {"page_number": 1, "text": raw, "words": [dict(zip(("x0", "y0", "x1", "y1", "text"), w)) for w in words], "tables": [{"bbox": [], "rows": list(t)} for t in tables], "width": 600.0, "height": 800.0}
     return {"document_id": document_id, "page_count": 1, "word_count": len(words), "raw_text": raw, "pages": [page]}
 
 
@@ -127,8 +127,8 @@ RAW = "會議記錄單 時間: 2018年4月3日 9時30分~10時5分 地點: Room
 
 
 def test_parse(spark):
-    words = [(40, 100, 0, 0, "1."), (90, 100, 0, 0, "Check"), (130, 100, 0, 0, "label"), (380, 100, 0, 0, "Ann"), (40, 150, 0, 0, "2."), (90, 151, 0, 0, "Test"), (431, 150, 0, 0, "4/20")]
-    frame = spark.createDataFrame([payload("d1", tables=[[["1", "Check label", "Carol", "４/20", "--", "pending"], ["x", "head", "", "", "", ""]]], raw=RAW), payload("d2", words=[(float(a), float(b), 0.0, 0.0, t) for a, b, _, _, t in words], raw=RAW), payload("d3")], PAGES)
+    words = [(40, 60, 0, 70, "項 次"), (380, 60, 0, 72, "負責人"), (40, 100, 0, 0, "1."), (90, 100, 0, 0, "Check"), (130, 100, 0, 0, "label"), (380, 100, 0, 0, "Ann"), (40, 150, 0, 0, "2."), (90, 151, 0, 0, "Test"), (431, 150, 0, 0, "4/20")]
+    frame = spark.createDataFrame([payload("d1", tables=[[["1", "Check label", "Carol", "４/20", "--", "pending"], ["x", "head", "", "", "", ""]]], raw=RAW), payload("d2", words=[(float(a), float(b), 0.0, float(d), t) for a, b, _, d, t in words], raw=RAW), payload("d3")], PAGES)
     meetings = parse.meetings(frame)
     one = meetings.where("document_id = 'd1'").first()
     assert (one["meeting_date"], one["start_time"], one["end_time"], one["meeting_name"], one["attendees"], one["status"]) == ("2018-04-03", "09:30", "10:05", "FDA 審查", ["Carol", "王明"], "needs_ocr")
