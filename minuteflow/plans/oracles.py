@@ -147,6 +147,11 @@ select meeting_id as document_id, meeting_name, meeting_date, responsible_unit,
     "soft_delete": f"{WITH} select case when meeting_id = '7' then 'deleted' else status end as status, meeting_id = '7' or meeting_id::int % 9 = 0 as is_deleted, count(*) as n from meetings group by all",
     "cooccurrence": f'{WITH}, {CO} select "left", "right", count, weight from co',
     "graph_edges": EDGE_COUNTS,
+    "reread_graph": f"""{WITH}, n as (select *, meeting_id::bigint as k from meetings), i as (select items.*, k from items join n using (meeting_id) where not (k % 7 = 0 or k % 11 = 0) or (k % 11 <> 0 and item_no = '01')),
+e as (select 'HAS_ITEM' as relation, meeting_id from i union all select 'BELONGS_TO_UNIT', meeting_id from n where k % 11 <> 0 union all select 'HAS_PLANNED_DATE', meeting_id from i where {meaningful('planned_date')}
+  union all select 'RESPONSIBLE_BY', meeting_id from i where {owned()} union all select 'MENTIONS_PRODUCT', meeting_id from i where product like '% %'
+  union all select 'CO_OCCURS_WITH', null from (select distinct product, regulation from items) cross join (values (1), (2)))
+select relation, count(*) as edges, count(distinct meeting_id) as meetings from e group by 1""",
     "issues": f"{WITH}, {ISSUES} select item_id, issue_id, title, signature from issues",
     "follow_up_chain": f"{WITH}, {ISSUES} select item_id, previous_item_id from chain where previous_item_id is not null",
     "related_keywords": f"""{WITH}, {CO}, b as (select "right" as keyword, weight, count from co where upper("left") = 'RED RING' union all select "left", weight, count from co where upper("right") = 'RED RING')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_view, highlight, listing, maintenance, planning, privacy, parse, recommend, search, stats, vector_index, vectors
+from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_store, graph_view, highlight, listing, maintenance, planning, privacy, parse, recommend, search, stats, vector_index, vectors
 from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
@@ -613,3 +613,24 @@ def parsed_forms(spark, d):
 def parsed_form_heads(spark, d):
     heads = parse.meetings(_printed_forms(M(spark, d), I(spark, d)))
     return heads.select("document_id", "meeting_name", "meeting_date", "responsible_unit", F.array_join("attendees", "|").alias("attendees"), "status")
+
+
+STORED_RELATIONS = ("HAS_ITEM", "BELONGS_TO_UNIT", "HAS_PLANNED_DATE", "RESPONSIBLE_BY", "MENTIONS_PRODUCT", "CO_OCCURS_WITH")
+
+
+def _read_again(meetings):
+    """Every seventh meeting: its first items are all that is left; every eleventh is gone."""
+    number = F.col("meeting_id").cast("bigint")
+    return meetings.where((number % 7 == 0) | (number % 11 == 0)), number % 11 == 0
+
+
+def reread_graph(spark, d):
+    """The graph in a stored table after some meetings were read again and some were deleted."""
+    m, i, path = M(spark, d), I(spark, d), fresh_path(spark)
+    graph_store.write_graph(graph_store.owned(edges(spark, d, *STORED_RELATIONS), i), path, 16)
+    changed, gone = _read_again(m)
+    left, first = changed.where(~gone), i.where("item_no = '01'")
+    items_left = first.join(left.select("meeting_id"), "meeting_id", "left_semi").select(*i.columns)
+    fresh = graph_build.build_edges(left, items_left, _mentions_of(left, items_left), tuple(r for r in STORED_RELATIONS if r != "CO_OCCURS_WITH"))
+    graph_store.replace_meetings(spark, path, changed, graph_store.owned(fresh, items_left), 16)
+    return graph_store.read_graph(spark, path).groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("meeting_id").alias("meetings"))
