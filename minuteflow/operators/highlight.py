@@ -36,6 +36,11 @@ def snippet(text: Column, terms: list[str]) -> Column:
     return F.coalesce(*[around(t) for t in terms if t]) if any(terms) else F.lit(None).cast("string")
 
 
+def holds_term(text: Column, term: str) -> Column:
+    """Whether a text holds a term; a blank term or a null text doesn't."""
+    return F.coalesce(F.regexp_like(text, F.lit(_pattern(term))), F.lit(False)) if (term or "").strip() else F.lit(False)
+
+
 def snippets(rows: DataFrame, key: str, fields: tuple[str, ...], query: str, more: tuple[str, ...] = ()) -> DataFrame:
     """(key, snippets): up to 8 distinct (field, snippet) of each row, direct hits first, then by field."""
     terms = [query, *more]

@@ -120,6 +120,13 @@ def pseudo(kind: str, value: str) -> str:
 ORACLES = {
     "ranked_search": RANKED,
     "ranked_search_page": RANKED + " order by meeting_date desc, final_score desc, meeting_id desc limit 10 offset 10",
+    "answered_search": RANKED.removesuffix("select * from ranked").rstrip() + f""", {STATUSES},
+p as (select * from ranked order by meeting_date desc, final_score desc, meeting_id desc limit 10 offset 10),
+listed as (select si.meeting_id, string_agg(si.item_id || '/' || s.status, '|' order by si.kw + si.st + si.fb desc, si.item_no, si.item_id) as items from si join statuses s using (item_id) where kw > 0 group by 1),
+marks as (select meeting_id, regexp_replace(content, '(red ring)', '<mark>\\1</mark>', 'i') as mark, min(row(item_no, item_id)) as place from si where {term('content', 'red ring')} group by all),
+marked as (select meeting_id, string_agg('content=' || mark, '|' order by place) as snippets from (select * from marks qualify row_number() over (partition by meeting_id order by place) <= 8) group by 1)
+select p.meeting_id, document_id, final_score, coalesce(snippets, '') as snippets, coalesce(items, '') as items, (select count(*) from ranked) as result_count
+from p join meetings m using (meeting_id) left join listed using (meeting_id) left join marked using (meeting_id)""",
     "ranked_search_keyword_order": RANKED + " order by keyword_score desc, final_score desc, meeting_date, meeting_id limit 20",
     "ranked_search_filtered": f"""{WITH}, f as (select *, {fields(ITEM_W, 'blue bolt')} as kw, {TASK} as task from items where {owned()} and not {meaningful('actual_completed_date')}),
 pm as (select meeting_id, sum(kw) as kw, sum(case when {term('content', 'blue bolt')} then 4.0 else 0 end)::double as st, sum(task) as task, count(*) as n from f group by 1)

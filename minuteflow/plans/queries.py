@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, scoring, text, status
 from minuteflow.functions.routing import route
-from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_store, graph_view, highlight, listing, maintenance, planning, privacy, parse, recommend, search, stats, vector_index, vectors
+from minuteflow.operators import answers, asking, evaluation, evidence, feedback, graph_build, graph_query, graph_store, graph_view, highlight, listing, maintenance, planning, privacy, parse, recommend, search, search_page, stats, vector_index, vectors
 from minuteflow.session import fresh_path, materialize, table
 from minuteflow.sources import tables
 
@@ -634,3 +634,14 @@ def reread_graph(spark, d):
     fresh = graph_build.build_edges(left, items_left, _mentions_of(left, items_left), tuple(r for r in STORED_RELATIONS if r != "CO_OCCURS_WITH"))
     graph_store.replace_meetings(spark, path, changed, graph_store.owned(fresh, items_left), 16)
     return graph_store.read_graph(spark, path).groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("meeting_id").alias("meetings"))
+
+
+def answered_search(spark, d):
+    """The second page of a search with its total, snippets and items, and the log's count."""
+    store = fresh_path(spark)
+    found = search_page.search_and_log(M(spark, d), I(spark, d), QUERY, AS_OF, store, "s1", "2001-08-01 10:00:00", sort="date_desc", number=2, clicks=tables.clicks(spark, d))
+    logged = search_page.search_logs(spark, store).select("result_count")
+    return found.rows.crossJoin(F.broadcast(logged)).select(
+        "meeting_id", "document_id", "final_score", F.array_join(F.transform("snippets", lambda s: F.concat(s["field"], F.lit("="), s["snippet"])), "|").alias("snippets"),
+        F.array_join(F.transform("items", lambda i: F.concat_ws("/", i["item_id"], i["state"]["status"])), "|").alias("items"), "result_count",
+    )
