@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 
 
+def ignoring_case(rows: DataFrame, pattern: str) -> str:
+    """The pattern without regard to case; one that doesn't compile is an error here rather than in every task."""
+    whole = f"(?i){pattern}"
+    try:
+        rows.sparkSession._jvm.java.util.regex.Pattern.compile(whole)
+    except IllegalArgumentException as broken:
+        raise ValueError(f"no pattern: {pattern}") from broken
+    return whole
+
+
 def list_documents(documents: DataFrame, keyword: str | None = None, doc_type: str | None = None, status: str | None = None) -> DataFrame:
     """Documents that aren't deleted, newest first; keyword is a case-insensitive pattern on the file name."""
     found = documents.where(~F.coalesce("is_deleted", F.lit(False)))
     if keyword:
-        found = found.where(F.col("original_filename").rlike(f"(?i){keyword}"))
+        found = found.where(F.col("original_filename").rlike(ignoring_case(documents, keyword)))
     if doc_type:
         found = found.where(F.col("doc_type") == doc_type)
     if status:
@@ -28,13 +39,13 @@ def list_meetings(meetings: DataFrame, keyword: str | None = None, name: str | N
     """Newest first; here a meeting without a date fails date bounds."""
     found = meetings
     if keyword:
-        pattern = f"(?i){keyword}"
+        pattern = ignoring_case(meetings, keyword)
         tests = F.col("meeting_name").rlike(pattern) | F.exists("attendees", lambda a: a.rlike(pattern))
         if "raw_text" in meetings.columns:
             tests = tests | F.coalesce(F.col("raw_text").rlike(pattern), F.lit(False))
         found = found.where(tests)
     if name:
-        found = found.where(F.col("meeting_name").rlike(f"(?i){name}"))
+        found = found.where(F.col("meeting_name").rlike(ignoring_case(meetings, name)))
     if unit:
         found = found.where(F.col("responsible_unit") == unit)
     if date_from:
@@ -50,10 +61,10 @@ def list_items(items: DataFrame, keyword: str | None = None, owner: str | None =
         fields = [c for c in ("content", "tracking_result", "raw_row_text") if c in items.columns]
         test = F.lit(False)
         for c in fields:
-            test = test | F.coalesce(F.col(c).rlike(f"(?i){keyword}"), F.lit(False))
+            test = test | F.coalesce(F.col(c).rlike(ignoring_case(items, keyword)), F.lit(False))
         found = found.where(test)
     if owner:
-        found = found.where(F.col("owner").rlike(f"(?i){owner}"))
+        found = found.where(F.col("owner").rlike(ignoring_case(items, owner)))
     if planned_date:
         found = found.where(F.col("planned_date") == planned_date)
     if meeting_id:

@@ -242,3 +242,15 @@ def test_blank_question(spark):
     empty = spark.createDataFrame([], "meeting_id string")
     with pytest.raises(ValueError):
         asking.ask("  ", empty, empty, empty, empty, empty)
+
+
+def test_broken_patterns_fail_on_the_driver(spark):
+    documents = spark.createDataFrame([("d", "A(b.pdf", "minutes", "parsed", 1, False)], "document_id string, original_filename string, doc_type string, status string, page_count int, is_deleted boolean").withColumn("created_at", F.lit(None).cast("timestamp"))
+    meetings = spark.createDataFrame([("m", "Red", ["Ann"], "2001-01-01", "u")], "meeting_id string, meeting_name string, attendees array<string>, meeting_date string, responsible_unit string")
+    with pytest.raises(ValueError, match="no pattern"):
+        listing.list_documents(documents, keyword="A(b")
+    with pytest.raises(ValueError, match="no pattern"):
+        listing.list_meetings(meetings, keyword="[")
+    with pytest.raises(ValueError, match="no pattern"):
+        listing.list_meetings(meetings, name="*")
+    assert listing.list_documents(documents, keyword=r"a\(b").count() == 1
