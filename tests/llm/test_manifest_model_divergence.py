@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,18 @@ def test_divergence_does_not_depend_on_flushes_and_chunks(sources, monkeypatch):
     assert want == sorted(divergence_by_hand(sources.collect(), top=2))
 
 
+def test_terms_are_counted_from_the_texts_bytes(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en", "en"], "source": ["s", "s", "t"], "text": ["Ein ein Été", "ein", ""]})
+    for flush in (1, 100):
+        monkeypatch.setattr(op13_divergence, "FLUSH", flush)
+        found = Counter()
+        for part in op13_divergence._counted(iter([batch])):
+            for row in part.to_pylist():
+                found[row["lang"], row["source"], row["term"], "docs"] += row["docs"]
+                found[row["lang"], row["source"], row["term"], "n"] += row["n"]
+        assert found == {("en", "s", "ein", "docs"): 2, ("en", "s", "ein", "n"): 3, ("en", "s", "Été", "docs"): 1, ("en", "s", "Été", "n"): 1}
+
+
 def test_shares_are_exact_for_large_counts(spark):
     cases = [(0, 1), (7, 10), (10**15, 10**15 + 12345), (9 * 10**15 - 2, 9 * 10**15 - 1), (123_456_789_012_345, 8_999_999_999_999_999)]
     got = spark.createDataFrame(cases, "c bigint, t bigint").select("c", "t", F.expr(op13_divergence.share_sql("c", "t")).alias("p")).collect()
