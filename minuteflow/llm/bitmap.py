@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 #: Bits of a bitmap for each value, and the most it may have: 32 MB.
 BITS_A_VALUE, MAX_BITS = 16, 1 << 28
+#: Words that tasks pack into one row, so that the driver gets bytes and no row for each word.
+BLOCK = 1 << 13
+
+
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The words of one block as bytes."""
+    block = np.zeros(BLOCK, dtype=np.int64)
+    block[frame["word"].to_numpy() % BLOCK] = frame["bits"].to_numpy()
+    return pd.DataFrame({"block": [int(frame["word"].iloc[0]) // BLOCK], "words": [block.tobytes()]})
 
 
 def bitmap(values: DataFrame, n: int) -> np.ndarray:
@@ -18,9 +27,11 @@ def bitmap(values: DataFrame, n: int) -> np.ndarray:
     """
     bits = min(MAX_BITS, max(64, 1 << (BITS_A_VALUE * n - 1).bit_length()))
     word = F.shiftright("v", 6).bitwiseAND(F.lit(bits // 64 - 1))
-    words = values.select(word.cast("int").alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    words = values.select(word.cast("int").alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(max(BLOCK, bits // 64), dtype=np.uint64)
+    for row in words.groupBy(F.floor(F.col("word") / BLOCK)).applyInPandas(_packed, "block int, words binary").collect():
+        out[row["block"] * BLOCK :][:BLOCK] = np.frombuffer(row["words"], dtype=np.uint64)
+    out = out[: bits // 64]
     return out
 
 

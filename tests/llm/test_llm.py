@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from minuteflow.llm import bwt, op1_html, op2_simhash, op3_pii, op4_licenses, op5_quality, op6_urls, op7_suffix_dedup, op8_chat, op9_decontaminate, op10_mix, pipeline
+from minuteflow.llm import bitmap as bitmaps
 from minuteflow.llm.components import connected_components
 from minuteflow.llm.queries import ORACLES, QUERIES
 
@@ -735,3 +736,15 @@ def test_pipeline(spark, tmp_path):
     assert set(range(12)) <= set(out) and not gone & set(out) and 17 in out
     assert out[17]["text"].endswith("[EMAIL]")
     assert sorted(r["position"] for r in out.values()) == list(range(len(out)))
+
+
+def test_bitmap_comes_to_the_driver_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bitmaps, "BLOCK", 4)
+    hashes = [r["v"] for r in spark.range(40).select(F.xxhash64("id").alias("v")).collect()]
+    words = bitmaps.bitmap(spark.range(40).select(F.xxhash64("id").alias("v")), 40)
+    want = np.zeros(len(words), dtype=np.uint64)
+    for v in hashes:
+        want[(v % 2**64 >> 6) % len(words)] |= np.uint64(1 << (v & 63))
+    assert len(words) == 16 and (words == want).all()
+    one = bitmaps.bitmap(spark.range(1).select(F.lit(77).cast("bigint").alias("v")), 1)
+    assert one.tolist() == [1 << 13]
