@@ -562,6 +562,21 @@ def test_chat_template_that_rewrites_far_back(spark, back, turns, seen):
     assert (op8_chat.format_digests(frame, template, lambda piece: [("x", "")], lambda text: text).first()["n_rewrites"] > 0) is seen
 
 
+def test_chat_exact_way_looks_back_over_all_turns(spark):
+    def numbered(messages):
+        return "".join(f"<{k}:{t}>" for k, (_, t) in enumerate(messages))
+
+    def rewriting(messages):
+        return "".join(f"<{t if k + 100 >= len(messages) else '...'}>" for k, (_, t) in enumerate(messages))
+
+    turns = [("user", f"text {k}") for k in range(128)]
+    frame = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    chat = (lambda piece: [("x", "")], lambda text: text)
+    assert op8_chat.format_digests(frame, numbered, *chat, exact=True).first()["formatted_chars"] == len(numbered(turns))
+    assert op8_chat.format_digests(frame, rewriting, *chat, exact=True).first()["n_rewrites"] == 28
+    assert op8_chat.format_digests(frame, exact=True).collect() == op8_chat.format_digests(frame).collect()
+
+
 def test_chat_ids_are_exact_beside_a_null(spark, tmp_path):
     turns = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d"), (2**63 - 1, 0, "user", "e")]
     path = saved(spark, tmp_path, spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations")
