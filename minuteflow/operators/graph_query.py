@@ -169,12 +169,12 @@ def titles(sem: DataFrame) -> DataFrame:
     return sem.select("item_id", F.substring("text", 1, 96).alias("title"), F.col("issue.title").alias("issue_title"), F.col("issue.signature").alias("issue_signature"))
 
 
-def composite(edges: DataFrame, meetings: DataFrame, sem: DataFrame, target: str, constraints: dict[str, str], limit: int = 50) -> DataFrame:
+def composite(edges: DataFrame, meetings: DataFrame, sem: DataFrame, target: str, constraints: dict[str, str], limit: int | None = 50) -> DataFrame:
     """Items with a node of the target kind under all given constraints (CONSTRAINTS), and the columns of results.
 
     Each constraint is a semi-join that is built only when it is given. meeting_items, and
-    action_items without any constraint, give no rows; an unknown target means action_items. sem:
-    items with status fields and semantics.
+    action_items without any constraint, give no rows; an unknown target means action_items. A limit
+    of None gives all rows. sem: items with status fields and semantics.
     """
     wanted = given(constraints)
     relation = TARGETS.get(target, "HAS_ACTION")
@@ -199,7 +199,8 @@ def composite(edges: DataFrame, meetings: DataFrame, sem: DataFrame, target: str
         "meeting_id", "meeting_name", "meeting_date", "item_id", "item_no", "content", entity.alias("matched_entity"), "matched_node_id", F.lit(relation).alias("matched_relation"), F.lit(target).alias("matched_field"),
         F.lit(RELATION_SCORES.get(relation, OTHER_RELATION)).alias("graph_score"), "status", F.col("status_source").alias("semantic_status_source"), F.col("status_confidence").alias("semantic_status_confidence"),
     )
-    return newest_first(out, "matched_node_id").limit(limit)
+    rows = newest_first(out, "matched_node_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def composite_evidence(rows: DataFrame, edges: DataFrame, meetings: DataFrame, constraints: dict[str, str]) -> DataFrame:

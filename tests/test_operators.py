@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteflow.functions import extract, routing, status, text
-from minuteflow.operators import answers, asking, evidence, graph_build, graph_query, listing, parse, privacy, vectors
+from minuteflow.operators import answers, asking, evidence, graph_build, graph_query, listing, maintenance, parse, privacy, recommend, vectors
 from minuteflow.schemas import PAGES
 from minuteflow.sources import files
 
@@ -254,3 +254,9 @@ def test_broken_patterns_fail_on_the_driver(spark):
     with pytest.raises(ValueError, match="no pattern"):
         listing.list_meetings(meetings, name="*")
     assert listing.list_documents(documents, keyword=r"a\(b").count() == 1
+
+
+def test_composite_search_has_all_rows(spark):
+    from minuteflow.plans import queries
+
+    assert "Limit" not in queries.composite_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
