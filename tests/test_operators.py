@@ -256,6 +256,21 @@ def test_broken_patterns_fail_on_the_driver(spark):
     assert listing.list_documents(documents, keyword=r"a\(b").count() == 1
 
 
+def test_white_space_is_trimmed_and_dropped_as_by_patterns(spark):
+    rows = spark.range(1, 0xD800).select(F.char(F.col("id") % 256).alias("_"), F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8").alias("c"))
+    padded = rows.select("c", F.concat("c", F.lit("x y"), "c").alias("v"))
+    wrong = padded.where((text.strip(F.col("v")) != F.regexp_replace("v", r"(?U)^\s+|\s+$", "")) | (text.normalize_placeholder(F.col("v")) != F.regexp_replace(F.translate(F.lower("v"), text.DASHES, "---"), r"(?U)\s+", "")))
+    assert wrong.collect() == []
+    assert padded.where(text.strip(F.col("v")) == "x y").count() == len(text.WHITE_SPACE)
+
+
+def test_a_status_is_worked_out_once(spark):
+    stored = spark.createDataFrame([("1", None, "Closed", "pending", "", "low", "--")], "item_id string, actual_completed_date string, tracking_result string, status string, status_source string, status_confidence string, planned_date string")
+    repaired = maintenance.repair_statuses(stored)
+    assert repaired._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4
+    assert [(r.status, r.planned_date) for r in repaired.collect()] == [("completed", None)]
+
+
 def test_composite_search_has_all_rows(spark):
     from minuteflow.plans import queries
 
