@@ -271,6 +271,16 @@ def test_a_status_is_worked_out_once(spark):
     assert [(r.status, r.planned_date) for r in repaired.collect()] == [("completed", None)]
 
 
+def test_words_of_all_rows_are_no_join_key(spark):
+    meetings = spark.createDataFrame([(str(k), f"review {k % 3}", "2001-01-01", "u", ["A", " ", None]) for k in range(6)] + [("9", None, None, None, None)], "meeting_id string, meeting_name string, meeting_date string, responsible_unit string, attendees array<string>")
+    items = spark.createDataFrame([(f"{k}-{n}", str(k), "01", f"check the {k % 2} pump", "O", None, "2001-02-01") for k in range(6) for n in range(2)], "item_id string, meeting_id string, item_no string, content string, owner string, tracking_result string, planned_date string")
+    for found in (recommend.related_meetings(meetings, items, "0"), recommend.related_items(meetings, items, "0-0")):
+        assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.meeting_id: (r.score, r.shared_attendees, r.shared_owners, r.shared_keywords) for r in recommend.related_meetings(meetings, items, "0").collect()}
+    assert got == {"1": (15, 1, 1, 4), "2": (15, 1, 1, 5), "3": (15, 1, 1, 5), "4": (15, 1, 1, 5), "5": (15, 1, 1, 4)}
+    assert {r.item_id: r.score for r in recommend.related_items(meetings, items, "0-0", 20).collect()} == {f"{k}-{n}": 15 for k in range(6) for n in range(2) if (k, n) != (0, 0)}
+
+
 def test_composite_search_has_all_rows(spark):
     from minuteflow.plans import queries
 
