@@ -31,6 +31,8 @@ from minuteflow.session import delete, materialize
 
 #: Rows of a block, vectors that the centroids are fitted on, and cells at most.
 BLOCK, SAMPLE, MAX_CELLS = 1024, 50_000, 4096
+#: Vectors whose distances to all cells a task holds at once.
+NEAR = 256
 #: Vectors that the probes are measured on, the share of the best TOP that they should find, and candidates for each result that are scored exactly.
 ASKED, TOP, RECALL, REFINE = 200, 10, 0.95, 8
 
@@ -113,13 +115,16 @@ class VectorIndex:
 
     def nearest_cells(self, vector: Column, n: int) -> Column:
         """The n nearest cells of each vector, as an array."""
-        centroids, dimension = self.centroids, self.dimension
+        centroids, dimension, step = self.centroids, self.dimension, NEAR
 
         @F.pandas_udf("array<int>")
         def nearest(vectors: pd.Series) -> pd.Series:
             # Nearest by distance to the centroid; the vector's own length doesn't matter.
-            distance = (centroids * centroids).sum(axis=1) / 2 - unit(_rows(vectors, dimension)) @ centroids.T
-            return pd.Series(np.argsort(distance, axis=1, kind="stable")[:, :n].astype(np.int32).tolist())
+            found, half = [], (centroids * centroids).sum(axis=1) / 2
+            for at in range(0, len(vectors), step):
+                distance = half - unit(_rows(vectors.iloc[at : at + step], dimension)) @ centroids.T
+                found += np.argsort(distance, axis=1, kind="stable")[:, :n].astype(np.int32).tolist()
+            return pd.Series(found)
 
         return nearest(vector)
 
@@ -182,7 +187,7 @@ class VectorIndex:
         # The queries of a cell in blocks: dealt by their hash, so that a block's size has a bound in expectation.
         n_blocks = max(1, -(-sound.count() // BLOCK))
         dealt = probed.withColumn("deal", F.pmod(F.xxhash64(query_key), F.lit(n_blocks)))
-        asked = dealt.groupBy("cell", "deal").agg(F.collect_list(F.struct(F.col(query_key).alias("q"), "vector")).alias("asked")).drop("deal")
+        asked = dealt.groupBy("cell", "deal").agg(F.collect_list(F.struct(F.col(query_key).alias("q"), "vector")).alias("asked"))
         column = ("vectors",) if exact else ("codes", "steps")
         met = self.blocks(spark).select("cell", "block", "ids", *column).join(asked, "cell")
 
@@ -205,7 +210,8 @@ class VectorIndex:
                     yield pd.concat(found)
 
         self_key = self.key
-        candidates = met.mapInPandas(ranked, f"{query_key} {query_type}, cell int, block string, slot int, {self_key} {self.key_type}, score double")
+        # A pair of blocks at a time: a batch of rows would hold thousands of them.
+        candidates = met.groupBy("cell", "block", "deal").applyInPandas(lambda pair: pd.concat(ranked([pair])), f"{query_key} {query_type}, cell int, block string, slot int, {self_key} {self.key_type}, score double")
         place = Window.partitionBy(query_key).orderBy(F.desc("score"), self_key)
         best = candidates.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most)
         if not exact:
@@ -233,7 +239,7 @@ class VectorIndex:
         wanted = candidates.select(query_key, "cell", "block", "slot", key).join(queries, query_key)
         n_blocks = max(1, -(-queries.count() // BLOCK))
         grouped = wanted.groupBy("cell", "block", F.pmod(F.xxhash64(query_key), F.lit(n_blocks)).alias("deal")).agg(F.collect_list(F.struct(F.col(query_key).alias("q"), "slot", F.col(key).alias("k"), "vector")).alias("asked"))
-        held = self.blocks(queries.sparkSession).select("cell", "block", "vectors").join(grouped.drop("deal"), ["cell", "block"])
+        held = self.blocks(queries.sparkSession).select("cell", "block", "vectors").join(grouped, ["cell", "block"])
 
         def scored(parts):
             for part in parts:
@@ -246,7 +252,7 @@ class VectorIndex:
                 if found:
                     yield pd.concat(found)
 
-        return held.mapInPandas(scored, f"{query_key} {query_type}, {key} {self.key_type}, score double")
+        return held.groupBy("cell", "block", "deal").applyInPandas(lambda pair: pd.concat(scored([pair])), f"{query_key} {query_type}, {key} {self.key_type}, score double")
 
 
 def build(rows: DataFrame, path: str, key: str = "id", n_cells: int | None = None, recall: float = RECALL, seed: int = 42) -> VectorIndex:

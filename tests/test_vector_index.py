@@ -99,3 +99,14 @@ def test_odd_rows(spark):
     assert index.search(queries.limit(0)).count() == 0
     with pytest.raises(ValueError):
         vector_index.build(rows.limit(0), fresh_path(spark))
+
+
+def test_a_task_gets_one_pair_of_blocks_at_a_time(spark, embeddings, monkeypatch):
+    rows = embeddings[0].where("id < 60")
+    index = vector_index.build(rows, fresh_path(spark), n_cells=2)
+    queries = rows.where("id < 3").withColumnRenamed("id", "query_id")
+    found = index.search(queries, k=3, exact=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "MapInPandas" not in plan.replace("FlatMapGroupsInPandas", "")
+    monkeypatch.setattr(vector_index, "NEAR", 1)
+    assert sorted(map(tuple, index.search(queries, k=3, exact=True).collect())) == sorted(map(tuple, found.collect()))
