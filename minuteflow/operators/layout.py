@@ -7,13 +7,12 @@ column expressions over a payload's own arrays: no shuffle, and no document is a
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from minuteflow.functions.text import repair_cjk, squash, strip
+from minuteflow.functions.text import let, repair_cjk, squash, strip
 from minuteflow.functions.text import is_meaningful as meaningful
 
 # Words of the table's header, distances in points, and where each column of the table begins.
@@ -29,11 +28,6 @@ _ANCHORS = "array<struct<number:int,y0:double>>"
 _ROW = "struct<page_number:int,number:int,cells:array<string>,raw_row_text:string>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: Spark repeats shared expressions inside lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def digits(c: Column) -> Column:
     return F.translate(c, FULL_WIDTH, "0123456789")
 

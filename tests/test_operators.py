@@ -69,6 +69,16 @@ def test_keywords_of_long_runs_and_odd_phrases(spark):
     assert lists["i4"] == (["CE stem", "stem CE stem", "CE stem CE stem"], ["CE"]) and lists["i1"] == ([], [])
 
 
+def test_keywords_merge_within_their_row(spark):
+    """A text has some seventy candidates: none of them is shuffled, sorted or aggregated over rows."""
+    rows = spark.createDataFrame([("i1", "FDA Stem and fda stem, stem cup 標籤審查標籤"), ("i2", "標籤審查")], "item_id string, content string")
+    found = extract.with_keywords(rows, "item_id", "content", limit=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Sort", "Aggregate"))
+    assert [(r["name"], r["method"]) for r in found.where("item_id = 'i1'").collect()] == [("and fda stem", "regex_product_phrase"), ("FDA Stem", "regex_product_phrase"), ("stem cup", "regex_product_phrase"), ("FDA", "regex_abbreviation"), ("FDA Stem and fda stem", "regex_phrase")]
+    assert sorted(r["name"] for r in found.where("item_id = 'i2'").collect()) == sorted(["審查", "標籤", "標籤審", "標籤審查", "籤審"])
+
+
 @pytest.mark.parametrize(
     ("question", "kind", "intent"),
     [
