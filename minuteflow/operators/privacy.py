@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minuteflow.functions.text import has_owner, is_meaningful, strip
+from minuteflow.session import materialize
 
 # Prefixes, nouns and patterns of personal data.
 PREFIXES = {"person": "Person", "unit": "Unit", "company": "Company", "location": "Location", "file": "File", "ref": "Ref"}
@@ -30,6 +31,8 @@ PHONE = r"(?<!\w)(?=(?:[\s().+-]*\d){9})(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
 
 #: Values are looked up in texts by their rarest piece of this many characters; shorter ones whole.
 GRAM = 6
+#: The bitmap of filed pieces: 2^27 bits (16 MB) in blocks of Spark's bitmap_construct_agg; and the keys that one piece is dealt over.
+BITS, BLOCK, SALTS = 1 << 27, 32768, 16
 
 
 def pseudonym(kind: str, value: Column, salt: str) -> Column:
@@ -123,20 +126,24 @@ def stored_texts(rows: DataFrame, key: str) -> list[str]:
     return [c for c, kind in rows.dtypes if kind == "string" and c not in (key, "original_filename", *KEPT, *STORED_FIELDS)]
 
 
-def values_in(rows: DataFrame, key: str, texts: list[str], values: DataFrame) -> DataFrame:
-    """(key, kind, original): which of all values stand in each row's texts.
+def candidates_in(rows: DataFrame, key: list[str], texts: list[str], values: DataFrame) -> DataFrame:
+    """(key, kind, original): values that may stand in a row's texts, every one that does among them; the caller checks the text.
 
     Each value is filed under its rarest piece of GRAM characters, so that values with a common
-    beginning don't meet under one key; the pieces of the texts are joined to those, and each
-    candidate is checked. Neither side is collected or broadcast by hand.
+    beginning don't meet under one key. A bitmap of the filed pieces (BITS bits, whatever the values)
+    goes to all tasks, and only pieces of texts that it knows are shuffled to the values. A piece that
+    stands in every text is dealt over SALTS keys.
     """
 
     def pieces(c: Column, size: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: c.substr(i, size))
 
+    values = materialize(values.select("kind", "original"))
     cut = values.select("kind", "original", F.explode_outer(F.array_distinct(pieces(F.col("original"), F.least(F.length("original"), F.lit(GRAM))))).alias("piece"))
     common = cut.groupBy("piece").agg(F.count("*").alias("n"))
-    filed = cut.join(common, "piece").groupBy("kind", "original").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    filed = materialize(cut.join(common, "piece").groupBy("kind", "original").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece")))
+    place = F.pmod(F.xxhash64("piece"), F.lit(BITS))
+    bitmap = filed.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BLOCK).alias("_block")).agg(F.bitmap_construct_agg(F.col("_place") % BLOCK).alias("_bits"))
     # At most GRAM sizes, whatever the values.
     sizes = [r[0] for r in values.select(F.least(F.length("original"), F.lit(GRAM)).alias("size")).distinct().collect()]
     none = F.array().cast("array<string>")
@@ -145,10 +152,28 @@ def values_in(rows: DataFrame, key: str, texts: list[str], values: DataFrame) ->
     def of_size(size: int) -> Column:
         return F.flatten(F.transform(blob, lambda t: F.when(F.length(t) >= size, pieces(t, F.lit(size))).otherwise(none)))
 
-    found = rows.select(key, F.explode_outer(F.array_distinct(F.concat(none, *map(of_size, sizes)))).alias("piece"))
-    candidates = found.join(filed, "piece").select(key, "kind", "original").distinct()
-    in_text = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).contains(F.col("original")), F.lit(False)) for c in texts), F.lit(False))
-    return candidates.join(rows.select(key, *texts), key).where(in_text).select(key, "kind", "original").distinct()
+    found = rows.select(*key, F.explode_outer(F.array_distinct(F.concat(none, *map(of_size, sizes)))).alias("piece")).select("*", place.alias("_place"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_place") % BLOCK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0
+    likely = found.withColumn("_block", F.floor(F.col("_place") / BLOCK)).join(F.broadcast(bitmap), "_block").where(known)
+    likely = likely.select(*key, "piece", F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt"))
+    dealt = filed.select("*", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("_salt"))
+    return likely.join(dealt, ["piece", "_salt"]).select(*key, "kind", "original")
+
+
+_VALUES = "array<struct<shortness:int,original:string,noun:string>>"
+
+
+def _entry() -> Column:
+    """What replacing needs of a candidate (kind, original), longest first in order."""
+    nouns = F.create_map(*[F.lit(x) for kv in STORED_NOUNS.items() for x in kv])
+    return F.struct((-F.length("original")).alias("shortness"), "original", nouns[F.col("kind")].alias("noun"))
+
+
+def _scrubbed(text: Column, values: Column) -> Column:
+    """A text with nouns for values, patterns and pseudonyms."""
+    replaced = F.aggregate(values, text, lambda t, v: F.replace(t, v["original"], v["noun"]))
+    return neutralize_tokens(scrub_patterns(replaced, STORED_NOUNS))
 
 
 def deidentify_stored(rows: DataFrame, values: DataFrame, key: str, salt: str) -> DataFrame:
@@ -157,40 +182,46 @@ def deidentify_stored(rows: DataFrame, values: DataFrame, key: str, salt: str) -
     Ids, dates, states and numbers stay. key must be unique and not null.
     """
     texts = stored_texts(rows, key)
-    nouns = F.create_map(*[F.lit(x) for kv in STORED_NOUNS.items() for x in kv])
-    own = values_in(rows, key, texts, values).groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("shortness"), "original", nouns[F.col("kind")].alias("noun")))).alias("_values"))
-    no_values = F.expr("cast(array() as array<struct<shortness:int,original:string,noun:string>>)")
-
-    def text(c: str) -> Column:
-        replaced = F.aggregate(F.coalesce("_values", no_values), F.col(c), lambda t, v: F.replace(t, v["original"], v["noun"]))
-        return neutralize_tokens(scrub_patterns(replaced, STORED_NOUNS))
-
+    own = candidates_in(rows, [key], texts, values).groupBy(key).agg(F.array_sort(F.collect_set(_entry())).alias("_values"))
+    stands = lambda v: reduce(lambda a, b: a | b, (F.coalesce(F.col(c).contains(v["original"]), F.lit(False)) for c in texts), F.lit(False))
+    found = rows.join(own, key, "left").withColumn("_values", F.filter(F.coalesce("_values", F.array().cast(_VALUES)), stands))
     changed = {c: pseudonym(kind, F.col(c), salt) for c, kind in STORED_FIELDS.items() if c in rows.columns}
-    changed |= {c: text(c) for c in texts}
+    changed |= {c: _scrubbed(F.col(c), F.col("_values")) for c in texts}
     if "attendees" in rows.columns:
         changed["attendees"] = F.transform("attendees", lambda a: pseudonym("person", a, salt))
     if "original_filename" in rows.columns:
         changed["original_filename"] = filename(F.col("original_filename"), salt)
-    return rows.join(own, key, "left").withColumns(changed).drop("_values").select(*rows.columns)
+    return found.withColumns(changed).drop("_values").select(*rows.columns)
 
 
 def deidentify_properties(rows: DataFrame, values: DataFrame, key: list[str], salt: str, properties: str = "properties") -> DataFrame:
     """(key, properties) of graph nodes or vector points, whose property map is treated like columns.
 
     The name of a node of type Person or Unit is a field; rows without a column type are points. Keys must be unique.
+    The map is changed where it is: a row meets the values found in its texts, and no entry travels by itself.
     """
     of_type = F.col("type") if "type" in rows.columns else F.lit("Point")
-    entries = rows.select(*key, of_type.alias("_type"), F.explode_outer(properties).alias("_name", "_value"))
-    kind = F.when((F.col("_name") == "name") & (F.col("_type") == "Person"), "person").when((F.col("_name") == "name") & (F.col("_type") == "Unit"), "unit")
-    for name, of in STORED_FIELDS.items():
-        kind = kind.when(F.col("_name") == name, of)
-    kind = kind.when(F.col("_name") == "original_filename", "file").when(F.col("_name").isin(*KEPT), "kept").otherwise("text")
-    entries = entries.withColumns({"_kind": kind, "_row": F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], "_name"), 256)})
-    texts = deidentify_stored(entries.where("_kind = 'text'").select(F.col("_row").alias("_id"), F.col("_value").alias("text")), values, "_id", salt)
-    fields = reduce(lambda c, k: c.when(F.col("_kind") == k, pseudonym(k, F.col("_value"), salt)), PREFIXES, F.when(F.col("_kind") == "file", filename(F.col("_value"), salt)))
-    done = entries.join(texts.select(F.col("_id").alias("_row"), "text"), "_row", "left").withColumn("_new", F.when(F.col("_kind") == "text", F.col("text")).when(F.col("_kind") == "kept", F.col("_value")).otherwise(fields))
-    named = F.filter(F.array_sort(F.collect_list(F.struct(F.col("_name").alias("key"), F.col("_new").alias("value")))), lambda e: e["key"].isNotNull())
-    return done.groupBy(*key).agg(F.map_from_entries(named).alias(properties))
+
+    def kind(name: Column) -> Column:
+        of = F.when((name == "name") & (of_type == "Person"), "person").when((name == "name") & (of_type == "Unit"), "unit")
+        for field, k in STORED_FIELDS.items():
+            of = of.when(name == field, k)
+        return of.when(name == "original_filename", "file").when(name.isin(*KEPT), "kept").otherwise("text")
+
+    entries = rows.select(*key, of_type.alias("_type"), F.explode(F.map_filter(properties, lambda name, value: kind(name) == "text")).alias("_name", "_value"))
+    found = candidates_in(entries.select(*key, "_name", "_value"), [*key, "_name"], ["_value"], values)
+    own = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(_entry().alias("v"), F.col("_name").alias("name")))).alias("_values"))
+    own = own.select(*[F.col(k).alias(f"_key_{k}") for k in key], "_values")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key))
+    none = F.array().cast(f"array<struct<v:{_VALUES[6:-1]},name:string>>")
+
+    def changed(e: Column) -> Column:
+        stand = F.filter(F.coalesce("_values", none), lambda v: (v["name"] == e["key"]) & e["value"].contains(v["v"]["original"]))
+        new = reduce(lambda c, k: c.when(kind(e["key"]) == k, pseudonym(k, e["value"], salt)), PREFIXES, F.when(kind(e["key"]) == "text", _scrubbed(e["value"], F.transform(stand, lambda v: v["v"]))).when(kind(e["key"]) == "file", filename(e["value"], salt)))
+        return F.struct(e["key"].alias("key"), new.otherwise(e["value"]).alias("value"))
+
+    held = F.array_sort(F.map_entries(F.coalesce(properties, F.create_map().cast("map<string,string>"))))
+    return rows.join(own, same, "left").select(*key, F.map_from_entries(F.transform(held, changed)).alias(properties))
 
 
 def change_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

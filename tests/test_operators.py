@@ -226,6 +226,22 @@ def test_payloads(spark):
     assert done["p"]["name"] is None and done["q"] == {} and done["r"] == {}
 
 
+def test_few_pieces_of_texts_are_shuffled(spark):
+    """Of some forty pieces of a text only those go on that a value is filed under; one that stands in all texts is dealt over many keys."""
+    rows = spark.range(300).select(F.col("id").cast("string").alias("k"), F.format_string("a long text about nothing: Guest#3 met Customer#%06d", "id").alias("t"))
+    values = spark.range(0, 300, 2).select(F.lit("person").alias("kind"), F.format_string("Customer#%06d", "id").alias("original")).union(spark.createDataFrame([("person", "Guest#3")]))
+    found = privacy.candidates_in(rows, ["k"], ["t"], values)
+    assert found.count() < 3 * 300
+    assert found.where("original = 'Guest#3'").select("k").distinct().count() == 300
+    assert found.where("original like 'Customer%' and cast(right(original, 6) as int) = cast(k as int)").distinct().count() == 150
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan[plan.index("SortMergeJoin") if "SortMergeJoin" in plan else 0 :]
+    nodes = rows.select(F.lit("Meeting").alias("type"), F.col("k").alias("id"), F.create_map(F.lit("content"), "t", F.lit("status"), "t").alias("properties"))
+    done = {r["id"]: r["properties"] for r in privacy.deidentify_properties(nodes, values, ["type", "id"], "s").collect()}
+    assert done["4"] == {"content": "a long text about nothing: 人員 met 人員", "status": "a long text about nothing: Guest#3 met Customer#000004"}
+    assert done["5"]["content"] == "a long text about nothing: 人員 met Customer#000005"
+
+
 def test_node_properties_of_repeated_rows(spark):
     rows = spark.createDataFrame([("a", "2", None), ("a", "1", "z"), (" ", "3", None), (None, "4", None)], "k string, x string, y string")
     assert [r.asDict() for r in graph_build.nodes_of(rows, "T", "k", "y", "x").collect()] == [{"type": "T", "id": "a", "properties": {"x": "1", "y": "z"}}]
