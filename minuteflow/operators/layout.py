@@ -43,8 +43,8 @@ def anchors(words: Column, bottom: Column, expected: Column) -> Column:
 
     A number less than ANCHOR_GAP below the row before it is none. Equal heights keep the words' order.
     """
-    numbered = F.transform(words, lambda w, i: F.struct(w["y0"].alias("y0"), i.alias("at"), w["x0"].alias("x0"), strip(w["text"]).alias("text")))
-    found = F.array_sort(F.filter(numbered, lambda w: (w["x0"] <= NUMBERS_END) & (w["y0"] > bottom) & w["text"].rlike(NUMBER)))
+    numbered = F.transform(words, lambda w, i: F.struct(w["y0"].alias("y0"), i.alias("at"), w["x0"].alias("x0"), w["text"].alias("text")))
+    found = F.sort_array(F.filter(numbered, lambda w: (w["x0"] <= NUMBERS_END) & (w["y0"] > bottom) & w["text"].rlike(NUMBER)))
 
     def step(state: Column, w: Column) -> Column:
         number = F.rtrim(digits(w["text"]), F.lit(".")).cast("int")
@@ -59,7 +59,7 @@ def anchors(words: Column, bottom: Column, expected: Column) -> Column:
 
 def joined(words: Column) -> Column:
     """The words' text line by line: a line is all words at most LINE_TOLERANCE below its first; null if there is none."""
-    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(F.bround(w["y0"], 1).alias("y"), w["x0"].alias("x0"), i.alias("at"), strip(w["text"]).alias("text"))))
+    ordered = F.sort_array(F.transform(words, lambda w, i: F.struct(F.bround(w["y0"], 1).alias("y"), w["x0"].alias("x0"), i.alias("at"), w["text"].alias("text"))))
 
     def step(state: Column, w: Column) -> Column:
         same = F.coalesce(F.abs(w["y"] - state["y"]) <= LINE_TOLERANCE, F.lit(False))
@@ -68,8 +68,9 @@ def joined(words: Column) -> Column:
         return F.struct(F.concat(state["placed"], placed).alias("placed"), line.alias("line"), F.when(same, state["y"]).otherwise(w["y"]).alias("y"))
 
     start = F.struct(F.array().cast(_PLACED).alias("placed"), F.lit(0).alias("line"), F.lit(None).cast("double").alias("y"))
-    text = F.aggregate(ordered, start, step, lambda s: F.array_join(F.transform(F.array_sort(s["placed"]), lambda p: p["text"]), " "))
-    return F.nullif(repair_cjk(squash(text)), F.lit(""))
+    text = F.aggregate(ordered, start, step, lambda s: F.array_join(F.transform(F.sort_array(s["placed"]), lambda p: p["text"]), " "))
+    # nullif() would compute the text twice inside a lambda.
+    return let(repair_cjk(squash(text)), lambda t: F.when(t != "", t))
 
 
 def page_rows(page: Column, expected: Column) -> Column:
@@ -84,7 +85,7 @@ def page_rows(page: Column, expected: Column) -> Column:
             half = lambda other: (F.get(tops, other)["y0"] + anchor["y0"]) / 2
             low = F.when(k > 0, half(k - 1)).otherwise(bottom)
             high = F.when(k + 1 < F.size(tops), half(k + 1)).otherwise(page["height"] - FOOT)
-            inside = F.filter(words, lambda w: (w["y0"] >= low) & (w["y0"] < high))
+            inside = let(F.struct(low.alias("low"), high.alias("high")), lambda span: F.filter(words, lambda w: (w["y0"] >= span["low"]) & (w["y0"] < span["high"])))
             return let(inside, lambda ws: F.struct(page["page_number"].alias("page_number"), anchor["number"].alias("number"), F.array(*[cell(ws, i) for i in range(len(CELLS))]).alias("cells"), joined(ws).alias("raw_row_text")))
 
         return F.filter(F.transform(tops, row), lambda r: filled([F.get(r["cells"], F.lit(i)) for i in range(len(CELLS))]))
@@ -92,7 +93,9 @@ def page_rows(page: Column, expected: Column) -> Column:
     def below(words: Column) -> Column:
         return let(header_bottom(words), lambda b: F.when(b.isNotNull(), let(anchors(words, b, expected), lambda tops: of(words, b, tops))))
 
-    shown = F.filter(page["words"], lambda w: strip(F.coalesce(w["text"], F.lit(""))) != "")
+    # Words are trimmed here, once; all that reads them below takes trimmed words.
+    trimmed = F.transform(page["words"], lambda w: F.struct(w["x0"].alias("x0"), w["y0"].alias("y0"), w["y1"].alias("y1"), strip(w["text"]).alias("text")))
+    shown = F.filter(trimmed, lambda w: w["text"] != "")
     return F.coalesce(let(shown, below), F.array().cast(f"array<{_ROW}>"))
 
 

@@ -112,7 +112,8 @@ def _items(rows: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def word_items(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
     """Items from word boxes (layout), each payload by itself."""
-    rows = payloads.select("document_id", F.explode(layout.document_rows(F.col("pages"))).alias("r"))
+    # The outer form keeps Spark from inferring a filter on the array and so folding each document again.
+    rows = payloads.select("document_id", F.explode_outer(layout.document_rows(F.col("pages"))).alias("r")).where("r is not null")
     cells = [F.get("r.cells", F.lit(k)).alias(c) for k, c in enumerate(CELLS)]
     return _items(rows.select("document_id", "r.page_number", F.lpad(F.col("r.number").cast("string"), 2, "0").alias("item_no"), *cells, "r.raw_row_text", F.lit("words").alias("source")), parsed)
 

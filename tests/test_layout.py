@@ -129,3 +129,9 @@ def test_no_shuffle_for_the_layout(spark):
     frame = spark.createDataFrame([payload("d", [page(1, HEADER)])], PAGES)
     plan = frame.select(layout.document_rows(F.col("pages")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_each_text_is_joined_once(spark):
+    """One fold over pages, one over anchors, and one for each of five cells and the raw text: none stands in the plan twice."""
+    pages = spark.createDataFrame([payload("d", None)], PAGES).select(F.explode_outer(layout.document_rows(F.col("pages"))).alias("r"))
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 8
