@@ -131,3 +131,12 @@ def test_isolated_nodes_are_expanded(spark, world):
     nodes, edges = graph_view.expand_isolated(graph, *world, limit=2)
     assert {r["id"] for r in nodes.collect()} == {"Product:Red stem", "Meeting:m9", "Meeting:m2", "MeetingItem:i4", "MeetingItem:i5"}
     assert {r["label"] for r in edges.collect()} == {"HAS_ITEM", "MENTIONS_PRODUCT"} and edges.count() == 4
+
+
+def test_edge_ids_are_not_shuffled(spark):
+    """The id of an edge repeats its ends, so it is made after equal edges have met."""
+    rows = spark.createDataFrame([("m", "i", 1), ("m", "i", 2)], "meeting_id string, item_id string, seq int")
+    linked = graph_view.row_graph(rows)[1]
+    assert [tuple(r) for r in linked.collect()] == [("Meeting:m->HAS_ITEM->MeetingItem:i", "Meeting:m", "MeetingItem:i", "HAS_ITEM")]
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [source#" in plan and "Aggregate [id#" not in plan
