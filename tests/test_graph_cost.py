@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import text
 from minuteflow.functions.extract import HANDLED_BY, OWNER_CHANGED, people_from_text
-from minuteflow.operators import graph_build, graph_query
+from minuteflow.operators import graph_build, graph_query, graph_view
 from minuteflow.session import shared_dir
 
 ITEMS = "item_id string, meeting_id string, item_no string, content string, owner string, planned_date string, actual_completed_date string, tracking_result string"
@@ -76,3 +76,11 @@ def test_plain_texts_are_squashed_like_others(spark):
     for t, a, b, s, u, people in found:
         assert (a, s) == (b, u), t
         assert bool(people) == bool(t and (re.search(OWNER_CHANGED, t) or re.search(HANDLED_BY, t))), t
+
+
+def test_expansion_needs_no_status(spark):
+    meetings, items, mentions = tables(spark)
+    edges = graph_build.build_edges(meetings, items, mentions, ("HAS_ACTION", "TRACKS_ISSUE"))
+    titled = graph_build.described(items, mentions).select("item_id", "text", "issue", "decided", "risky")
+    nodes = spark.createDataFrame([("ActionItem:action_b",)], "node_id string")
+    assert [r["action"] for r in graph_view.expand_nodes(nodes, edges, meetings, items, titled).collect()] == ["blue bolt done"]
