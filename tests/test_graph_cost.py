@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from minuteflow.functions import text
 from minuteflow.functions.extract import HANDLED_BY, OWNER_CHANGED, people_from_text
-from minuteflow.operators import graph_build, graph_query, graph_view
-from minuteflow.session import shared_dir
+from minuteflow.operators import graph_build, graph_query, graph_store, graph_view
+from minuteflow.session import fresh_path, materialize, shared_dir
 
 ITEMS = "item_id string, meeting_id string, item_no string, content string, owner string, planned_date string, actual_completed_date string, tracking_result string"
 MEETINGS = "meeting_id string, document_id string, meeting_name string, meeting_date string, responsible_unit string, chairperson string, recorder string, attendees array<string>"
@@ -84,3 +84,40 @@ def test_expansion_needs_no_status(spark):
     titled = graph_build.described(items, mentions).select("item_id", "text", "issue", "decided", "risky")
     nodes = spark.createDataFrame([("ActionItem:action_b",)], "node_id string")
     assert [r["action"] for r in graph_view.expand_nodes(nodes, edges, meetings, items, titled).collect()] == ["blue bolt done"]
+
+
+def with_mentions(items, mentions):
+    said = mentions.where("owner_type = 'MeetingItem'").groupBy(F.col("owner_id").alias("item_id")).agg(F.collect_list(F.struct("field", "name", "type", "score")).alias("mentions"))
+    return items.join(said, "item_id", "left")
+
+
+def test_an_items_row_tells_its_edges(spark):
+    for repeat in (False, True):
+        meetings, items, mentions = tables(spark, repeat)
+        relations = graph_build.OF_ROWS
+        rows = graph_build.row_edges(with_mentions(items, mentions), relations)
+        own = graph_build.build_edges(meetings, items, mentions.where("owner_type = 'MeetingItem'"), relations)
+        # The general way meets a repeated item once for each of its rows.
+        assert sorted(map(tuple, rows.collect())) == sorted(set(map(tuple, graph_store.owned(own, items).collect())))
+        co = graph_build.row_cooccurrence(with_mentions(items, mentions))
+        assert sorted(map(tuple, co.collect())) == sorted(map(tuple, graph_build.cooccurrence(mentions).collect()))
+
+
+def test_edges_of_rows_need_no_join(spark):
+    items = tables(spark)[1].withColumn("mentions", F.array(F.struct(F.lit("content").alias("field"), F.lit("a b").alias("name"), F.lit("product").alias("type"), F.lit(0.7).alias("score"))))
+    made = plan(graph_build.row_edges(items, graph_build.OF_ROWS))
+    assert "Join" not in made and "Exchange" not in made and "Aggregate" not in made and "Union" not in made
+
+
+def test_replaced_meetings_are_told_without_another_table(spark, monkeypatch):
+    edge = "src_type string, src_id string, relation string, dst_type string, dst_id string, meeting_id string"
+    rows = [("Meeting", f"m{k}", "HAS_ITEM", "MeetingItem", f"m{k}-1", f"m{k}") for k in range(200)]
+    path, written = fresh_path(spark), []
+    graph_store.write_graph(spark.createDataFrame(rows, edge), path, 8)
+    monkeypatch.setattr(graph_store, "materialize", lambda df: written.append(df) or materialize(df))
+    # One bit for all: every stored row is doubtful, and the exact way keeps what isn't named.
+    for bits, named in ((graph_store.BITS, "m3"), (1, "m4")):
+        monkeypatch.setattr(graph_store, "BITS", bits)
+        graph_store.replace_meetings(spark, path, spark.createDataFrame([(named,)], "meeting_id string"), spark.createDataFrame([], edge), 8)
+    assert len(written) == 4
+    assert sorted(map(tuple, graph_store.read_graph(spark, path).select(*edge.replace(" string", "").split(", ")).collect())) == sorted(r for r in rows if r[-1] not in ("m3", "m4"))
