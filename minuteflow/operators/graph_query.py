@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteflow.functions.text import is_meaningful, strip
+from minuteflow.operators.graph_build import item_text
 from minuteflow.operators.planning import Planner, plan_question
 from minuteflow.session import materialize
 
@@ -81,7 +82,7 @@ def same(c: str, value: str) -> F.Column:
     return F.upper(c) == value.upper()
 
 
-def holds(c: str, value: str | None) -> F.Column:
+def holds(c: str | F.Column, value: str | None) -> F.Column:
     """Case-insensitive substring; a blank value holds everywhere."""
     return F.upper(c).contains(value.upper()) if value else F.lit(True)
 
@@ -166,6 +167,21 @@ def given(constraints: dict[str, str]) -> dict[str, str]:
     return {k: str(constraints[k]).strip() for k in CONSTRAINTS if str(constraints.get(k) or "").strip()}
 
 
+def may_match(items: DataFrame, constraints: dict[str, str]) -> DataFrame:
+    """The items that can meet the constraints on people, products and regulations; every one that does is among them.
+
+    Edges and semantics need be made of these only. items holds each item's mentions in a column (mentions, an array
+    of structs). A person is an item's owner or stands in its text; products and regulations are mentions. Other constraints are left to composite().
+    """
+    wanted, rows = given(constraints), items
+    if person := wanted.get("person_name"):
+        rows = rows.where(F.coalesce(holds("owner", person), F.lit(False)) | F.coalesce(holds(item_text(), person), F.lit(False)))
+    for key, kind in (("product_name", "product"), ("regulation_name", "regulation")):
+        if value := wanted.get(key):
+            rows = rows.where(F.exists("mentions", lambda m: (m["type"] == kind) & F.coalesce(holds(m["name"], value), F.lit(False))))  # noqa: B023 - used at once
+    return rows
+
+
 def titles(sem: DataFrame) -> DataFrame:
     """(item_id, title, issue_title) of the semantic nodes of items."""
     return sem.select("item_id", F.substring("text", 1, 96).alias("title"), F.col("issue.title").alias("issue_title"), F.col("issue.signature").alias("issue_signature"))

@@ -121,3 +121,21 @@ def test_replaced_meetings_are_told_without_another_table(spark, monkeypatch):
         graph_store.replace_meetings(spark, path, spark.createDataFrame([(named,)], "meeting_id string"), spark.createDataFrame([], edge), 8)
     assert len(written) == 4
     assert sorted(map(tuple, graph_store.read_graph(spark, path).select(*edge.replace(" string", "").split(", ")).collect())) == sorted(r for r in rows if r[-1] not in ("m3", "m4"))
+
+
+def test_items_that_cannot_match_are_left_out_first(spark):
+    meetings, items, mentions = tables(spark)
+    more = spark.createDataFrame([("c", "1", "03", "owner changed to Annabel; x", "Bob", None, None, None), ("d", "1", "04", None, None, None, None, None)], ITEMS)
+    items = items.union(more)
+    mentions = mentions.union(spark.createDataFrame([("MeetingItem", "c", "tracking_result", "fda", "regulation", 0.6, "regex"), ("MeetingItem", "c", "content", "Red Ring", "product", 0.6, "regex")], MENTIONS))
+    relations = ("HAS_ACTION", "RESPONSIBLE_BY", "ASSIGNED_TO", "MENTIONS_PRODUCT", "TARGETS_PRODUCT", "MENTIONS_REGULATION", "CONSTRAINED_BY", "MENTIONS")
+
+    def found(rows, constraints):
+        said = mentions.join(rows.select(F.col("item_id").alias("owner_id")), "owner_id", "left_semi").select(*mentions.columns)
+        edges = graph_build.build_edges(meetings, rows, said, relations)
+        return sorted(map(tuple, graph_query.composite(edges, meetings, graph_build.semantics(rows, said), "action_items", constraints, None).collect()))
+
+    for constraints, left in (({"person_name": "ann"}, "ac"), ({"product_name": "red ring"}, "ac"), ({"regulation_name": "FDA"}, "ac"), ({"person_name": "annabel", "regulation_name": "FDA"}, "c"), ({"keyword": "blue"}, "abcd")):
+        near = graph_query.may_match(with_mentions(items, mentions), constraints).select(*items.columns)
+        assert sorted(r["item_id"] for r in near.collect()) == list(left)
+        assert found(near, constraints) == found(items, constraints) != []
