@@ -132,7 +132,8 @@ def candidates_in(rows: DataFrame, key: list[str], texts: list[str], values: Dat
     Each value is filed under its rarest piece of GRAM characters, so that values with a common
     beginning don't meet under one key. A bitmap of the filed pieces (BITS bits, whatever the values)
     goes to all tasks, and only pieces of texts that it knows are shuffled to the values. A piece that
-    stands in every text is dealt over SALTS keys.
+    stands in every text is dealt over SALTS keys. Values are merged, never broadcast: Spark knows the
+    size of their file, but not how many rows their pieces and salts make of it.
     """
 
     def pieces(c: Column, size: Column) -> Column:
@@ -141,7 +142,7 @@ def candidates_in(rows: DataFrame, key: list[str], texts: list[str], values: Dat
     values = materialize(values.select("kind", "original"))
     cut = values.select("kind", "original", F.explode_outer(F.array_distinct(pieces(F.col("original"), F.least(F.length("original"), F.lit(GRAM))))).alias("piece"))
     common = cut.groupBy("piece").agg(F.count("*").alias("n"))
-    filed = materialize(cut.join(common, "piece").groupBy("kind", "original").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece")))
+    filed = materialize(cut.hint("merge").join(common, "piece").groupBy("kind", "original").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece")))
     place = F.pmod(F.xxhash64("piece"), F.lit(BITS))
     bitmap = filed.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BLOCK).alias("_block")).agg(F.bitmap_construct_agg(F.col("_place") % BLOCK).alias("_bits"))
     # At most GRAM sizes, whatever the values.
@@ -158,7 +159,7 @@ def candidates_in(rows: DataFrame, key: list[str], texts: list[str], values: Dat
     likely = found.withColumn("_block", F.floor(F.col("_place") / BLOCK)).join(F.broadcast(bitmap), "_block").where(known)
     likely = likely.select(*key, "piece", F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt"))
     dealt = filed.select("*", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("_salt"))
-    return likely.join(dealt, ["piece", "_salt"]).select(*key, "kind", "original")
+    return likely.join(dealt.hint("merge"), ["piece", "_salt"]).select(*key, "kind", "original")
 
 
 _VALUES = "array<struct<shortness:int,original:string,noun:string>>"

@@ -311,3 +311,15 @@ def test_composite_search_has_all_rows(spark):
     from minuteflow.plans import queries
 
     assert "Limit" not in queries.composite_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_never_broadcast(spark, monkeypatch):
+    """Nothing but the bitmap goes to all tasks: neither the values' pieces nor their rows for each salt, which Spark takes for no larger than the values' file."""
+    plans, write = [], privacy.materialize
+    monkeypatch.setattr(privacy, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    values = spark.createDataFrame([("person", f"Customer#{k:05d}") for k in range(50)], "kind string, original string")
+    rows = spark.createDataFrame([(k, f"of Customer#{k:05d}") for k in range(0, 100, 3)], "k int, t string")
+    found = privacy.candidates_in(rows, ["k"], ["t"], values)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("BroadcastExchange") for p in plans] == [0, 0, 1]
+    assert {(r["k"], r["original"]) for r in found.collect()} >= {(k, f"Customer#{k:05d}") for k in range(0, 50, 3)}
