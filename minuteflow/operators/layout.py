@@ -69,8 +69,8 @@ def joined(words: Column) -> Column:
 
     start = F.struct(F.array().cast(_PLACED).alias("placed"), F.lit(0).alias("line"), F.lit(None).cast("double").alias("y"))
     text = F.aggregate(ordered, start, step, lambda s: F.array_join(F.transform(F.sort_array(s["placed"]), lambda p: p["text"]), " "))
-    # nullif() would compute the text twice inside a lambda.
-    return let(repair_cjk(squash(text)), lambda t: F.when(t != "", t))
+    # squash() names its text three times and nullif() twice, and inside a lambda each name is a computation.
+    return let(text, lambda whole: let(repair_cjk(squash(whole)), lambda t: F.when(t != "", t)))
 
 
 def page_rows(page: Column, expected: Column) -> Column:
