@@ -147,3 +147,12 @@ def test_a_question_on_a_person_makes_edges_of_its_items_only(spark):
     edges, sem = queries._graph_of(meetings, items.withColumns({"product": F.lit("red ring"), "regulation": F.lit("FDA")}), {"person_name": "ANN"}, "HAS_ACTION", "RESPONSIBLE_BY")
     assert sorted((r["src_id"], r["dst_id"]) for r in edges.collect()) == [("a", "Ann"), ("a", "action_a")]
     assert [r["item_id"] for r in sem.collect()] == ["a"]
+
+
+def test_semantics_shuffle_nothing(spark):
+    """Items hold their mentions in their rows; the semantics equal those of mentions that are joined."""
+    d = "/root/testdata/sf0.001"
+    told = queries.semantics(spark, d)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    joined = graph_build.semantics(queries.I(spark, d), queries.mentions(spark, d)).select(*told.columns)
+    assert told.exceptAll(joined).isEmpty() and joined.exceptAll(told).isEmpty()
